@@ -106,6 +106,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def sums_by(values: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit digest of the sum of each cell's ``values`` (whatever their order), and the number of them."""
+    low = np.bincount(cell, weights=(values & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=cells)
+    high = np.bincount(cell, weights=(values >> np.uint64(32)).astype(np.float64), minlength=cells)
+    return mixed(low.astype(np.uint64)) ^ mixed(high.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), np.bincount(cell, minlength=cells)
+
+
 def ngram_ids(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of each word's character n-grams, with marks at its ends, and of the ``whole`` word if asked for.
 
@@ -141,3 +148,23 @@ def ngram_ids(words: list[str], sizes: tuple[int, ...], buckets: int, whole: boo
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.bincount(owner, minlength=len(words)), out=starts[1:])
     return ids[order], starts
+
+
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than that.
+HOT_SHARE = 1000
+#: Parts over which a hot key is dealt.
+HOT_PARTS = 64
+
+
+def join_shared(left: DataFrame, right: DataFrame, keys: list[str], copies: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``copies`` the number of left rows with it.
+
+    Hot keys (fewer than HOT_SHARE of them, so they are broadcast) are dealt over HOT_PARTS parts: the right row is
+    repeated and left rows spread at random by their other columns.
+    """
+    total = right.agg(F.sum(copies)).first()[0] or 0
+    hot = right.filter(F.col(copies) * HOT_SHARE > total).select(*keys, F.lit(HOT_PARTS).alias("_parts"))
+    others = [c for c in left.columns if c not in keys] or keys
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*others), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    dealt = right.drop(copies).join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return spread.join(dealt, [*keys, "_part"], how).drop("_part")
