@@ -115,7 +115,7 @@ def _histogram(candidates: DataFrame, state: dict) -> DataFrame:
 
 def thresholds(candidates: DataFrame, ids: np.ndarray, x: np.ndarray, norm: float, k: int) -> np.ndarray:
     """The k-th highest score of every query of the block; the lowest possible score where there are fewer candidates."""
-    bound = np.floor(np.sqrt((x * x).sum(axis=1)) * norm).astype(np.int64) + 1
+    bound = np.floor(np.sqrt((x * x).sum(axis=1)) * norm * (1 + 1e-9)).astype(np.int64) + 1
     low, span = -bound, 2 * bound + 1
     need, open_ = np.full(len(ids), k, np.int64), np.ones(len(ids), bool)
     while (open_ & (span > 1)).any():
