@@ -48,12 +48,14 @@ def test_languages_learn_without_held_out_rows(spark):
 
 
 def test_toxicity(spark, odd_documents, no_documents):
-    d, labels = table(spark, "documents"), table(spark, "labels")
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))  # the smaller ones have too few labels
     model = toxicity.fit(d, labels)
     rows = toxicity.score(d, labels).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
     own = [r for r in rows if r["held_out"]]
     assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
-    assert sum(r["predicted"] == r["toxic"] for r in own) / len(own) > 0.9
+    toxic = [r["predicted"] for r in own if r["toxic"]]
+    assert sum(toxic) / len(toxic) > 0.7
+    assert sum(r["predicted"] for r in own if not r["toxic"]) / (len(own) - len(toxic)) < 0.02
     odd = toxicity.score_column(odd_documents, model, ["doc_id"]).collect()
     assert len(odd) == odd_documents.count()
     by = {r["doc_id"]: r["toxicity_score"] for r in odd}
