@@ -156,15 +156,18 @@ HOT_SHARE = 1000
 HOT_PARTS = 64
 
 
-def join_shared(left: DataFrame, right: DataFrame, keys: list[str], copies: str, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each key and in ``copies`` the number of left rows with it.
+def join_shared(left: DataFrame, right: DataFrame, key: str, copies: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key`` and in ``copies`` the number of left rows with it.
 
-    Hot keys (fewer than HOT_SHARE of them, so they are broadcast) are dealt over HOT_PARTS parts: the right row is
-    repeated and left rows spread at random by their other columns.
+    Hot keys (fewer than HOT_SHARE of them, so they are named in the plan) are dealt over HOT_PARTS parts: the right row
+    is repeated and left rows are spread by their other columns.
     """
     total = right.agg(F.sum(copies)).first()[0] or 0
-    hot = right.filter(F.col(copies) * HOT_SHARE > total).select(*keys, F.lit(HOT_PARTS).alias("_parts"))
-    others = [c for c in left.columns if c not in keys] or keys
-    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*others), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    dealt = right.drop(copies).join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return spread.join(dealt, [*keys, "_part"], how).drop("_part")
+    hot = [r[0] for r in right.filter(F.col(copies) * HOT_SHARE > total).select(key).collect()]
+    if not hot:
+        return left.join(right.drop(copies), key, how)
+    parts = F.when(F.col(key).isin(hot), HOT_PARTS).otherwise(1)
+    others = [c for c in left.columns if c != key] or [key]
+    spread = left.withColumn("_part", F.pmod(F.xxhash64(*others), parts).cast("int"))
+    dealt = right.drop(copies).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.join(dealt, [key, "_part"], how).drop("_part")

@@ -147,7 +147,7 @@ def resolve(items: DataFrame, measured: DataFrame, key: str) -> DataFrame:
     values = [c for c in measured.columns if c != "digest"]
     known = measured.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct(*values)).alias("m"))
     known = staged(known, "measured")
-    return join_shared(refs, known, ["digest"], "copies", "left").select(key, "position", "caption", "digest", *(F.col(f"m.{c}").alias(c) for c in values))
+    return join_shared(refs, known, "digest", "copies", "left").select(key, "position", "caption", "digest", *(F.col(f"m.{c}").alias(c) for c in values))
 
 
 def interleave(items: DataFrame, measured: DataFrame, key: str) -> DataFrame:
