@@ -3,8 +3,9 @@
 The rules' matches in a bounded sample are labelled credentials.  For each kind a prefix tree of their values is built
 and statistically compatible states are merged (Hoeffding bound), which gives a probabilistic automaton.  Every other
 run of credential characters is scored by how much likelier its best automaton makes it than a background model of
-the sample's other runs; those over the cut, which leaves all of the sample's other runs out, are spans of kind
-``learned``.
+the sample's other runs; those over the cut are spans of kind ``learned``.  The cut comes from credentials kept back and
+from the odds that a background run scores as much, never from the runs to be judged: these may be credentials
+themselves, so in the background each counts by the probability that it is none (a mixture, fitted in a few rounds).
 
 Candidates are looked for in the whole text: bytes are mapped to classes and long runs found before any pattern runs.
 
@@ -46,6 +47,9 @@ PART = 64
 ALPHA = 0.05
 SMOOTH = 0.02
 ALPHABET = 66  # the run's characters and the end
+#: Rounds of the mixture, and the odds that a run of the background is taken for one of the formats at most.
+ROUNDS = 10
+FALSE_ALARM = 1e-6
 REDACTED = "[secret]"
 Span = tuple[str, int, int]
 
@@ -162,8 +166,8 @@ def learn(runs: list[str]) -> Automaton:
 class Background:
     """Log likelihood of a run by pairs of characters."""
 
-    pairs: dict[str, int]
-    firsts: dict[str, int]
+    pairs: dict[str, float]
+    firsts: dict[str, float]
 
     def per_symbol(self, run: str) -> float:
         total = 0.0
@@ -172,41 +176,78 @@ class Background:
         return total / len(run)
 
 
+def _background(runs: list[str], weights: list[float]) -> Background:
+    pairs, firsts = Counter(), Counter()
+    for run, weight in zip(runs, weights, strict=True):
+        for a, b in zip(f"^{run}", run, strict=False):
+            pairs[a + b] += weight
+            firsts[a] += weight
+    return Background(dict(pairs), dict(firsts))
+
+
 @dataclass
 class Model:
     automata: dict[str, Automaton]
     background: Background
     cut: float
 
+    def format_score(self, run: str) -> float:
+        """The log likelihood a character of the best automaton."""
+        parts = [run[i : i + PART] for i in range(0, len(run), PART)]
+        return max((sum(a.per_symbol(p) * len(p) for p in parts) for a in self.automata.values()), default=-math.inf) / len(run)
+
     def score(self, run: str) -> float:
         """By how much, in nats a character, the best automaton makes the run likelier than the background."""
         parts = [run[i : i + PART] for i in range(0, len(run), PART)]
-        if not self.automata:
-            return -math.inf
-        return max(sum(a.per_symbol(p) * len(p) for p in parts) for a in self.automata.values()) / len(run) - sum(self.background.per_symbol(p) * len(p) for p in parts) / len(run)
+        return self.format_score(run) - sum(self.background.per_symbol(p) * len(p) for p in parts) / len(run)
+
+    def found(self, run: str) -> bool:
+        """Over the cut, and with so much evidence in all that a background run has it with odds of FALSE_ALARM at most (a likelihood ratio of x has odds of 1 / x under the background)."""
+        score = self.score(run)
+        return score > self.cut and score * len(run) > math.log(max(len(self.automata), 1) / FALSE_ALARM)
 
 
 def train(credentials: dict[str, list[str]], others: list[str]) -> Model:
-    """Every fifth credential is kept back to place the cut: between the other runs and the credentials kept back."""
-    automata, held = {}, []
+    """Every fifth credential is kept back to place the cut: half-way from the background's expected score, which is below 0, to the credentials kept back.
+
+    Kinds whose credentials kept back are no likelier than all other runs (they may be plain words) have no format and are left out.
+    """
+    automata, held = {}, {}
     for kind, runs in sorted(credentials.items()):
         own = sorted(set(runs))[:SAMPLE_RUNS]
         if len(own) >= 5:
             automata[kind] = learn([r for i, r in enumerate(own) if i % 5])
-            held += own[::5]
-    pairs, firsts = Counter(), Counter()
-    for run in others:
-        for a, b in zip(f"^{run}", run, strict=False):
-            pairs[a + b] += 1
-            firsts[a] += 1
-    model = Model(automata, Background(dict(pairs), dict(firsts)), math.inf)
-    if automata:
-        good = sorted(model.score(r) for r in held)
-        bad = max([0.0, *(model.score(r) for r in others)])
-        model.cut = max(bad + 0.05, (bad + good[len(good) // 10]) / 2)
+            held[kind] = own[::5]
+    model = Model({}, _background(others, [1.0] * len(others)), math.inf)
+    for kind, automaton in automata.items():
+        if _tenth(Model({kind: automaton}, model.background, 0.0), held[kind]) > 0:
+            model.automata[kind] = automaton
+    if model.automata:
+        _separate(model, others)
+        model.cut = max(0.0, _tenth(model, [r for kind in model.automata for r in held[kind]]) / 2)
     return model
 
 
+def _tenth(model: Model, runs: list[str]) -> float:
+    """The score that nine of ten runs reach."""
+    return sorted(model.score(r) for r in runs)[len(runs) // 10]
+
+
+def _separate(model: Model, others: list[str]) -> None:
+    """Fits the background to ``others`` by the probability of each that it is of no learned format."""
+    formats = [model.format_score(r) for r in others]
+    weights, share = [1.0] * len(others), 0.5
+    for _ in range(ROUNDS):
+        model.background = _background(others, weights)
+        lead = [(f - sum(model.background.per_symbol(r[i : i + PART]) * len(r[i : i + PART]) for i in range(0, len(r), PART)) / len(r)) * len(r) for f, r in zip(formats, others, strict=True)]
+        odds = math.log(share / (1 - share))
+        before, weights = weights, [1 / (1 + math.exp(max(-700.0, min(700.0, x + odds)))) for x in lead]
+        if max((abs(x - y) for x, y in zip(before, weights, strict=True)), default=0.0) < 1e-3:
+            break
+        share = min(0.99, max(0.01, 1 - sum(weights) / len(weights)))
+    model.background = _background(others, weights)
+
+
 def all_spans(text: str, model: Model | None, memory: dict[str, bool] | None = None) -> list[Span]:
     raw = text.encode()
     spans = rule_spans(text, raw)
@@ -217,7 +258,7 @@ def all_spans(text: str, model: Model | None, memory: dict[str, bool] | None = N
             if run not in memory:
                 if len(memory) > 100_000:
                     memory.clear()
-                memory[run] = model.score(run) > model.cut
+                memory[run] = model.found(run)
             if memory[run]:
                 spans.append(("learned", a, b))
         spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -114,6 +114,32 @@ def test_learned_formats():
     assert spans == [("learned", 4, 4 + len(keys[100]))]
 
 
+@pytest.mark.parametrize("bare", [1, 20, 60])
+def test_learned_formats_with_credentials_among_the_other_runs(bare):
+    rng = random.Random(9)
+    keys = ["key-" + "".join(rng.choice("0123456789") for _ in range(12)) + "-" + "".join(rng.choice("xyz") for _ in range(8)) for _ in range(120)]
+    words = ["".join(rng.choice(["the", "ing", "and", "tion", "er", "stone"]) for _ in range(8)) for _ in range(200)]
+    numbers = ["".join(rng.choice("0123456789") for _ in range(24)) for _ in range(40)]
+    model = secrets.train({"assign": keys[:60]}, words[:100] + numbers[:20] + keys[60 : 60 + bare])
+    assert all(model.found(k) for k in keys[60 : 60 + bare])
+    assert not any(model.found(w) for w in words + numbers)
+
+
+def test_learned_formats_of_the_fitted_table(spark):
+    rng = random.Random(10)
+    keys = ["".join(rng.choice("0123456789ABCDEFGHJK") for _ in range(32)) for _ in range(60)]
+    texts = [f"token={k} here" for k in keys[:40]] + [f"see {k} and {''.join(rng.choice(['the', 'ing', 'tion']) for _ in range(9))}" for k in keys[40:]]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["spans"] for r in rows if r["doc_id"] >= 40} == {i: "learned:4:36" for i in range(40, 60)}
+
+
+def test_words_are_no_format(spark):
+    words = sorted({w for r in table(spark, "documents").limit(300).collect() for w in re.findall(r"[A-Za-z]{6,}", r["text"] or "")})
+    random.Random(11).shuffle(words)
+    model = secrets.train({"assign": words[:100]}, words[100:1000])
+    assert not any(model.found(w) for w in words[100:])
+
+
 class Visible(HTMLParser):
     """Words of a page, by a plain parser."""
 
