@@ -67,6 +67,31 @@ def test_toxicity(spark, odd_documents, no_documents):
     assert toxicity.score(odd_documents, labels.limit(0)).count() == odd_documents.count()
 
 
+def test_long_labelled_texts_leave_no_other_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_LETTERS", 20_000)
+    rng = random.Random(12)
+    bad = lambda n: " ".join(rng.choice(["vile", "nasty", "awful"]) for _ in range(n))
+    rows = [(i, f"{prose(rng, 20)} {bad(3)}" if i % 2 else prose(rng, 23), i % 2) for i in range(200)]
+    rows += [(1000 + i, f"{prose(rng, 20_000)} {bad(20_000)}", 1) for i in range(30)] + [(2000 + i, prose(rng, 30_000), 0) for i in range(30)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = toxicity._gather(toxicity.training_sample(d, labels))
+    assert len(sample) == sum(not held(i) for i, _, _ in rows)
+    by_class = [[w for _, w, y in sample if y == c] for c in (0, 1)]
+    for own in by_class:
+        assert sum(len(w) for words in own for w in words) <= 20_000
+    assert sum("vile" in w for w in by_class[1]) > 0.7 * len(by_class[1])
+    predicted = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, labels).collect()}
+    assert sum(predicted[i] == y for i, _, y in rows) > 0.9 * len(rows)
+
+
+def test_training_text_that_fits_is_whole(spark):
+    d = spark.createDataFrame([(0, "one two"), (1, "three " * 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(d, labels)
+    assert {y: len(w) for _, w, y in toxicity._gather(sample)} == {r["toxic"]: len(r["text"].split()) for r in sample.collect()}
+
+
 def brute_spans(text):
     out = []
     for kind, pattern, group, least in (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)):
