@@ -5,15 +5,15 @@ cells of a table's column start at one place (columns are padded up to ``MAX_PAD
 keeps its white space.  Scripts, styles, templates, the head, and elements that are hidden by attribute or inline style
 are left out; all other text is kept.
 
-Defined cases: null HTML gives a null text, empty HTML an empty one; elements nested deeper than ``MAX_DEPTH`` are
-taken as children of the element at that depth; unknown end tags are skipped; equal pages give equal texts; repeated
-rows stay; other columns are left out.
+Defined cases: null HTML gives a null text, empty HTML an empty one; elements nest as deep as they do; unknown end tags
+are skipped; equal pages give equal texts; repeated rows stay; other columns are left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 150
 MAX_PAD = 40
+MAX_ROWSPAN = 65_534  # as in HTML; 0 stands for the rest of the row group
 #: Element classes of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"head", "script", "style", "template", "title", "noembed", "noframes", "iframe", "datalist", "meta", "link", "object", "svg", "math"}
+UNSEEN = {"head", "script", "style", "template", "title", "noembed", "noframes", "iframe", "datalist", "meta", "link", "object"}
+#: Children of svg and math that are never shown.
+UNDRAWN = {"defs", "symbol", "clippath", "mask", "marker", "pattern", "metadata", "desc", "annotation", "annotation-xml"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "hr", "fieldset"}
 BLOCK = SPACED | {"address", "article", "aside", "body", "caption", "center", "dd", "details", "dialog", "div", "dir", "dt", "figcaption", "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "option", "search", "section", "summary", "optgroup", "select", "tbody", "td", "textarea", "tfoot", "th", "thead", "tr", "xmp"}
 HEAD = {"base", "link", "meta", "script", "style", "template", "title", "noscript"}
@@ -71,22 +73,33 @@ def build(page: str) -> Node:
     """The tree of a page, with tags that HTML implies opened and closed."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
     at = 0
 
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(low: int) -> None:
+        for x in stack[low:]:
+            places[x.tag].pop()
+        del stack[low:]
+
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def text(raw: str) -> None:
         if raw:
             if stack[-1].tag == "head" and not raw.isspace():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(entities.unescape(raw) if "&" in raw else raw)
 
     def close(tags: set[str], walls: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                if not any(x.tag in tags for x in stack[i - 1 : i]):
-                    return
-            elif stack[i].tag in walls:
-                return
+        low = last(tags)
+        if low > last(walls):
+            while low > 1 and stack[low - 1].tag in tags:
+                low -= 1
+            cut(low)
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -99,32 +112,22 @@ def build(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            low = last({tag})
+            if low and (tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or low >= last(WALLS)):
+                cut(low)
             continue
         attributes = _attributes(m[3])
         if tag == "html":
             root.attributes = attributes | root.attributes
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES:
-            closed, walls = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in walls:
-                    break
-                if stack[i].tag in closed:
-                    low = i
-                    while low > 1 and stack[low - 1].tag in closed:
-                        low -= 1
-                    del stack[low:]
-                    break
+            close(*CLOSES[tag])
         elif tag in BLOCK and tag not in ("option", "select"):
             close({"p"}, WALLS)
+        if tag in UNDRAWN and last({"svg", "math"}):
+            attributes["hidden"] = ""
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -132,10 +135,8 @@ def build(page: str) -> Node:
             inner = page[at : end.start() if end else len(page)]
             node.children.append(entities.unescape(inner) if tag == "textarea" else inner)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
-        elif tag not in VOID and m[3].endswith("/") and len(stack) < MAX_DEPTH and tag not in ("svg", "math", "path", "use"):
-            stack.append(node)
+        elif tag not in VOID and not (m[3].endswith("/") and (tag in ("svg", "math", "path", "use") or last({"svg", "math"}))):
+            push(node)
     return root
 
 
@@ -227,18 +228,23 @@ def _table(table: Node) -> list[str]:
     rows: list[list[list[str]]] = []
     before: list[str] = []
     after: list[str] = []
+    hang: dict[int, int] = {}  # rows for which a cell from above still takes a column
     todo = list(reversed(table.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
+        if x is None:
+            hang.clear()
+        elif isinstance(x, str):
             if x.strip():
                 before.append(_WHITE.sub(" ", x).strip())
         elif not visible(x):
             continue
         elif x.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(x.children)
+            hang.clear()
+            todo += [None, *reversed(x.children)]
         elif x.tag == "tr":
             cells: list[list[str]] = []
+            new: dict[int, int] = {}
             for c in x.children:
                 if isinstance(c, str):
                     if c.strip():
@@ -246,9 +252,17 @@ def _table(table: Node) -> list[str]:
                 elif c.tag in ("td", "th") and not visible(c):
                     continue
                 elif visible(c):
+                    while len(cells) in hang:
+                        cells.append([])
+                    first = len(cells)
                     cells.append(_render(c if c.tag in ("td", "th") else Node("td", {}, [c])))
                     span = c.attributes.get("colspan", "1")
                     cells += [[] for _ in range(min(int(span), 100) - 1 if span.isdecimal() and span.isascii() else 0)]
+                    down = c.attributes.get("rowspan", "1")
+                    down = min(int(down[:9]) or MAX_ROWSPAN, MAX_ROWSPAN) if down.isdecimal() and down.isascii() else 1
+                    if down > 1:
+                        new.update((i, down) for i in range(first, len(cells)))
+            hang = {i: n - 1 for i, n in (hang | new).items() if n > 1}
             rows.append(cells)
         elif x.tag == "caption":
             before += _render(x)
@@ -269,7 +283,14 @@ def _table(table: Node) -> list[str]:
 
 
 def text_of(page: str | None) -> str | None:
-    return None if page is None else "\n".join(_render(build(page))).strip("\n")
+    if page is None:
+        return None
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1_000 + 4 * page.count("<")))  # calls of Python functions take no C stack
+    try:
+        return "\n".join(_render(build(page))).strip("\n")
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:

@@ -215,6 +215,22 @@ def test_layout(page, text):
     assert html_text.text_of(page) == text
 
 
+WHOLE_CASES = [
+    ("a<div hidden>" + "<div>" * 200 + "no" + "</div>" * 200 + "no</div>b", "ab"),
+    ("<div>" * 200 + "<template>no</template><p style='display:none'>no</p>in" + "</div>" * 200 + "out", "in\nout"),
+    ("<div>" * 200 + "<ul><li>x<li>y</ul>" + "</div>" * 200, "- x\n- y"),
+    ("<div>" * 30_000 + "in" + "</div>" * 30_000 + "out", "in\nout"),
+    ("a <svg><title>t</title><desc>d</desc><circle r=1 /><text>drawn</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a drawn x=1 b"),
+    ("<table><tr><td rowspan=2>ab<td>c<td>d<tr><td>x<td>y<tr><td>z</table>", "ab  c  d\n    x  y\nz"),
+    ("<table><tr><td>k<td rowspan=0 colspan=2>ab<tr><td>l<td>m<tbody><tr><td>n<td>o<td>p</table>", "k  ab\nl         m\nn  o   p"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), WHOLE_CASES)
+def test_layout_of_deep_drawn_and_spanning_elements(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "in" + "</div>" * 5000
     wide = "<table>" + "".join(f"<tr><td>{'w' * 50_000 if i == 3 else i}<td>v" for i in range(200)) + "</table>"
