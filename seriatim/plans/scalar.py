@@ -225,7 +225,7 @@ def f27_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f02_section_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.section_slug(F.lit("ch1"), F.substring("text", 1, 90)).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", text.section_slug(F.lit("ch1"), F.col("text")).alias("slug"))
 
 
 @query()

@@ -177,3 +177,11 @@ def test_facts(spark):
 @pytest.mark.parametrize("name", ["a-b", "x"])
 def test_titles(spark, name):
     assert values(spark, [name], text.title_from_slug(X)) == [" ".join(w.capitalize() for w in re.split("-", name))]
+
+
+def test_section_slugs_take_the_whole_text(spark, tmp_path):
+    from seriatim.plans.scalar import f02_section_slugs
+
+    d = spark.createDataFrame([(1, "é" * 80 + " " + "word " * 13 + "end")], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in f02_section_slugs(spark, str(tmp_path)).collect()] == [(1, "ch1-" + "-".join(["word"] * 12))]
