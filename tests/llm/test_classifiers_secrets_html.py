@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,42 @@ def test_toxicity(spark, odd_documents, no_documents):
     assert toxicity.score(odd_documents, labels.limit(0)).count() == odd_documents.count()
 
 
+def alone(model, text):
+    """A document's score by plain loops over its own windows."""
+    words = toxicity.words_of(text)
+    blank = np.zeros(model.table.shape[1])
+    rows = []
+    for w in words:
+        ids, _ = toxicity.ngram_ids([w], toxicity.GRAMS, toxicity.BUCKETS, whole=True)
+        rows.append(sum(model.table[i].astype(float) for i in ids) / len(ids) ** 0.5)
+    best, column = [], 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            at = [sum((rows[i + o] if i + o < len(rows) else blank)[column + o * toxicity.FILTERS + f] for o in range(width)) for i in range(max(1, len(rows)))]
+            best.append(max(at))
+        column += width * toxicity.FILTERS
+    z = sum(max(0.0, b + c) * w for b, c, w in zip(best, model.bias, model.weight, strict=True)) + model.out_bias
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.scale * z + model.shift))))
+
+
+def test_toxicity_of_a_document_is_its_own(spark):
+    """Equal to plain loops over one document, whatever stands beside it, in any order and any number of parts."""
+    rng = random.Random(8)
+    bad = lambda: prose(rng, rng.randint(0, 5)) + " vile nasty " + prose(rng, rng.randint(0, 5))
+    sample = [(None, toxicity.words_of(bad() if i % 2 else prose(rng, rng.randint(0, 12))), i % 2) for i in range(120)]
+    model = toxicity.train(sample)
+    texts = ["", "one", "one two", None, "vile", "nasty vile", *(bad() for _ in range(40)), *(prose(rng, n) for n in range(30))]
+    rows = [(i, t) for i, t in enumerate(texts + texts[::-1])]
+    want = {i: alone(model, t or "") for i, t in rows}
+    seen = []
+    for parts, order in ((1, rows), (7, rows), (1, rows[::-1]), (3, rng.sample(rows, len(rows)))):
+        d = spark.createDataFrame(spark.sparkContext.parallelize(order, parts), "doc_id long, text string")
+        got = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score_column(d, model, ["doc_id"]).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+        seen.append(got)
+    assert all(s == seen[0] for s in seen)
+
+
 def test_long_labelled_texts_leave_no_other_out(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_LETTERS", 20_000)
     rng = random.Random(12)
