@@ -43,6 +43,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Staging:
+    """The tables of one run, in a folder of their own within the shared one; ``clear`` deletes those that no later step reads."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/seriatim/{name}-{uuid.uuid4().hex}", []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back."""
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *kept: str) -> None:
+        """Deletes all tables but those of the names ``kept``."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            if path.rsplit("/", 1)[1].split("-", 1)[1] not in kept:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
+
+
 def keyed_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the bound, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
