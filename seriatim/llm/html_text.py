@@ -1,12 +1,14 @@
 """HTML to text with layout: a tree builder with implied tags, visibility rules, and a block renderer.
 
 Blocks are set apart by line breaks, paragraphs and the like by a blank line; list items carry marks and indentation;
-cells of a table's column start at one place (columns are padded up to ``MAX_PAD`` characters); preformatted text
-keeps its white space.  Scripts, styles, templates, the head, and elements that are hidden by attribute or inline style
-are left out; all other text is kept.
-
-Defined cases: null HTML gives a null text, empty HTML an empty one; elements nest as deep as they do; unknown end tags
-are skipped; equal pages give equal texts; repeated rows stay; other columns are left out.
+cells of a table's column start at one place: a column is as wide as its widest line of up to ``WIDTH`` characters, and
+a longer line stands alone, with the cells to its right going on below it.  Preformatted text keeps its white space.
+Scripts, styles, templates, the head, and elements that are hidden by attribute or inline style are left out (what is
+visible again within ``visibility: hidden`` isn't); all other text is kept.
+
+Defined cases: null HTML gives a null text, empty HTML an empty one; pages are as long and elements nest as deep as they
+do; unknown end tags are skipped; equal pages give equal texts; repeated rows stay; other columns, whatever their names,
+are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAD = 40
+#: Longest line of a cell that takes part in the column's width.
+WIDTH = 40
+MAX_COLSPAN = 1000  # as in HTML
 MAX_ROWSPAN = 65_534  # as in HTML; 0 stands for the rest of the row group
 #: Element classes of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -49,7 +53,8 @@ CLOSES = {
 WALLS = {"table", "td", "th", "caption", "button", "object", "html", "template"}
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -74,7 +79,7 @@ def build(page: str) -> Node:
     root = Node("html")
     stack = [root]
     places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
-    at = 0
+    at, tags_end = 0, max(page.rfind(">"), page.rfind("<!")) + 1  # no tag ends later; a comment may be open
 
     def push(node: Node) -> None:
         places.setdefault(node.tag, []).append(len(stack))
@@ -102,7 +107,7 @@ def build(page: str) -> Node:
             cut(low)
 
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at < tags_end else None
         if m is None:
             text(page[at:])
             break
@@ -141,8 +146,15 @@ def build(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether the element has a box at all."""
     a = node.attributes
-    return not (node.tag in UNSEEN or a and ("hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and _HIDDEN_STYLE.search(a["style"]))))
+    return not (node.tag in UNSEEN or a and ("hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and _NO_BOX.search(a["style"]))))
+
+
+def shows(node: Node, before: bool) -> bool:
+    """Whether the element's own text is shown, as its style has it or else as around it."""
+    m = _VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else None
+    return m[-1].lower() == "visible" if m else before
 
 
 class _Flow:
@@ -178,23 +190,23 @@ class _Flow:
         self.gap = spaced
 
 
-def _render(node: Node, keep: bool = False) -> list[str]:
+def _render(node: Node, keep: bool = False, shown: bool = True) -> list[str]:
     flow = _Flow(keep)
-    _into(flow, node, keep)
+    _into(flow, node, keep, shown)
     flow.flush()
     return flow.lines
 
 
-def _into(flow: _Flow, node: Node, keep: bool) -> None:
+def _into(flow: _Flow, node: Node, keep: bool, shown: bool) -> None:
+    shown = shows(node, shown)
     number = 0
     if node.tag == "ol":
         with_start = node.attributes.get("start", "1")
         number = int(with_start) - 1 if re.fullmatch(r"-?\d{1,9}", with_start) else 0
     for child in node.children:
         if isinstance(child, str):
-            if not keep:
-                child = child.replace("\v", " ")
-            flow.inline.append(child)
+            if shown:
+                flow.inline.append(child if keep else child.replace("\v", " "))
         elif not visible(child):
             continue
         elif child.tag == "br":
@@ -205,49 +217,66 @@ def _into(flow: _Flow, node: Node, keep: bool) -> None:
         elif child.tag in BLOCK:
             flow.flush()
             if child.tag == "table":
-                lines = _table(child)
+                lines = _table(child, shown)
             elif child.tag == "li":
                 number += 1
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                own = _render(child, keep)
+                own = _render(child, keep, shown)
                 lines = [(mark if i == 0 else " " * len(mark) if line else "") + line for i, line in enumerate(own)]
             elif child.tag in ("blockquote", "dd"):
-                lines = [f"  {line}" if line else "" for line in _render(child, keep)]
+                lines = [f"  {line}" if line else "" for line in _render(child, keep, shown)]
             else:
-                lines = _render(child, keep or child.tag in ("pre", "textarea", "xmp"))
+                lines = _render(child, keep or child.tag in ("pre", "textarea", "xmp"), shown)
                 if child.tag in ("pre", "textarea", "xmp"):
                     lines = lines[1:] if lines and not lines[0].strip() else lines
                     while lines and not lines[-1].strip():
                         lines.pop()
             flow.add(lines, child.tag in SPACED and not (node.tag == "li" and child.tag in ("ul", "ol")))
         else:
-            _into(flow, child, keep)
-
-
-def _table(table: Node) -> list[str]:
+            _into(flow, child, keep, shown)
+
+
+def _row(cells: list[list[str]], widths: list[int]) -> list[str]:
+    """A row's lines: every cell's lines start at its column's place."""
+    columns: list[list[str]] = []
+    alone: set[int] = set()  # lines that are too long for their column
+    for cell, width in zip(cells, widths, strict=False):
+        column: list[str] = []
+        for line in cell:
+            while len(column) in alone:
+                column.append("")
+            column.append(line)
+        alone |= {k for k, line in enumerate(column) if len(line) > width}
+        columns.append(column)
+    return ["  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(columns, widths, strict=False)).rstrip(" ") for k in range(max(map(len, columns), default=0))]
+
+
+def _table(table: Node, shown: bool) -> list[str]:
+    shown = shows(table, shown)
     rows: list[list[list[str]]] = []
     before: list[str] = []
     after: list[str] = []
     hang: dict[int, int] = {}  # rows for which a cell from above still takes a column
-    todo = list(reversed(table.children))
+    todo = [(x, shown) for x in reversed(table.children)]
     while todo:
-        x = todo.pop()
+        x, lit = todo.pop()
         if x is None:
             hang.clear()
         elif isinstance(x, str):
-            if x.strip():
+            if x.strip() and lit:
                 before.append(_WHITE.sub(" ", x).strip())
         elif not visible(x):
             continue
         elif x.tag in ("thead", "tbody", "tfoot"):
             hang.clear()
-            todo += [None, *reversed(x.children)]
+            todo += [(None, lit), *((y, shows(x, lit)) for y in reversed(x.children))]
         elif x.tag == "tr":
+            own = shows(x, lit)
             cells: list[list[str]] = []
             new: dict[int, int] = {}
             for c in x.children:
                 if isinstance(c, str):
-                    if c.strip():
+                    if c.strip() and own:
                         cells.append([_WHITE.sub(" ", c).strip()])
                 elif c.tag in ("td", "th") and not visible(c):
                     continue
@@ -255,9 +284,9 @@ def _table(table: Node) -> list[str]:
                     while len(cells) in hang:
                         cells.append([])
                     first = len(cells)
-                    cells.append(_render(c if c.tag in ("td", "th") else Node("td", {}, [c])))
+                    cells.append(_render(c if c.tag in ("td", "th") else Node("td", {}, [c]), shown=own))
                     span = c.attributes.get("colspan", "1")
-                    cells += [[] for _ in range(min(int(span), 100) - 1 if span.isdecimal() and span.isascii() else 0)]
+                    cells += [[] for _ in range(min(int(span[:9]), MAX_COLSPAN) - 1 if span.isdecimal() and span.isascii() else 0)]
                     down = c.attributes.get("rowspan", "1")
                     down = min(int(down[:9]) or MAX_ROWSPAN, MAX_ROWSPAN) if down.isdecimal() and down.isascii() else 1
                     if down > 1:
@@ -265,20 +294,16 @@ def _table(table: Node) -> list[str]:
             hang = {i: n - 1 for i, n in (hang | new).items() if n > 1}
             rows.append(cells)
         elif x.tag == "caption":
-            before += _render(x)
+            before += _render(x, shown=lit)
         else:
-            after += _render(Node("div", {}, [x]))
+            after += _render(Node("div", {}, [x]), shown=lit)
     widths: list[int] = []
     for cells in rows:
         for i, c in enumerate(cells):
             if i == len(widths):
                 widths.append(0)
-            widths[i] = max(widths[i], *(len(line) for line in c), 0) if c else widths[i]
-    widths = [min(w, MAX_PAD) for w in widths]
-    lines = []
-    for cells in rows:
-        for k in range(max(map(len, cells), default=0)):
-            lines.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip(" "))
+            widths[i] = max(widths[i], *(len(line) for line in c if len(line) <= WIDTH), 0)
+    lines = [line for cells in rows for line in _row(cells, widths)]
     return [*before, *lines, *after]
 
 

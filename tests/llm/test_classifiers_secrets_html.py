@@ -264,6 +264,17 @@ WHOLE_CASES = [
 ]
 
 
+LONG = " ".join(["word"] * 12)
+WHOLE_CASES += [
+    ("a<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<p>no</div>b", "a\nyes\nb"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>x<td>no</table>", "  x"),
+    (f"<table><tr><td>a<td>{LONG}<td>z<tr><td>ab<td>c<td>d<br>e</table>", f"a   {LONG}\n       z\nab  c  d\n       e"),
+    (f"<table><tr><td>{LONG}<td>{LONG}<td>z<tr><td>a<td>b<td>c</table>", f"{LONG}\n   {LONG}\n      z\na  b  c"),
+    ("<table><tr><td colspan=300>a<td>b</table>", "a" + "  " * 299 + "  b"),
+    ("a<p title='x", "a<p title='x"),
+]
+
+
 @pytest.mark.parametrize(("page", "text"), WHOLE_CASES)
 def test_layout_of_deep_drawn_and_spanning_elements(page, text):
     assert html_text.text_of(page) == text
