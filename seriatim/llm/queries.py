@@ -64,20 +64,16 @@ lines AS (
   SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM d WHERE text IS NOT NULL
 ),
-seen AS (SELECT host, line, count(DISTINCT r) AS n FROM lines WHERE trim(line) <> '' GROUP BY host, line),
-totals AS (SELECT host, count(*) AS total FROM d GROUP BY host),
-boiler AS (
-  SELECT host, line FROM seen JOIN totals USING (host)
-  WHERE n >= {line_dedup.MIN_PAGES} AND n > CAST({line_dedup.MAX_RATIO} AS DOUBLE) * total
-),
+signed AS (SELECT r, min(md5(line)) AS page FROM lines WHERE trim(line) <> '' GROUP BY r),
+seen AS (SELECT host, line, count(DISTINCT page) AS n FROM lines JOIN signed USING (r) WHERE trim(line) <> '' GROUP BY host, line),
+totals AS (SELECT host, count(DISTINCT page) AS total FROM d JOIN signed USING (r) GROUP BY host),
+boiler AS (SELECT host, line FROM seen JOIN totals USING (host) WHERE n > 1 AND n > CAST({line_dedup.MAX_RATIO} AS DOUBLE) * total),
 marked AS (SELECT l.*, b.line IS NOT NULL AS bad FROM lines l LEFT JOIN boiler b ON l.host = b.host AND l.line = b.line),
 by_row AS (
-  SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, count(*) FILTER (NOT bad AND trim(line) <> '') AS n_good,
-    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad) AS kept
+  SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad) AS kept
   FROM marked GROUP BY r
 )
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_good > 0 THEN n_bad ELSE 0 END AS n_dropped,
-  CASE WHEN n_good > 0 AND n_bad > 0 THEN kept ELSE text END AS text
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_dropped, CASE WHEN n_bad > 0 THEN coalesce(kept, '') ELSE text END AS text
 FROM d LEFT JOIN by_row USING (r)
 """
 

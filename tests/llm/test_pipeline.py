@@ -41,7 +41,7 @@ def test_toxicity(spark, stages):
 
 def test_lines(stages):
     before, after = stages["line_dedup"]
-    want = brute_lines([(r["doc_id"], r["source"], r["text"]) for r in before.collect()], line_dedup.MAX_RATIO, line_dedup.MIN_PAGES)
+    want = brute_lines([(r["doc_id"], r["source"], r["text"]) for r in before.collect()], line_dedup.MAX_RATIO)
     assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == sorted((i, t) for i, _, _, t in want)
 
 

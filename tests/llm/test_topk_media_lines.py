@@ -73,19 +73,19 @@ def test_media_sequences(spark):
     assert out[2] == []
 
 
-def brute_lines(rows, ratio, least):
-    pages, seen = Counter(), Counter()
+def brute_lines(rows, ratio):
+    pages, seen = defaultdict(set), defaultdict(set)
     for _, host, t in rows:
-        pages[host] += 1
-        for line in set((t or "").split("\n")):
-            if line.strip(" "):
-                seen[host, line] += 1
+        filled = [x for x in (t or "").split("\n") if x.strip(" ")]
+        if filled:
+            page = min(hashlib.md5(x.encode()).hexdigest() for x in filled)
+            pages[host].add(page)
+            for line in filled:
+                seen[host, line].add(page)
     out = []
     for i, host, t in rows:
         lines = [] if t is None else t.split("\n")
-        kept = [x for x in lines if not (x.strip(" ") and seen[host, x] >= least and seen[host, x] > ratio * pages[host])]
-        if not any(x.strip(" ") for x in kept):
-            kept = lines
+        kept = [x for x in lines if not (x.strip(" ") and len(seen[host, x]) > max(1, ratio * len(pages[host])))]
         out.append((i, len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)))
     return out
 
@@ -103,13 +103,25 @@ def test_lines(spark, monkeypatch, broadcast):
     rows += [rows[5], (300, "c", "menu"), (301, "a", "menu\nfooter")]
     df = spark.createDataFrame([(*r, len(r[2] or "")) for r in rows], "doc_id long, source string, text string, n_chars long").repartition(3)
     got = line_dedup.report(df).collect()
-    assert Counter(map(tuple, got)) == Counter(brute_lines(rows, line_dedup.MAX_RATIO, line_dedup.MIN_PAGES))
+    assert Counter(map(tuple, got)) == Counter(brute_lines(rows, line_dedup.MAX_RATIO))
     assert any(r["n_dropped"] for r in got)
     cleaned = line_dedup.clean(df)
     assert cleaned.columns == df.columns
     assert all(r["n_chars"] == len(r["text"] or "") for r in cleaned.collect())
 
 
+def test_lines_of_copies_stay(spark):
+    """A group of near copies that each change a line, and exact copies, keep theirs; a banner goes, from pages of nothing else too."""
+    rng = random.Random(6)
+    own = [f"shared {j}" for j in range(40)]
+    rows = [(i, "a", "\n".join(["banner", *(f"own {i} {j}" for j in range(9))])) for i in range(300)]
+    rows += [(1000 + i, "a", "\n".join(f"changed {i}" if j == rng.randrange(40) else x for j, x in enumerate(own))) for i in range(60)]
+    rows += [(2000 + i, "a", "same\ntext") for i in range(60)] + [(3000 + i, "a", "banner") for i in range(40)]
+    got = {r["doc_id"]: r for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(got[i]["n_dropped"] == (i < 1000 or i >= 3000) for i, _, _ in rows)
+    assert got[3001]["text"] == ""
+
+
 def test_lines_of_odd_documents(odd_documents, no_documents):
     assert line_dedup.clean(odd_documents).schema == odd_documents.schema
     assert line_dedup.clean(odd_documents).count() == odd_documents.count()
