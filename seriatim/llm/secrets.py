@@ -1,32 +1,41 @@
 """Secret scans: fixed rules, and formats learned by grammar inference.
 
-The rules' matches in a bounded sample are labelled credentials.  For each kind a prefix tree of their values is built
-and statistically compatible states are merged (Hoeffding bound), which gives a probabilistic automaton.  Every other
-run of credential characters is scored by how much likelier its best automaton makes it than a background model of
-the sample's other runs; those over the cut are spans of kind ``learned``.  The cut comes from credentials kept back and
-from the odds that a background run scores as much, never from the runs to be judged: these may be credentials
-themselves, so in the background each counts by the probability that it is none (a mixture, fitted in a few rounds).
-
-Candidates are looked for in the whole text: bytes are mapped to classes and long runs found before any pattern runs.
-
-Defined cases: a null text counts as empty; a text without secrets has an empty list of spans; without labelled
-credentials only the rules apply; equal texts get equal spans; repeated rows and, in ``redact``, all columns stay.
+The rules' matches in a bounded sample are labelled credentials.  For each kind a prefix tree of their values is built,
+whose branches are an alphanumeric character or one of the marks, and whose states count their characters and ends.
+States that are statistically compatible (Hoeffding bound, on the characters, the ends and all that follows) are
+merged, which gives a probabilistic automaton.  A value's likelihood is that of its characters and of ending where it
+ends.  Every other run of credential characters, from the rules' least length on, is scored by how much likelier its
+best automaton makes it than a background model of the sample's other runs; those over the cut are spans of kind
+``learned``.  The cut comes from credentials kept back and from the odds that a background run scores as much, never
+from the runs to be judged: these may be credentials themselves, so in the background each counts by the probability
+that it is none (a mixture, fitted in a few rounds).
+
+Runs are looked for in the whole text: bytes outside them become blanks, and a task scores each different run once,
+many in one step of numpy.
+
+Defined cases: a null text counts as empty; a text without secrets has an empty list of spans; texts and runs are as
+long as they are; a run within a rule's span adds none, one that reaches beyond it may; without labelled credentials
+only the rules apply; equal texts get equal spans; repeated rows and, in ``redact``, all columns stay, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.llm.common import staged, texts
+from seriatim.llm.common import slices, staged, texts
 
 #: The rules' patterns, and the least length of what each has to find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,21 +44,29 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "learned")
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-RUN_LENGTH = 20
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % RUN_LENGTH)
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST["assign"])
 _HEX_CLASS = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256))
-_RUN_CLASS = bytes(99 if RUN.fullmatch(chr(b) * RUN_LENGTH) and b < 128 else 46 for b in range(256))
-#: Documents of the sample (those with the smallest hashes of their ids), and runs a kind that it may give.
+_LETTERS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_.=-"
+_RUN_BYTES = bytes(b if b in _LETTERS else 32 for b in range(256))
+_NUMBER = np.array([max(0, _LETTERS.find(bytes([b]))) for b in range(256)])
+K = len(_LETTERS)
+#: A character's branch in a tree: 0 for letters and digits, then the marks.
+_BRANCH = np.maximum(0, np.arange(K) - 61)
+#: Documents of the sample (those with the smallest hashes of their ids), credentials a kind and other runs that it may
+#: give, and characters of each that are learned from.
 SAMPLE_DOCUMENTS = 20_000
 SAMPLE_RUNS = 400
-#: Characters of a run that are scored at most in one go; longer ones are scored in parts and averaged.
-PART = 64
+SAMPLE_OTHERS = 8_000
+RUN_LETTERS = 128
 ALPHA = 0.05
-SMOOTH = 0.02
-ALPHABET = 66  # the run's characters and the end
+#: Weight of the format's characters as a whole in those of a state, and of chance in both.
+PRIOR, SMOOTH = 20.0, 0.02
 #: Rounds of the mixture, and the odds that a run of the background is taken for one of the formats at most.
 ROUNDS = 10
 FALSE_ALARM = 1e-6
+#: Runs longer than this go through an automaton one by one.
+STEPS = 512
+KNOWN_RUNS = 1_000_000
 REDACTED = "[secret]"
 Span = tuple[str, int, int]
 
@@ -67,60 +84,81 @@ def rule_spans(text: str, raw: bytes | None = None) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def free_runs(text: str, spans: list[Span], raw: bytes | None = None) -> list[tuple[int, int]]:
-    """Long runs of credential characters that touch no span."""
-    raw = text.encode() if raw is None else raw
-    if b"c" * RUN_LENGTH not in raw.translate(_RUN_CLASS):
-        return []
-    return [(m.start(), m.end()) for m in RUN.finditer(text) if all(e <= m.start() or m.end() <= b for _, b, e in spans)]
-
-
-@dataclass
-class Automaton:
-    """Probabilistic automaton: for each state the log likelihoods of symbols and of the end, and its moves."""
+def runs_of(raw: bytes) -> set[bytes]:
+    """The different runs of credential characters that are long enough."""
+    return {r for r in raw.translate(_RUN_BYTES).split() if len(r) >= LEAST["assign"]}
 
-    logs: list[dict[str, float]]
-    moves: list[dict[str, int]]
-    other: list[float]
 
-    def per_symbol(self, run: str) -> float:
-        total, state = 0.0, 0
-        for c in run:
-            total += self.logs[state].get(c, self.other[state])
-            state = self.moves[state].get(c, state)
-        return total / len(run)
+def coded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Character numbers of all runs in a row, and where each starts (with the end)."""
+    ends = np.zeros(len(runs) + 1, np.int64)
+    np.cumsum([len(r) for r in runs], out=ends[1:])
+    return _NUMBER[np.frombuffer(b"".join(runs), np.uint8)], ends
 
 
-def learn(runs: list[str]) -> Automaton:
+@dataclass
+class Automaton:
+    """Probabilistic automaton: each state's log likelihoods of characters and of the end, and its moves by branch."""
+
+    chars: np.ndarray  # states x K
+    end: np.ndarray
+    moves: np.ndarray  # states x branches; a branch without a move stays
+
+    def likelihoods(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = np.diff(ends)
+        out, state = np.zeros(len(size)), np.zeros(len(size), np.int64)
+        short = np.flatnonzero(size <= STEPS)
+        order = short[np.argsort(-size[short], kind="stable")]
+        upto = np.searchsorted(-size[order], -np.arange(1, size[short].max(initial=0) + 1), side="right")
+        for t, n in enumerate(upto.tolist()):
+            at = order[:n]
+            c, s = codes[ends[at] + t], state[at]
+            out[at] += self.chars[s, c]
+            state[at] = self.moves[s, _BRANCH[c]]
+        for i in np.flatnonzero(size > STEPS).tolist():
+            out[i], state[i] = self._long(codes[ends[i] : ends[i + 1]])
+        return out + self.end[state]
+
+    def _long(self, codes: np.ndarray) -> tuple[float, int]:
+        path, state, moves = [], 0, self.moves.tolist()
+        for branch in _BRANCH[codes].tolist():
+            path.append(state)
+            state = moves[state][branch]
+        return float(self.chars[path, codes].sum()), state
+
+
+def learn(runs: list[bytes]) -> Automaton:
     """Merges compatible states of the prefix tree of ``runs``, in breadth-first order."""
-    moves: list[dict[str, int]] = [{}]
-    flow: list[dict[str, int]] = [{}]
-    ends, arrive = [0], [0]
+    moves: list[dict[int, int]] = [{}]
+    chars, ends = [np.zeros(K)], [0]
     for run in runs:
         s = 0
-        arrive[0] += 1
-        for c in run[:PART]:
-            if c not in moves[s]:
-                moves[s][c] = len(moves)
+        for c in _NUMBER[np.frombuffer(run[:RUN_LETTERS], np.uint8)].tolist():
+            chars[s][c] += 1
+            b = int(_BRANCH[c])
+            if b not in moves[s]:
+                moves[s][b] = len(moves)
                 moves.append({})
-                flow.append({})
+                chars.append(np.zeros(K))
                 ends.append(0)
-                arrive.append(0)
-            flow[s][c] = flow[s].get(c, 0) + 1
-            s = moves[s][c]
-            arrive[s] += 1
-        ends[s] += 1
+            s = moves[s][b]
+        ends[s] += len(run) <= RUN_LETTERS
+    whole = sum(chars) + SMOOTH
+    whole /= whole.sum()
+    margin = math.sqrt(0.5 * math.log(2 / ALPHA))
 
-    def differ(a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > math.sqrt(0.5 * math.log(2 / ALPHA)) * (n**-0.5 + m**-0.5)
+    def arrived(x: int) -> float:
+        return max(1.0, float(chars[x].sum()) + ends[x])
 
     def compatible(a: int, b: int) -> bool:
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
-            if differ(ends[x], arrive[x], ends[y], arrive[y]) or any(differ(flow[x].get(c, 0), arrive[x], flow[y].get(c, 0), arrive[y]) for c in {*flow[x], *flow[y]}):
+            n, m = arrived(x), arrived(y)
+            bound = margin * (n**-0.5 + m**-0.5)
+            if abs(ends[x] / n - ends[y] / m) > bound or np.abs(chars[x] / n - chars[y] / m).max() > bound:
                 return False
-            todo += [(moves[x][c], moves[y][c]) for c in moves[x] if c in moves[y] and moves[x][c] != moves[y][c] and arrive[moves[y][c]] > 1]
+            todo += [(moves[x][c], moves[y][c]) for c in moves[x] if c in moves[y] and moves[x][c] != moves[y][c]]
         return True
 
     def fold(a: int, b: int) -> None:
@@ -128,61 +166,59 @@ def learn(runs: list[str]) -> Automaton:
         while todo:
             x, y = todo.pop()
             ends[x] += ends[y]
-            arrive[x] += arrive[y]
-            for c, n in flow[y].items():
-                flow[x][c] = flow[x].get(c, 0) + n
+            chars[x] = chars[x] + chars[y]
             for c, to in moves[y].items():
                 if c not in moves[x]:
                     moves[x][c] = to
                 elif moves[x][c] != to:
                     todo.append((moves[x][c], to))
 
-    kept, queue = [0], [(0, c) for c in sorted(moves[0])]
-    seen = {0}
+    kept, queue = [0], [(0, b) for b in sorted(moves[0])]
     while queue:
-        s, c = queue.pop(0)
-        t = moves[s][c]
-        if t in seen:
+        s, b = queue.pop(0)
+        t = moves[s][b]
+        if t in kept:
             continue
         to = next((k for k in kept if compatible(k, t)), None)
         if to is None:
             kept.append(t)
-            seen.add(t)
             queue += [(t, x) for x in sorted(moves[t])]
         else:
-            moves[s][c] = to
+            moves[s][b] = to
             fold(to, t)
-            queue += [(k, x) for k in kept for x in sorted(moves[k]) if moves[k][x] not in seen and (k, x) not in queue]
+            queue += [(k, x) for k in kept for x in sorted(moves[k]) if moves[k][x] not in kept and (k, x) not in queue]
     number = {s: i for i, s in enumerate(kept)}
-    logs, other = [], []
-    for s in kept:
-        total = sum(flow[s].values()) + ends[s]
-        logs.append({c: math.log((n + SMOOTH) / (total + SMOOTH * ALPHABET)) for c, n in flow[s].items()})
-        other.append(math.log(SMOOTH / (total + SMOOTH * ALPHABET)))
-    return Automaton(logs, [{c: number[t] for c, t in moves[s].items() if t in number} for s in kept], other)
+    counts, total = np.array([chars[s] for s in kept]), np.array([arrived(s) for s in kept])
+    last = np.array([ends[s] for s in kept])
+    return Automaton(
+        np.log((counts + PRIOR * whole) / (total + PRIOR + SMOOTH)[:, None]),
+        np.log((last + SMOOTH) / (total + PRIOR + SMOOTH)),
+        np.array([[number[moves[s].get(b, s)] for b in range(int(_BRANCH.max()) + 1)] for s in kept]),
+    )
 
 
 @dataclass
 class Background:
-    """Log likelihood of a run by pairs of characters."""
+    """Log likelihoods of pairs of characters, with the start and the end of a run as number K."""
 
-    pairs: dict[str, float]
-    firsts: dict[str, float]
+    logs: np.ndarray
 
-    def per_symbol(self, run: str) -> float:
-        total = 0.0
-        for a, b in zip(f"^{run}", run, strict=False):
-            total += math.log((self.pairs.get(a + b, 0) + 1) / (self.firsts.get(a, 0) + ALPHABET))
-        return total / len(run)
+    @staticmethod
+    def pairs(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pairs in a row, and where each run's start."""
+        marked = np.insert(codes, ends, K)  # a mark before each run and at the end; an empty run has one too
+        before = marked[:-1] * (K + 1)
+        return before + marked[1:], ends[:-1] + np.arange(len(ends) - 1)
 
+    @classmethod
+    def of(cls, codes: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> Background:
+        number, starts = cls.pairs(codes, ends)
+        counts = np.bincount(number, weights=np.repeat(weights, np.diff(np.append(starts, len(number)))), minlength=(K + 1) ** 2).reshape(K + 1, K + 1)
+        return cls(np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + K + 1)))
 
-def _background(runs: list[str], weights: list[float]) -> Background:
-    pairs, firsts = Counter(), Counter()
-    for run, weight in zip(runs, weights, strict=True):
-        for a, b in zip(f"^{run}", run, strict=False):
-            pairs[a + b] += weight
-            firsts[a] += weight
-    return Background(dict(pairs), dict(firsts))
+    def likelihoods(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        number, starts = self.pairs(codes, ends)
+        return np.add.reduceat(self.logs.ravel()[number], starts) if len(starts) else np.zeros(0)
 
 
 @dataclass
@@ -191,20 +227,25 @@ class Model:
     background: Background
     cut: float
 
-    def format_score(self, run: str) -> float:
-        """The log likelihood a character of the best automaton."""
-        parts = [run[i : i + PART] for i in range(0, len(run), PART)]
-        return max((sum(a.per_symbol(p) * len(p) for p in parts) for a in self.automata.values()), default=-math.inf) / len(run)
+    def formats(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The log likelihood of the best automaton."""
+        return np.max([a.likelihoods(codes, ends) for a in self.automata.values()], axis=0, initial=-1e300)
+
+    def scores(self, runs: list[bytes]) -> np.ndarray:
+        """By how much, in nats a character, the best automaton makes each run likelier than the background."""
+        codes, ends = coded(runs)
+        return (self.formats(codes, ends) - self.background.likelihoods(codes, ends)) / np.maximum(1, np.diff(ends))
+
+    def all_found(self, runs: list[bytes]) -> np.ndarray:
+        """Over the cut, and with so much evidence in all that a background run has it with odds of FALSE_ALARM at most (a likelihood ratio of x has odds of 1 / x under the background)."""
+        score = self.scores(runs)
+        return (score > self.cut) & (score * np.array([len(r) for r in runs]) > math.log(max(len(self.automata), 1) / FALSE_ALARM))
 
     def score(self, run: str) -> float:
-        """By how much, in nats a character, the best automaton makes the run likelier than the background."""
-        parts = [run[i : i + PART] for i in range(0, len(run), PART)]
-        return self.format_score(run) - sum(self.background.per_symbol(p) * len(p) for p in parts) / len(run)
+        return float(self.scores([run.encode()])[0])
 
     def found(self, run: str) -> bool:
-        """Over the cut, and with so much evidence in all that a background run has it with odds of FALSE_ALARM at most (a likelihood ratio of x has odds of 1 / x under the background)."""
-        score = self.score(run)
-        return score > self.cut and score * len(run) > math.log(max(len(self.automata), 1) / FALSE_ALARM)
+        return bool(self.all_found([run.encode()])[0])
 
 
 def train(credentials: dict[str, list[str]], others: list[str]) -> Model:
@@ -214,79 +255,104 @@ def train(credentials: dict[str, list[str]], others: list[str]) -> Model:
     """
     automata, held = {}, {}
     for kind, runs in sorted(credentials.items()):
-        own = sorted(set(runs))[:SAMPLE_RUNS]
+        own = [r.encode() for r in sorted(set(runs))[:SAMPLE_RUNS]]
         if len(own) >= 5:
             automata[kind] = learn([r for i, r in enumerate(own) if i % 5])
             held[kind] = own[::5]
-    model = Model({}, _background(others, [1.0] * len(others)), math.inf)
+    codes, ends = coded([r.encode() for r in others])
+    model = Model({}, Background.of(codes, ends, np.ones(len(others))), math.inf)
     for kind, automaton in automata.items():
         if _tenth(Model({kind: automaton}, model.background, 0.0), held[kind]) > 0:
             model.automata[kind] = automaton
     if model.automata:
-        _separate(model, others)
+        _separate(model, codes, ends)
         model.cut = max(0.0, _tenth(model, [r for kind in model.automata for r in held[kind]]) / 2)
     return model
 
 
-def _tenth(model: Model, runs: list[str]) -> float:
+def _tenth(model: Model, runs: list[bytes]) -> float:
     """The score that nine of ten runs reach."""
-    return sorted(model.score(r) for r in runs)[len(runs) // 10]
+    return float(np.sort(model.scores(runs))[len(runs) // 10])
 
 
-def _separate(model: Model, others: list[str]) -> None:
-    """Fits the background to ``others`` by the probability of each that it is of no learned format."""
-    formats = [model.format_score(r) for r in others]
-    weights, share = [1.0] * len(others), 0.5
+def _separate(model: Model, codes: np.ndarray, ends: np.ndarray) -> None:
+    """Fits the background to the other runs by the probability of each that it is of no learned format."""
+    formats = model.formats(codes, ends)
+    weights, share = np.ones(len(formats)), 0.5
     for _ in range(ROUNDS):
-        model.background = _background(others, weights)
-        lead = [(f - sum(model.background.per_symbol(r[i : i + PART]) * len(r[i : i + PART]) for i in range(0, len(r), PART)) / len(r)) * len(r) for f, r in zip(formats, others, strict=True)]
-        odds = math.log(share / (1 - share))
-        before, weights = weights, [1 / (1 + math.exp(max(-700.0, min(700.0, x + odds)))) for x in lead]
-        if max((abs(x - y) for x, y in zip(before, weights, strict=True)), default=0.0) < 1e-3:
+        model.background = Background.of(codes, ends, weights)
+        lead = formats - model.background.likelihoods(codes, ends)
+        before, weights = weights, 1 / (1 + np.exp(np.clip(lead + math.log(share / (1 - share)), -700, 700)))
+        if np.abs(before - weights).max(initial=0) < 1e-3:
             break
-        share = min(0.99, max(0.01, 1 - sum(weights) / len(weights)))
-    model.background = _background(others, weights)
-
-
-def all_spans(text: str, model: Model | None, memory: dict[str, bool] | None = None) -> list[Span]:
-    raw = text.encode()
-    spans = rule_spans(text, raw)
-    if model and model.automata:
-        memory = {} if memory is None else memory
-        for a, b in free_runs(text, spans, raw):
-            run = text[a:b]
-            if run not in memory:
-                if len(memory) > 100_000:
-                    memory.clear()
-                memory[run] = model.found(run)
-            if memory[run]:
-                spans.append(("learned", a, b))
-        spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-    return spans
+        share = min(0.99, max(0.01, 1 - float(weights.mean())))
+    model.background = Background.of(codes, ends, weights)
+
+
+@dataclass
+class Finder:
+    """A task's memory of the runs that it has scored."""
+
+    model: Model | None
+    known: set[bytes] = field(default_factory=set)
+    hits: set[bytes] = field(default_factory=set)
+
+    def spans(self, all_texts: Iterable[str]) -> list[list[Span]]:
+        """Every text's spans, of the rules and learned."""
+        raws = [t.encode() for t in all_texts]
+        out = [rule_spans(t, raw) for t, raw in zip(all_texts, raws, strict=True)]
+        if not self.model or not self.model.automata:
+            return out
+        runs = [runs_of(raw) for raw in raws]
+        if len(self.known) > KNOWN_RUNS:
+            self.known, self.hits = set(), set()
+        fresh = sorted(set().union(*runs) - self.known)
+        self.known.update(fresh)
+        self.hits.update(fresh[i] for i in np.flatnonzero(self.model.all_found(fresh)).tolist())
+        for text, own, spans in zip(all_texts, runs, out, strict=True):
+            if not self.hits.isdisjoint(own):
+                new = [(m.start(), m.end()) for m in RUN.finditer(text) if m[0].encode() in self.hits]
+                spans += [("learned", a, b) for a, b in new if not any(x <= a and b <= y for _, x, y in spans)]
+                spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+        return out
+
+
+def all_spans(text: str, model: Model | None) -> list[Span]:
+    return Finder(model).spans([text])[0]
+
+
+def _smallest(runs: set[str]) -> set[str]:
+    return set(heapq.nsmallest(SAMPLE_OTHERS, runs, key=lambda r: (zlib.crc32(r.encode()), r)))
 
 
 def fit(documents: DataFrame) -> Model:
-    """From SAMPLE_DOCUMENTS documents; at most SAMPLE_RUNS runs a kind reach the driver."""
+    """From SAMPLE_DOCUMENTS documents; at most SAMPLE_RUNS credentials a kind and SAMPLE_OTHERS other runs, those with the smallest checksums, reach the driver."""
     keys = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64(F.lit("secrets"), "doc_id").alias("h"))
     chosen = staged(keys.orderBy("h", "id").limit(SAMPLE_DOCUMENTS).select("id").distinct(), "secrets-sample")
     sample = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, set[str]] = defaultdict(set)
         for batch in batches:
-            found = defaultdict(set)
             for text in texts(batch):
                 spans = rule_spans(text)
                 for kind, a, b in spans:
                     value = ASSIGN.fullmatch(text[a:b])[2] if kind == "assign" else text[a:b]
-                    found[kind].add(value[: 4 * PART])
-                found["other"].update(text[a:b][: 4 * PART] for a, b in free_runs(text, spans))
-            rows = [(k, v) for k, own in found.items() for v in own]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in rows], pa.string()), "run": pa.array([v for _, v in rows], pa.string())})
-
-    found = sample.select("text").mapInArrow(runs, "kind string, run string").distinct()
+                    found[kind].add(value[: RUN_LETTERS + 1])
+                own = runs_of(text.encode())
+                if spans:  # what a rule has found, or holds, is no other run
+                    own -= {m[0].encode() for m in RUN.finditer(text) if any(x < m.end() and m.start() < y for _, x, y in spans)}
+                found["other"].update(r[: RUN_LETTERS + 1].decode() for r in own)
+                if len(found["other"]) > 16 * SAMPLE_OTHERS:
+                    found["other"] = _smallest(found["other"])
+        found["other"] = _smallest(found["other"])
+        rows = [(k, v) for k, own in found.items() for v in own]
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in rows], pa.string()), "run": pa.array([v for _, v in rows], pa.string())})
+
+    found = staged(sample.select("text").mapInArrow(runs, "kind string, run string").distinct(), "secrets-runs")
     by_kind: dict[str, list[str]] = {}
     for kind in ("assign", "access", "hex", "other"):
-        own = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("run"), "run").limit(SAMPLE_RUNS if kind != "other" else 4 * SAMPLE_RUNS)
+        own = found.filter(F.col("kind") == kind).orderBy(F.crc32(F.col("run").cast("binary")), "run").limit(SAMPLE_OTHERS if kind == "other" else SAMPLE_RUNS)
         by_kind[kind] = [r["run"] for r in own.collect()]
     others = by_kind.pop("other")
     return train(by_kind, others)
@@ -297,15 +363,15 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memory = shared.value, {}
+        finder = Finder(shared.value)
         for batch in batches:
-            rows = []
-            for text in texts(batch):
-                spans = all_spans(text, m, memory)
-                base = [s for s in spans if s[0] != "learned"]
-                n = Counter(s[0] for s in base)
-                line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
-                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(line.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
+            all_texts, rows = texts(batch), []
+            for part in slices(len(all_texts)):
+                for spans in finder.spans(all_texts[part]):
+                    base = [s for s in spans if s[0] != "learned"]
+                    n = Counter(s[0] for s in base)
+                    line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+                    rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(line.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
             names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.string()) for i in range(5))], names=["doc_id", *names])
 
@@ -329,13 +395,14 @@ def redact(documents: DataFrame, model: Model | None = None) -> DataFrame:
     spot = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memory = shared.value, {}
+        finder = Finder(shared.value)
         for batch in batches:
             arrays, out, changed = list(batch.columns), [], []
-            for text in batch.column(spot).to_pylist():
-                spans = all_spans(text, m, memory) if text else []
-                out.append(_blank(text, spans) if spans else text)
-                changed.append(bool(spans))
+            all_texts = batch.column(spot).to_pylist()
+            for part in slices(len(all_texts)):
+                for text, spans in zip(all_texts[part], finder.spans([t or "" for t in all_texts[part]]), strict=True):
+                    out.append(_blank(text, spans) if spans else text)
+                    changed.append(bool(spans))
             arrays[spot] = pa.array(out, pa.string())
             if "n_chars" in columns:
                 i = columns.index("n_chars")

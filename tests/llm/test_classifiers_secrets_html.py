@@ -196,6 +196,55 @@ def test_learned_formats_of_the_fitted_table(spark):
     assert {r["doc_id"]: r["spans"] for r in rows if r["doc_id"] >= 40} == {i: "learned:4:36" for i in range(40, 60)}
 
 
+def slow_likelihood(a, run):
+    """One run, one character at a time."""
+    total, state = 0.0, 0
+    for c in run:
+        k = secrets._LETTERS.index(c)
+        total += a.chars[state][k]
+        state = a.moves[state][secrets._BRANCH[k]]
+    return total + a.end[state]
+
+
+def test_automata_against_plain_loops():
+    rng = random.Random(13)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)) for _ in range(80)]
+    a = secrets.learn([k.encode() for k in keys])
+    assert len(a.end) == 21  # the length of the format, and its first four characters
+    for chars, end in zip(np.exp(a.chars), np.exp(a.end), strict=True):
+        assert abs(chars.sum() + end - 1) < 1e-9
+    assert np.exp(a.end[20]) > 0.75
+    assert np.exp(a.end[:20]).max() < 1e-3
+    runs = [b"AKIA" + bytes(rng.choice(b"ABCZ9-_=x") for _ in range(n)) for n in (*range(40), 600, 5000)] + [k.encode() for k in keys]
+    codes, ends = secrets.coded(runs)
+    assert np.allclose(a.likelihoods(codes, ends), [slow_likelihood(a, r) for r in runs])
+    b = secrets.Background.of(codes, ends, np.ones(len(runs)))
+    pairs = Counter(p for r in runs for p in zip(b"^" + r, r + b"$", strict=True))
+    firsts = Counter(x for r in runs for x in b"^" + r)
+    want = [sum(math.log((pairs[p] + 1) / (firsts[p[0]] + secrets.K + 1)) for p in zip(b"^" + r, r + b"$", strict=True)) for r in runs]
+    assert np.allclose(b.likelihoods(codes, ends), want)
+    mixed = secrets.learn([bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(8, 30))) for _ in range(200)])
+    assert len(mixed.end) < 10  # compatible states are merged
+
+
+def test_short_formats_and_runs_beside_rules():
+    rng = random.Random(14)
+    pin = lambda: f"{rng.randrange(100):02d}-{rng.randrange(100):02d}-{rng.choice('QXZ')}{rng.choice('QXZ')}{rng.randrange(10)}{rng.choice('QXZ')}"
+    pins = [pin() for _ in range(90)]
+    words = ["".join(rng.choice(["the", "ing", "and", "tion", "er", "stone"]) for _ in range(3)) for _ in range(400)]
+    model = secrets.train({"assign": pins[:70]}, words[:300])
+    assert sum(model.found(p) for p in pins[70:]) >= 18
+    assert not any(model.found(w) for w in words[300:])
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(80)]
+    model = secrets.train({"hex": keys[:60]}, words[:300])
+    text = f"see {keys[70]}9Q here, token={keys[71]}"
+    base = brute_spans(text)
+    spans = secrets.all_spans(text, model)
+    assert set(base) <= set(spans)
+    assert ("learned", 4, 38) in spans  # reaches beyond the rule's span
+    assert not [s for s in spans if s[0] == "learned" and s[1] > 38]  # a rule's span covers it
+
+
 def test_words_are_no_format(spark):
     words = sorted({w for r in table(spark, "documents").limit(300).collect() for w in re.findall(r"[A-Za-z]{6,}", r["text"] or "")})
     random.Random(11).shuffle(words)
