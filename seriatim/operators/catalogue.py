@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriatim.operators.merge import unused
+
 
 def tag_counts(posts: DataFrame) -> DataFrame:
     """blog_id, tag, n: posts of each blog by tag; a tag counts once a post."""
@@ -19,14 +23,15 @@ def with_blog(rows: DataFrame, blogs: DataFrame) -> DataFrame:
 
 def feed_counts(feeds: DataFrame, blogs: DataFrame, posts: DataFrame, counted: bool = False) -> DataFrame:
     """``feeds`` with ``n_posts``: tagged posts of a feed with a tag, else the blog's stored count, or with ``counted`` its rows."""
-    tagged = tag_counts(posts).withColumnRenamed("tag", "tag_filter").withColumnRenamed("n", "_tagged")
+    own, all_ = unused("tagged", feeds), unused("whole", feeds)
+    tagged = tag_counts(posts).withColumnRenamed("tag", "tag_filter").withColumnRenamed("n", own)
     if counted:
-        whole = posts.groupBy("blog_id").agg(F.count("*").alias("_whole"))
+        whole = posts.groupBy("blog_id").agg(F.count("*").alias(all_))
     else:
-        whole = blogs.select(F.col("id").alias("blog_id"), F.col("post_count").cast("long").alias("_whole"))
+        whole = blogs.select(F.col("id").alias("blog_id"), F.col("post_count").cast("long").alias(all_))
     has_tag = F.coalesce("tag_filter", F.lit("")) != ""
     d = feeds.join(tagged, ["blog_id", "tag_filter"], "left").join(whole, "blog_id", "left")
-    return d.select(*feeds.columns, F.coalesce(F.when(has_tag, F.col("_tagged")).otherwise(F.col("_whole")), F.lit(0)).alias("n_posts"))
+    return d.select(*feeds.columns, F.coalesce(F.when(has_tag, F.col(own)).otherwise(F.col(all_)), F.lit(0)).alias("n_posts"))
 
 
 def feed_posts(feed_tag: Column, posts: DataFrame) -> DataFrame:
@@ -59,9 +64,23 @@ def at_limit(subscriptions: DataFrame, most: int = 3) -> DataFrame:
     return d.groupBy("subscriber_id").agg(F.count("*").alias("n")).withColumn("at_limit", F.col("n") >= most)
 
 
-def numbered(posts: DataFrame, group: list[str], order: list[Column], name: str = "post_index") -> DataFrame:
-    """Rows numbered from 1 within ``group``."""
-    return posts.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str = "post_index", bucket: Column | None = None) -> DataFrame:
+    """Rows numbered from 1 within ``group`` by ``order``, which is unique there.
+
+    ``bucket`` never falls along ``order`` (a date's month, an id's thousands, a name's first letters).  With it rows are
+    ranked within group and bucket, and the counts of the buckets before are added, so a hot group is ranked by many
+    tasks; the counts are a row for each group and bucket.
+    """
+    if bucket is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    b, base = unused("bucket", rows), unused("base", rows)
+    d = rows.withColumn(b, bucket)
+    before = Window.partitionBy(*group).orderBy(F.asc_nulls_first(b)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*group, b).agg(F.count("*").alias(base)).withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    counts = counts.select(*(F.col(g).alias(unused(g, rows)) for g in group), F.col(b).alias(f"{b}_"), base)
+    own = F.row_number().over(Window.partitionBy(*group, b).orderBy(*order))
+    same = reduce(Column.__and__, [*(F.col(g).eqNullSafe(F.col(unused(g, rows))) for g in group), F.col(b).eqNullSafe(F.col(f"{b}_"))])
+    return d.withColumn(name, own).join(counts, same).select(*rows.columns, (F.col(name) + F.col(base)).cast("int").alias(name))
 
 
 def dated(undated_first: bool = True) -> Column:
@@ -75,12 +94,11 @@ def sections(headings: DataFrame, group: str, position: str, end: Column) -> Dat
 
 
 def concatenated(parts: list[DataFrame], order: list[Column]) -> DataFrame:
-    """Several series one after the other, numbered anew from 1 as ``post_index``."""
-    d = None
-    for i, p in enumerate(parts):
-        p = p.withColumn("_series", F.lit(i))
-        d = p if d is None else d.unionByName(p)
-    return d.withColumn("post_index", F.row_number().over(Window.orderBy("_series", *order))).drop("_series")
+    """Several series one after the other, numbered anew from 1 as ``post_index``: each by itself, and on from the sizes of those before."""
+    series = unused("series", *parts)
+    d = reduce(DataFrame.unionByName, (p.withColumn(series, F.lit(i)) for i, p in enumerate(parts)))
+    nothing = unused("all", *parts)
+    return numbered(d.withColumn(nothing, F.lit(0)), [nothing], order, bucket=F.col(series)).drop(series, nothing)
 
 
 def site_entries(app_url: str, feeds: DataFrame, blogs: DataFrame, pages: list[tuple[str, float]]) -> DataFrame:

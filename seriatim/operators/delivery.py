@@ -5,10 +5,11 @@ State never changes row by row: a transition takes the state and a batch of even
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriatim.functions import dates, text
+from seriatim.operators.merge import first_by, least_by, unused
 
 #: Blogs up to which their table is sent to every executor; the larger is joined by shuffles.
 BROADCAST_BLOGS = 200_000
@@ -42,8 +43,6 @@ def stalled(subscriptions: DataFrame, posts: DataFrame, as_of: Column) -> DataFr
 
 def due_by_tag(subscriptions: DataFrame, feeds: DataFrame, posts: DataFrame, as_of: Column) -> DataFrame:
     """Extension: due subscriptions where the next post counts within the feed's tag, not the whole blog."""
-    from pyspark.sql import Window
-
     f = feeds.select(F.col("id").alias("feed_id"), "blog_id", "tag_filter")
     own = posts.select("blog_id", F.col("id").alias("post_id"), "post_index", F.explode("tags").alias("tag"))
     order = Window.partitionBy("blog_id", "tag").orderBy("post_index", "post_id")
@@ -53,8 +52,8 @@ def due_by_tag(subscriptions: DataFrame, feeds: DataFrame, posts: DataFrame, as_
     return s.join(f, "feed_id").join(tagged, ["blog_id", "tag_filter", "tag_index"]).select("subscription_id", "feed_id", "post_id", "tag_index")
 
 
-def outbox(items: DataFrame, template: str, app_url: str, campaign_source: str, limit: int | None = None) -> DataFrame:
-    """Letters for due items; ``limit`` (none or 0: all) takes the first by subscription."""
+def outbox(items: DataFrame, template: str, app_url: str, campaign_source: str, limit: int | None = None, reply_to: str | None = None) -> DataFrame:
+    """Letters for due items; ``limit`` (none or 0: all) takes the first by subscription.  With ``reply_to`` they have that address and a List-Unsubscribe header to it."""
     if limit:
         items = items.orderBy("subscription_id").limit(limit)
     url = text.with_campaign(F.col("post_original_url"), campaign_source)
@@ -69,7 +68,8 @@ def outbox(items: DataFrame, template: str, app_url: str, campaign_source: str,
         "unsubscribe_url": text.unsubscribe_url(app_url, F.col("subscription_id")),
         "app_url": F.lit(app_url),
     }
-    return items.select("subscription_id", "post_id", "post_index", text.address(F.col("subscriber_name"), F.col("subscriber_email")).alias("recipient"), F.concat_ws(" — ", "post_title", "blog_name").alias("subject"), text.render(F.lit(template), values).alias("html"))
+    back = [] if reply_to is None else [F.lit(reply_to).alias("reply_to"), F.lit(f"<mailto:{reply_to}?subject=unsubscribe>").alias("list_unsubscribe")]
+    return items.select("subscription_id", "post_id", "post_index", *back, text.address(F.col("subscriber_name"), F.col("subscriber_email")).alias("recipient"), F.concat_ws(" — ", "post_title", "blog_name").alias("subject"), text.render(F.lit(template), values).alias("html"))
 
 
 def mark_sent(subscriptions: DataFrame, blogs: DataFrame, sent: DataFrame, as_of: Column, preferences: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -83,20 +83,24 @@ def mark_sent(subscriptions: DataFrame, blogs: DataFrame, sent: DataFrame, as_of
         later = dates.next_send_local(as_of, F.col("frequency_days"), F.col("preferred_day"), F.col("preferred_hour"), F.col("timezone"))
     else:
         later = dates.next_send_simple(as_of, F.col("frequency_days"))
-    hit = sent.select(F.col("subscription_id").alias("id")).distinct().withColumn("_sent", F.lit(True))
-    totals = blogs.select(F.col("id").alias("blog_id"), F.col("post_count").alias("_total"))
+    was, total = unused("sent", subscriptions), unused("total", subscriptions)
+    hit = sent.select(F.col("subscription_id").alias("id")).distinct().withColumn(was, F.lit(True))
+    totals = blogs.select(F.col("id").alias("blog_id"), F.col("post_count").alias(total))
     joined = subscriptions.join(hit, "id", "left").join(totals, "blog_id", "left")
-    is_sent = F.col("_sent").isNotNull() & F.col("_total").isNotNull()
-    new = {"current_post_index": n, "last_sent_at": as_of, "next_send_at": later, "is_completed": n >= F.col("_total"), "updated_at": as_of}
+    is_sent = F.col(was).isNotNull() & F.col(total).isNotNull()
+    new = {"current_post_index": n, "last_sent_at": as_of, "next_send_at": later, "is_completed": n >= F.col(total), "updated_at": as_of}
     state = joined.select(*(F.when(is_sent, new[c]).otherwise(F.col(c)).cast(subscriptions.schema[c].dataType).alias(c) if c in new else F.col(c) for c in subscriptions.columns))
     log = sent.select("subscription_id", "post_id", F.col("message_id").alias("resend_message_id"), as_of.alias("sent_at"))
     return state, log
 
 
-def subscribe(subscriptions: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """New subscriptions for ``requests`` (subscriber_id, feed_id, blog_id, frequency_days, preferred_day, preferred_hour, timezone), and the requests that already have one."""
+def subscribe(subscriptions: DataFrame, requests: DataFrame, as_of: Column, arrival: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """New subscriptions for ``requests`` (subscriber_id, feed_id, blog_id, frequency_days, preferred_day, preferred_hour, timezone), and the requests that already have one.
+
+    Of several requests for one feed the first by ``arrival`` (unique) counts; without it, the least by its columns.
+    """
     key = ["subscriber_id", "feed_id"]
-    first = requests.dropDuplicates(key)
+    first = first_by(requests, key, arrival) if arrival else least_by(requests, key)
     known = subscriptions.select(*key).filter("feed_id is not null").distinct()
     fresh = first.join(known, key, "left_anti")
     already = first.join(known, key, "left_semi")
@@ -107,18 +111,20 @@ def subscribe(subscriptions: DataFrame, requests: DataFrame, as_of: Column) -> t
 
 def set_preferences(subscriptions: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """``changes`` (id, frequency_days, preferred_day, preferred_hour; null leaves as it is) take effect, with the next time computed anew."""
-    c = changes.select("id", *(F.col(x).alias(f"_{x}") for x in ("frequency_days", "preferred_day", "preferred_hour")), F.lit(True).alias("_hit"))
+    hit = unused("hit", subscriptions)
+    c = changes.select("id", *(F.col(x).alias(f"{hit}_{x}") for x in ("frequency_days", "preferred_day", "preferred_hour")), F.lit(True).alias(hit))
     d = subscriptions.join(c, "id", "left")
-    new = {x: F.coalesce(f"_{x}", x) for x in ("frequency_days", "preferred_day", "preferred_hour")}
+    new = {x: F.coalesce(f"{hit}_{x}", x) for x in ("frequency_days", "preferred_day", "preferred_hour")}
     later = dates.next_send_instant(as_of, new["frequency_days"], new["preferred_day"], F.coalesce(new["preferred_hour"].cast("int"), F.lit(dates.DEFAULT_HOUR)), F.coalesce("timezone", F.lit(dates.DEFAULT_ZONE)))
-    new["next_send_at"] = F.when(F.col("_hit"), later).otherwise(F.col("next_send_at"))
+    new["next_send_at"] = F.when(F.col(hit), later).otherwise(F.col("next_send_at"))
     return d.select(*(new[x].cast(subscriptions.schema[x].dataType).alias(x) if x in new else F.col(x) for x in subscriptions.columns))
 
 
 def toggle(subscriptions: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
     """Pauses active and resumes paused subscriptions of ``ids`` (id); the next time stays."""
-    d = subscriptions.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
-    hit = F.col("_hit").isNotNull()
+    name = unused("hit", subscriptions)
+    d = subscriptions.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left")
+    hit = F.col(name).isNotNull()
     new = {"is_active": F.when(hit, ~F.col("is_active")).otherwise(F.col("is_active")), "paused_at": F.when(hit & F.col("is_active"), as_of).when(hit, F.lit(None)).otherwise(F.col("paused_at"))}
     return d.select(*(new[x].cast(subscriptions.schema[x].dataType).alias(x) if x in new else F.col(x) for x in subscriptions.columns))
 
@@ -141,6 +147,7 @@ def first_events(events: DataFrame, opened: str = "email.opened", clicked: str =
 
 def apply_first_events(log: DataFrame, found: DataFrame) -> DataFrame:
     """The log with times of first events where it had none."""
-    f = found.select(F.col("message_id").alias("resend_message_id"), F.col("opened_at").alias("_o"), F.col("clicked_at").alias("_c"))
-    new = {"opened_at": F.coalesce("opened_at", "_o"), "clicked_at": F.coalesce("clicked_at", "_c")}
+    o, c = unused("opened", log), unused("clicked", log)
+    f = found.select(F.col("message_id").alias("resend_message_id"), F.col("opened_at").alias(o), F.col("clicked_at").alias(c))
+    new = {"opened_at": F.coalesce("opened_at", o), "clicked_at": F.coalesce("clicked_at", c)}
     return log.join(f, "resend_message_id", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in log.columns))

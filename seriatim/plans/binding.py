@@ -5,10 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriatim.operators import catalogue
+
 AS_OF = "1998-06-01 12:00:00"
+#: Ids of a blog's posts that are ranked in one task.
+ROWS_OF_A_BLOG = 1 << 20
 
 BLOGS_SQL = """blogs AS (
   SELECT source AS id, source AS slug, 'Blog ' || source AS name,
@@ -18,7 +22,7 @@ BLOGS_SQL = """blogs AS (
 )"""
 POSTS_SQL = """posts AS (
   SELECT doc_id AS id, source AS blog_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS post_index,
-    substr(text, 1, 40) AS title, text AS content_text, '<p>' || substr(text, 1, 80) || '</p>' AS content_html,
+    split_part(text, chr(10), 1) AS title, text AS content_text, '<p>' || text || '</p>' AS content_html,
     'https://' || source || '.example.org/p/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '?ref=x' ELSE '' END AS original_url,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE strftime(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') END AS published_at,
     lang AS tag
@@ -78,8 +82,8 @@ class Tables:
     def posts(self) -> DataFrame:
         day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "yyyy-MM-dd")
         url = F.concat(F.lit("https://"), "source", F.lit(".example.org/p/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "?ref=x").otherwise(""))
-        index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-        return self.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("blog_id"), index.alias("post_index"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content_text"), F.concat(F.lit("<p>"), F.substring("text", 1, 80), F.lit("</p>")).alias("content_html"), url.alias("original_url"), F.when(F.col("doc_id") % 7 != 0, day).alias("published_at"), F.col("lang").alias("tag"), F.array("lang").alias("tags"))
+        d = catalogue.numbered(self.documents, ["source"], [F.asc("doc_id")], bucket=F.floor(F.col("doc_id") / ROWS_OF_A_BLOG))
+        return d.select(F.col("doc_id").alias("id"), F.col("source").alias("blog_id"), "post_index", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content_text"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("content_html"), url.alias("original_url"), F.when(F.col("doc_id") % 7 != 0, day).alias("published_at"), F.col("lang").alias("tag"), F.array("lang").alias("tags"))
 
     @cached_property
     def feeds(self) -> DataFrame:

@@ -52,10 +52,9 @@ def p07_not_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.col("content_html").isNotNull() & (F.col("content_html") != "")).select("id")
 
 
-@query("SELECT doc_id, CASE WHEN substr(text, 1, 120) = '' OR starts_with(text, '1.') OR length(substr(text, 1, 120)) > 100 THEN 'Untitled' ELSE text END AS title FROM documents")
+@query("SELECT doc_id, CASE WHEN text = '' OR starts_with(text, '1.') OR length(text) > 100 THEN 'Untitled' ELSE text END AS title FROM documents")
 def p19_title_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 120)
-    bad = (head == "") | F.col("text").startswith("1.") | (F.length(head) > 100)
+    bad = (F.col("text") == "") | F.col("text").startswith("1.") | (F.length("text") > 100)
     return Tables(spark, sf_dir).documents.select("doc_id", F.when(bad, "Untitled").otherwise(F.col("text")).alias("title"))
 
 

@@ -41,14 +41,17 @@ APP = "https://reader.example.org"
 _Q = "''"
 
 
-@query(sql(DUE_VIEWS, f"""SELECT s.id AS subscription_id, p.id AS post_id, s.current_post_index + 1 AS post_index, CASE WHEN coalesce(u.name, '') <> '' THEN u.name || ' <' || u.email || '>' ELSE u.email END AS recipient,
+REPLY = "letters@reader.example.org"
+
+
+@query(sql(DUE_VIEWS, f"""SELECT s.id AS subscription_id, p.id AS post_id, s.current_post_index + 1 AS post_index, '{REPLY}' AS reply_to, '<mailto:{REPLY}?subject=unsubscribe>' AS list_unsubscribe, CASE WHEN coalesce(u.name, '') <> '' THEN u.name || ' <' || u.email || '>' ELSE u.email END AS recipient,
   p.title || ' — ' || b.name AS subject,
   '<h1>' || p.title || '</h1><p>' || b.name || ' | Post ' || CAST(s.current_post_index + 1 AS VARCHAR) || ' of ' || CAST(b.post_count AS VARCHAR) || ' | '
   || CAST(CAST(CASE WHEN b.post_count > 0 THEN round_even(CAST(s.current_post_index + 1 AS DOUBLE) / b.post_count * 100, 0) ELSE 0 END AS INTEGER) AS VARCHAR) || '%</p>' || p.content_html
   || '<a href={_Q}' || p.original_url || CASE WHEN position('?' IN p.original_url) > 0 THEN '&' ELSE '?' END || 'utm_source={CAMPAIGN}&utm_medium=email&utm_campaign=drip{_Q}>read</a> <a href={_Q}{APP}/unsubscribe?sid='
   || CAST(s.id AS VARCHAR) || '{_Q}>stop</a> {APP}' AS html {DUE_FROM}"""))
 def f12_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.outbox(_due(Tables(spark, sf_dir)), TEMPLATE, APP, CAMPAIGN)
+    return delivery.outbox(_due(Tables(spark, sf_dir)), TEMPLATE, APP, CAMPAIGN, reply_to=REPLY)
 
 
 @query(sql(DUE_VIEWS, f"SELECT count(*) AS n_due {DUE_FROM}"))
@@ -81,11 +84,11 @@ def p01_due_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.subscriptions.filter(F.col("is_active") & ~F.col("is_completed") & (F.col("next_send_at") <= t.as_of)).select("id")
 
 
-@query(sql("blogs subscriptions", "SELECT s.id, s.frequency_days, s.current_post_index, b.post_count FROM subscriptions s JOIN blogs b ON b.id = s.blog_id WHERE s.id % 100 = 7"))
+@query(sql("blogs subscriptions", "SELECT s.id, s.frequency_days, s.current_post_index, b.post_count FROM subscriptions s JOIN blogs b ON b.id = s.blog_id"))
 def j02_subscription_blog(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     b = t.blogs.select(F.col("id").alias("blog_id"), "post_count")
-    return t.subscriptions.filter(F.col("id") % 100 == 7).join(b, "blog_id").select("id", "frequency_days", "current_post_index", "post_count")
+    return t.subscriptions.join(b, "blog_id").select("id", "frequency_days", "current_post_index", "post_count")
 
 
 SERIES = [("First", "first", "en"), ("Second", "second", "fr")]
@@ -113,10 +116,10 @@ def j04_feed_blog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.col("blog.name").alias("blog_name"), F.col("blog.url").alias("blog_url"))
 
 
-@query(sql("blogs feeds subscriptions", "SELECT s.id, b.name AS blog_name, coalesce(f.name, b.name) AS shown_name FROM subscriptions s LEFT JOIN blogs b ON b.id = s.blog_id LEFT JOIN feeds f ON f.id = s.feed_id WHERE s.subscriber_id % 10 = 1"))
+@query(sql("blogs feeds subscriptions", "SELECT s.id, b.name AS blog_name, coalesce(f.name, b.name) AS shown_name FROM subscriptions s LEFT JOIN blogs b ON b.id = s.blog_id LEFT JOIN feeds f ON f.id = s.feed_id"))
 def j05_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    d = catalogue.with_blog(t.subscriptions.filter(F.col("subscriber_id") % 10 == 1), t.blogs)
+    d = catalogue.with_blog(t.subscriptions, t.blogs)
     d = d.join(t.feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name")), "feed_id", "left")
     return d.select("id", F.col("blog.name").alias("blog_name"), F.coalesce("feed_name", "blog.name").alias("shown_name"))
 
@@ -207,21 +210,22 @@ def a14_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("posts", "SELECT id, blog_id, CAST(row_number() OVER (PARTITION BY blog_id ORDER BY coalesce(nullif(published_at, ''), '0000'), original_url) AS INTEGER) AS place FROM posts"))
 def wn01_index_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions by date with undated posts first (sort T-01)."""
-    d = catalogue.numbered(Tables(spark, sf_dir).posts, ["blog_id"], [catalogue.dated(), F.asc("original_url")], "place")
+    d = catalogue.numbered(Tables(spark, sf_dir).posts, ["blog_id"], [catalogue.dated(), F.asc("original_url")], "place", F.substring(catalogue.dated(), 1, 7))
     return d.select("id", "blog_id", "place")
 
 
 @query(sql("posts", "SELECT id, blog_id, CAST(row_number() OVER (PARTITION BY blog_id ORDER BY coalesce(nullif(published_at, ''), '9999'), original_url) AS INTEGER) AS place FROM posts"))
 def t02_index_undated_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = catalogue.numbered(Tables(spark, sf_dir).posts, ["blog_id"], [catalogue.dated(False), F.asc("original_url")], "place")
+    d = catalogue.numbered(Tables(spark, sf_dir).posts, ["blog_id"], [catalogue.dated(False), F.asc("original_url")], "place", F.substring(catalogue.dated(False), 1, 7))
     return d.select("id", "blog_id", "place")
 
 
 @query(sql("posts", """SELECT id, series, CAST(row_number() OVER (ORDER BY series, id) AS INTEGER) AS post_index FROM (
-  SELECT id, 0 AS series FROM posts WHERE blog_id = 'src1' UNION ALL SELECT id, 1 FROM posts WHERE blog_id = 'src2')"""))
+  SELECT id, CASE WHEN tag = 'en' THEN 0 ELSE 1 END AS series FROM posts)"""))
 def wn02_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Tables(spark, sf_dir).posts
-    parts = [p.filter(F.col("blog_id") == b).select("id", F.lit(i).alias("series")) for i, b in enumerate(("src1", "src2"))]
+    english = F.coalesce(F.col("tag") == "en", F.lit(False))
+    parts = [p.filter(own).select("id", F.lit(i).alias("series")) for i, own in enumerate((english, ~english))]
     return catalogue.concatenated(parts, [F.asc("id")])
 
 
@@ -270,12 +274,11 @@ def u01_site_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.site_entries(APP, t.feeds, t.blogs, [("", 1.0)])
 
 
-REQUESTED = "(SELECT o_custkey AS subscriber_id, 'src' || CAST(o_orderkey % 20 AS VARCHAR) || ':en' AS feed_id FROM orders WHERE o_orderkey % 50 = 1)"
+REQUESTED = "(SELECT o_custkey AS subscriber_id, 'src' || CAST(o_orderkey % 20 AS VARCHAR) || ':en' AS feed_id FROM orders)"
 
 
 def _requests(t: Tables) -> DataFrame:
-    d = t.table("orders").filter(F.col("o_orderkey") % 50 == 1)
-    return d.select(F.col("o_custkey").alias("subscriber_id"), F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string"), F.lit(":en")).alias("feed_id"))
+    return t.table("orders").select(F.col("o_custkey").alias("subscriber_id"), F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string"), F.lit(":en")).alias("feed_id"))
 
 
 @query(sql("subscriptions", f"SELECT q.subscriber_id, q.feed_id FROM {REQUESTED} q WHERE EXISTS (SELECT 1 FROM subscriptions s WHERE s.is_active AND s.subscriber_id = q.subscriber_id AND s.feed_id = q.feed_id)"))
