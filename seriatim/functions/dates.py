@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Months as they are written in texts, and the formats that are tried in order (pattern, shape, has a time).
+#: Months as they are written in texts, and the formats of days that are tried in order.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-DAY_FORMATS = ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d")
+DAY_FORMATS = ("yyyy-M-d", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d")
 DEFAULT_ZONE, DEFAULT_HOUR = "America/New_York", 9
 
 
@@ -23,7 +23,7 @@ def parse_date(text: Column) -> Column:
     base = F.date_format(F.try_to_timestamp(F.regexp_extract(t, zoned, 1), F.lit("yyyy-M-d'T'H:m:s")), "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.when((F.regexp_extract(t, zoned, 2) == "") | (micros == "000000"), "").otherwise(F.concat(F.lit("."), micros))
     with_zone = F.when(t.rlike(zoned), F.concat(base, fraction, shown))
-    days = [F.date_format(F.try_to_timestamp(t, F.lit(f)), "yyyy-MM-dd'T'00:00:00") for f in ("yyyy-M-d", *DAY_FORMATS[1:])]
+    days = [F.date_format(F.try_to_timestamp(t, F.lit(f)), "yyyy-MM-dd'T'00:00:00") for f in DAY_FORMATS]
     return F.when(text != "", F.coalesce(plain, with_zone, *days, text))
 
 

@@ -1,7 +1,8 @@
 """HTML: cleaning for e-mail, and the facts of a page that the sources need, each in one pass of the standard parser.
 
 ``clean`` keeps an allow-list of elements and attributes and leaves out the rest's tags, but not their text; elements
-that never belong in a letter go with all they hold.  ``facts`` gives titles, headings, links, metas, times, paragraphs
+that never belong in a letter go with all they hold.  Style sheets are among these, so no rules are left to inline:
+inline styles stay as they are and classes go.  ``facts`` gives titles, headings, links, metas, times, paragraphs
 and main content as one struct, so that all else is column expressions.
 
 The main content is the first article, else main, else a division of class or id content, else the body: a stand-in
@@ -31,7 +32,7 @@ DROPPED = set("script style nav iframe form input button select textarea noscrip
 HEAD = {"head", "title"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLEANED = "html string, text string, images array<struct<src:string,alt:string>>"
-FACTS = "title string, headings array<struct<tag:string,text:string>>, links array<struct<href:string,text:string>>, metas map<string,string>, times array<string>, paragraphs array<string>, main string, ids map<string,string>"
+FACTS = "title string, headings array<struct<tag:string,text:string>>, links array<struct<href:string,text:string>>, metas map<string,string>, times array<string>, paragraphs array<string>, main string, ids map<string,string>, articles array<struct<title:string,href:string,tags:array<string>,date:string>>"
 
 
 class _Cleaner(HTMLParser):
@@ -126,6 +127,8 @@ class _Facts(HTMLParser):
         self.marks: dict[str, list[int]] = {}
         self.spans: dict[str, tuple[int, int]] = {}
         self.div: tuple[int, int] | None = None
+        self.articles: list[_Article] = []
+        self.around: list[_Article] = []  # open ones
         self.depth = 0
         self.muted = 0
         self.page = page
@@ -152,6 +155,11 @@ class _Facts(HTMLParser):
             self._done("p")
         if tag in self.HEADINGS or tag in ("a", "p", "title"):
             self.gather[tag] = [a.get("href"), [], self._at()]
+        if tag == "article":
+            self.around.append(_Article())
+            self.articles.append(self.around[-1])
+        for article in self.around:
+            article.start(tag, a)
         if a.get("id") and tag not in VOID:
             self.gather.setdefault(f"#{a['id']}", [tag, [], 0])
         if tag in ("article", "main", "body"):
@@ -177,6 +185,10 @@ class _Facts(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.muted = max(0, self.muted - 1)
+        for article in self.around:
+            article.end(tag)
+        if tag == "article" and self.around:
+            self.around.pop()
         if tag in self.gather:
             self._done(tag, self._at() + len(tag) + 3)
         for key in [k for k, v in self.gather.items() if k[0] == "#" and v[0] == tag]:
@@ -192,12 +204,61 @@ class _Facts(HTMLParser):
         if not self.muted:
             for g in self.gather.values():
                 g[1].append(data)
+            for article in self.around:
+                article.text(data)
+
+
+class _Article:
+    """What an archive page tells of one post: the link in its first title heading, its tag links, and its date."""
+
+    def __init__(self) -> None:
+        self.heading: str | None = None  # the first one's tag, while it is open
+        self.seen = False
+        self.title: list[str] | None = None
+        self.href: str | None = None
+        self.link: list[str] | None = None  # of the open link, if it is to be a title or a tag
+        self.tags: list[list[str]] = []
+        self.dated: list[str] | None = None
+        self.date_tag: str | None = None
+        self.time: str | None = None
+
+    def start(self, tag: str, a: dict[str, str]) -> None:
+        if tag in ("h1", "h2", "h3") and not self.seen and ("class" not in a or "title" in a["class"]):
+            self.heading, self.seen = tag, True
+        if tag == "a" and "href" in a:
+            self.link = []
+            if self.heading and self.href is None:
+                self.href, self.title = a["href"], self.link
+            if "/tag/" in a["href"] or "/category/" in a["href"]:
+                self.tags.append(self.link)
+        if self.dated is None and "date" in a.get("class", "") and tag not in VOID:
+            self.dated, self.date_tag = [], tag
+        if tag == "time" and self.time is None and a.get("datetime"):
+            self.time = a["datetime"]
+
+    def end(self, tag: str) -> None:
+        if tag == self.heading:
+            self.heading = None
+        if tag == "a":
+            self.link = None
+        if tag == self.date_tag:
+            self.date_tag = None
+
+    def text(self, data: str) -> None:
+        if self.link is not None:
+            self.link.append(data)
+        if self.date_tag:
+            self.dated.append(data)
+
+    def told(self) -> dict:
+        join = lambda parts: "".join(parts or []).strip()
+        return {"title": join(self.title) if self.href is not None else None, "href": self.href, "tags": [join(t).lower() for t in self.tags], "date": join(self.dated) or self.time}
 
 
 def page_facts(page: str | None) -> dict:
     f = _Facts(page or "")
     span = next((f.spans[t] for t in ("article", "main", "div", "body") if t in f.spans), (0, len(f.page)))
-    return {"title": f.title, "headings": f.headings, "links": f.links, "metas": list(f.metas.items()), "times": f.times, "paragraphs": f.paragraphs, "main": f.page[slice(*span)].strip(), "ids": list(f.ids.items())}
+    return {"title": f.title, "headings": f.headings, "links": f.links, "metas": list(f.metas.items()), "times": f.times, "paragraphs": f.paragraphs, "main": f.page[slice(*span)].strip(), "ids": list(f.ids.items()), "articles": [a.told() for a in f.articles]}
 
 
 _FACTS = pa.struct([
@@ -209,6 +270,7 @@ _FACTS = pa.struct([
     ("paragraphs", pa.list_(pa.string())),
     ("main", pa.string()),
     ("ids", pa.map_(pa.string(), pa.string())),
+    ("articles", pa.list_(pa.struct([("title", pa.string()), ("href", pa.string()), ("tags", pa.list_(pa.string())), ("date", pa.string())]))),
 ])
 
 
@@ -243,8 +305,13 @@ def tags_of(found: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found["links"], lambda x: x["href"].rlike("/(tag|category)/") & (x["text"] != "")), lambda x: F.lower(x["text"])))
 
 
+def entity_text(fragment: Column) -> Column:
+    """A fragment's text: tags left out, entities resolved; one without entities stays in the JVM."""
+    bare = F.regexp_replace(fragment, "<[^>]*>", "")
+    return F.when(bare.contains("&"), _unescaped(F.when(bare.contains("&"), bare))).otherwise(F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""))
+
+
 @F.pandas_udf(StringType())
-def entity_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A fragment's text: tags left out, entities resolved."""
+def _unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield pd.Series([None if x is None else unescape(re.sub(r"<[^>]*>", "", x)).strip() for x in part], dtype=object)
+        yield pd.Series([None if x is None else unescape(x).strip() for x in part], dtype=object)

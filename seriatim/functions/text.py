@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns of this module are fixed values: results depend on them as they are.
 _WORD_GAP = r"(?U)[\s\x1C-\x1F]+"
 WORDS_A_MINUTE = 250
 

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Parts of paths that no post has.
 NO_POST = ("/tag/", "/category/", "/author/", "/page/", "/about", "/contact", "/privacy", "/terms", "/feed", "/sitemap", "/wp-content/", "/wp-admin/")
@@ -16,11 +11,11 @@ NO_POST = ("/tag/", "/category/", "/author/", "/page/", "/about", "/contact", "/
 
 def authority(url: Column) -> Column:
     """Host and port."""
-    return F.try_parse_url(url, F.lit("AUTHORITY"))
+    return F.nullif(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.regexp_extract(F.coalesce(url, F.lit("")), "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
 def is_post(url: Column, site: Column) -> Column:
@@ -57,12 +52,25 @@ def is_absolute(url: Column, schemes: tuple[str, ...] = ("http://", "https://",
     return out
 
 
-@F.pandas_udf(StringType())
-def _joined(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for base, href in parts:
-        yield pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
-
-
 def join(base: Column, href: Column) -> Column:
-    """``href`` resolved against ``base``; absolute ones stay in the JVM."""
-    return F.when(is_absolute(href, ("http://", "https://")), href).otherwise(_joined(base, href))
+    """``href`` resolved against ``base`` (RFC 3986): scheme, host, path without dot segments, query and fragment, each from ``href`` or else, as far as it has none, from ``base``."""
+    whole = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*:))?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+    def part(u: Column, i: int) -> Column:
+        return F.regexp_extract(u, whole, i)
+
+    own, above = part(href, 3), F.regexp_replace(part(base, 3), "[^/]*$", "")
+    rooted = F.when((above == "") & (part(base, 2) != ""), F.lit("/")).otherwise(above)
+    merged = F.when(own.startswith("/"), own).otherwise(F.concat(rooted, own))
+    steps = F.split(merged, "/")
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).otherwise(F.array_append(acc, x)))
+    path_ = F.concat(F.array_join(walked, "/"), F.when(F.element_at(steps, -1).isin(".", "..") & ~F.array_join(walked, "/").endswith("/"), "/").otherwise(""))
+    site, tail = F.concat(part(base, 1), part(base, 2)), F.concat(part(href, 4), part(href, 5))
+    return (
+        F.when(href == "", base)
+        .when(part(href, 1) != "", href)
+        .when(part(href, 2) != "", F.concat(part(base, 1), href))
+        .when(own != "", F.concat(site, path_, tail))
+        .when(part(href, 4) != "", F.concat(site, part(base, 3), tail))
+        .otherwise(F.concat(site, part(base, 3), part(base, 4), part(href, 5)))
+    )

@@ -59,11 +59,11 @@ def a11_words_by_blog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("blog_id"), text.word_count(F.col("text")).cast("long").alias("w")).groupBy("blog_id").agg(F.sum("w").alias("words"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity, CAST(round_even(l_linenumber / l_quantity * 100, 0) AS INTEGER) AS even, CAST(floor(l_linenumber / l_quantity * 100 + 0.5) AS INTEGER) AS half_up FROM lineitem WHERE l_quantity > 0""")
+@query("""SELECT l_orderkey, l_linenumber, n, CASE WHEN n > 0 THEN CAST(round_even(l_linenumber / n * 100, 0) AS INTEGER) ELSE 0 END AS even, CASE WHEN n > 0 THEN CAST(floor(l_linenumber / n * 100 + 0.5) AS INTEGER) ELSE 0 END AS half_up FROM (SELECT *, l_quantity - 5 AS n FROM lineitem)""")
 def f09_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).table("lineitem").filter("l_quantity > 0")
-    i, n = F.col("l_linenumber"), F.col("l_quantity")
-    return d.select("l_orderkey", "l_linenumber", "l_quantity", text.progress_percent(i, n).alias("even"), text.progress_percent_half_up(i, n).alias("half_up"))
+    d = Tables(spark, sf_dir).table("lineitem").withColumn("n", F.col("l_quantity") - 5)  # some have no total
+    i, n = F.col("l_linenumber"), F.col("n")
+    return d.select("l_orderkey", "l_linenumber", "n", text.progress_percent(i, n).alias("even"), text.progress_percent_half_up(i, n).alias("half_up"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\x1C-\\x1F]+', ' ', 'g')) AS text FROM documents")
@@ -84,7 +84,8 @@ def f17_paragraphs_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.paragraphs_html(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("html"))
 
 
-@query()
+@query("""SELECT doc_id, len(p) AS n, array_to_string(p, chr(10) || chr(10)) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '([\\p{L}\\p{N}_])-\\s+([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '^\\s+|\\s+$', '', 'g')),
+  lambda x: length(x) >= 20 AND NOT regexp_matches(x, '(?i)^(Figure|Table|Picture|Box)\\s+\\d') AND NOT starts_with(x, 'DOI:') AND NOT regexp_matches(x, '^PART\\s+[IVX]+') AND NOT regexp_matches(x, '^[\\d\\s.,<>%]+$')) AS p FROM documents)""")
 def f18_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("p"))
     return d.select("doc_id", F.size("p").alias("n"), F.array_join("p", "\n\n").alias("text"))
@@ -128,16 +129,25 @@ def p03_post_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", urls.is_post(F.col("url"), F.col("url")).alias("is_post"), urls.is_archive_link(F.col("url")).alias("is_link"))
 
 
-@query()
+_SITE = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+_ABOVE = "regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '[^/]+/$', '')"
+
+
+@query(f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN {_SITE} || {_ABOVE} || 'p/' || CAST(page_id AS VARCHAR) WHEN 1 THEN {_SITE} || '/a/c?q#f' WHEN 2 THEN split_part(url, '//', 1) || '//other.org/x'
+  WHEN 3 THEN regexp_extract(url, '^[^?#]*') || '?q=1' ELSE regexp_extract(url, '^[^#]*') || '#f' END AS url FROM pages""")
 def f40_joined_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).table("pages")
-    return d.select("page_id", urls.join(F.col("url"), F.concat(F.lit("../p/"), F.col("page_id").cast("string"))).alias("url"))
+    """Relative references of five kinds, resolved against each page's URL."""
+    k = F.col("page_id")
+    href = F.when(k % 5 == 0, F.concat(F.lit("../p/./"), k.cast("string"))).when(k % 5 == 1, "/a/b/../c?q#f").when(k % 5 == 2, "//other.org/x").when(k % 5 == 3, "?q=1").otherwise("#f")
+    return Tables(spark, sf_dir).table("pages").select("page_id", urls.join(F.col("url"), href).alias("url"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE 'unknown ' || CAST(o_orderkey AS VARCHAR) END AS iso FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 6 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00') WHEN o_orderkey % 10 = 6 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN o_orderkey % 10 = 7 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00')
+  WHEN o_orderkey % 10 = 8 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+02:00') ELSE 'unknown ' || CAST(o_orderkey AS VARCHAR) END AS iso FROM orders""")
 def f70_parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    raw = F.when(k % 4 == 0, F.date_format(d, "MMMM d, yyyy")).when(k % 4 == 1, F.date_format(d, "yyyy-MM-dd")).when(k % 4 == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.lit("unknown "), k.cast("string")))
+    formats = [*dates.DAY_FORMATS, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+0200'"]
+    raw = F.coalesce(*(F.when(k % 10 == i, F.date_format(d, f)) for i, f in enumerate(formats)), F.concat(F.lit("unknown "), k.cast("string")))
     return Tables(spark, sf_dir).table("orders").select("o_orderkey", dates.parse_date(raw).alias("iso"))
 
 
@@ -209,11 +219,12 @@ def prj08_detail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).table("nation").select("n_nationkey", text.detail_lines(m).alias("html"))
 
 
-@query()
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'X' || p_name || chr(10) || 'Next Line' WHEN 1 THEN 'x' || chr(10) || p_name ELSE 'Xyz' || chr(10) || p_name END AS text FROM part")
 def f21_rejoined_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first letter set on a line of its own, and rejoined."""
-    split = F.concat(F.substring("text", 1, 1), F.lit("\n"), F.expr("substring(text, 2)"))
-    return _docs(spark, sf_dir).select("doc_id", text.rejoin_capitals(split).alias("text"))
+    """Part names behind a line that is a capital, a small letter, or too long."""
+    first = F.when(F.col("p_partkey") % 4 == 0, "X").when(F.col("p_partkey") % 4 == 1, "x").otherwise("Xyz")
+    lines = F.concat_ws("\n", first, F.col("p_name"), F.when(F.col("p_partkey") % 4 == 0, "Next Line"))
+    return Tables(spark, sf_dir).table("part").select("p_partkey", text.rejoin_capitals(lines).alias("text"))
 
 
 @query("SELECT p_partkey, p_name AS subject FROM part")
@@ -223,12 +234,20 @@ def f27_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).table("part").select("p_partkey", text.subject_cut(head, [" For the ", " From the "], ["Journal", "Packet", "Advertiser"]).alias("subject"))
 
 
-@query()
+_SLUG = "regexp_replace(regexp_replace(trim(regexp_replace(translate(lower(text), '—–''’', '--'), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g')"
+
+
+@query(f"SELECT doc_id, 'ch1-' || CASE WHEN length(s) <= 60 THEN s WHEN position('-' IN s[1:60]) > 0 THEN regexp_extract(s[1:60], '^(.*)-', 1) ELSE s[1:60] END AS slug FROM (SELECT doc_id, {_SLUG} AS s FROM documents)")
 def f02_section_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.section_slug(F.lit("ch1"), F.col("text")).alias("slug"))
 
 
-@query()
+_S = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(string_split('42 The Long Road' || chr(10) || text, chr(10)), lambda x: NOT (
+  (regexp_matches({_S}, '^\\d{{1,3}}\\s+[A-Z]') AND lower(regexp_replace({_S}, '^\\d{{1,3}}\\s+', '')) = 'the long road') OR (regexp_matches({_S}, '^[A-Z].*\\s+\\d{{1,3}}$') AND lower(regexp_replace({_S}, '\\s+\\d{{1,3}}$', '')) = 'the long road')
+  OR regexp_matches({_S}, '^[A-Z][A-Z\\s’—,-]+\\d{{1,3}}$') OR starts_with({_S}, 'DOI:'))), chr(10)) AS text FROM documents""")
 def p16_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a page header put before them and taken out again."""
     raw = F.concat(F.lit("42 The Long Road\n"), "text")

@@ -14,24 +14,22 @@ from seriatim.plans.transitions import FIRST
 from seriatim.streaming import events as S
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``; a local one where it is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="seriatim-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``; a local one where it is unset, in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='seriatim-')}"
+    return f"{shared.rstrip('/')}/seriatim-engine/{uuid.uuid4().hex}"
 
 
-def _kept(spark: SparkSession, df: DataFrame, keys: list[str]) -> DataFrame:
-    """The final table of an update-mode stream."""
-    folder, last = _folder(spark), []
-    write = S.upsert_folder(spark, f"{folder}/table", keys)
-
-    def each(batch: DataFrame, number: int) -> None:
-        write(batch, number)
-        last.append(number)
-
-    S.run_available(df, f"{folder}/checkpoint", each)
-    return spark.read.parquet(f"{folder}/table/v{last[-1]}")
+def _kept(spark: SparkSession, df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """The final table of a stream: of running rows in update mode, of new keys in append mode."""
+    folder = shared_folder(spark)
+    table = S.KeyedTable(spark, f"{folder}/table", keys)
+    S.run_available(df, f"{folder}/checkpoint", table.upsert if mode == "update" else table.insert, mode)
+    return table.read(df.schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +51,14 @@ def st05_running_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup'")
 def st04_new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, last = _folder(spark), []
-    write = S.insert_users(spark, f"{folder}/table")
+    d = _events(spark, sf_dir).filter(F.col("event_type") == "signup").select(F.col("user_id").alias("id"))
+    return _kept(spark, d, ["id"], "append")
 
-    def each(batch: DataFrame, number: int) -> None:
-        write(batch, number)
-        last.append(number)
 
-    d = _events(spark, sf_dir).filter(F.col("event_type") == "signup").select(F.col("user_id").alias("id"))
-    S.run_available(d, f"{folder}/checkpoint", each, "append")
-    return spark.read.parquet(f"{folder}/table/v{last[-1]}")
+@query("SELECT CAST(user_id AS VARCHAR) AS message_id, min(ts) FILTER (event_type = 'view') AS opened_at, min(ts) FILTER (event_type = 'click') AS clicked_at FROM events WHERE user_id IS NOT NULL AND event_type IN ('view', 'click') GROUP BY user_id")
+def src15_webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as bodies of webhook calls, read from a stream as JSON."""
+    data = F.struct(F.col("user_id").cast("string").alias("email_id"))
+    body = F.to_json(F.struct(F.concat(F.lit("email."), "event_type").alias("type"), data.alias("data")))
+    bodies = _events(spark, sf_dir).select(body.alias("value"), F.col("ts").alias("at"))
+    return _kept(spark, S.first_events(S.webhook_events(bodies, received=F.col("at")), "email.view", "email.click"), ["message_id"])

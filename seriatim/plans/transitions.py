@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriatim.operators import delivery, merge
 from seriatim.plans.binding import AS_OF, Tables, sql
 from seriatim.plans.registry import query
-
+from seriatim.streaming import events
 
 
 def _at():
@@ -32,10 +32,10 @@ _DAY = f"date_trunc('day', timezone(coalesce(timezone, 'America/New_York'), time
 _NEXT = f"""timezone('UTC', timezone(coalesce(timezone, 'America/New_York'), {_DAY} + to_days(CASE WHEN preferred_day IS NOT NULL AND frequency_days >= 7 THEN CAST((preferred_day - dayofweek({_DAY}) + 7) % 7 AS INTEGER) ELSE 0 END) + to_hours(coalesce(preferred_hour, 9))))"""
 
 
-def _marked(later: str) -> str:
+def _marked(later: str, more: str = "") -> str:
     return sql(VIEWS, f"""SELECT s.id, CAST(CASE WHEN x.id IS NOT NULL THEN current_post_index + 1 ELSE current_post_index END AS INTEGER) AS current_post_index,
   CASE WHEN x.id IS NOT NULL THEN {later} ELSE next_send_at END AS next_send_at, CASE WHEN x.id IS NOT NULL THEN current_post_index + 1 >= b.post_count ELSE is_completed END AS is_completed
-  FROM subscriptions s LEFT JOIN ({SENT}) x ON x.id = s.id LEFT JOIN blogs b ON b.id = s.blog_id""")
+  FROM subscriptions s LEFT JOIN ({SENT}{more}) x ON x.id = s.id LEFT JOIN blogs b ON b.id = s.blog_id""")
 
 
 def _shown(d: DataFrame) -> DataFrame:
@@ -48,6 +48,15 @@ def d07_mark_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at())[0])
 
 
+@query(_marked(_NEXT, " AND s.id % 5 <> 0"))
+def st03_delivery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of the loop: what is due, without what the log has as sent, marked as sent."""
+    t = Tables(spark, sf_dir)
+    due = delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of).select("subscription_id", "post_id")
+    fresh = events.deliver(due, due.filter("subscription_id % 5 = 0"))
+    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, fresh.withColumn("message_id", F.lit("m")), _at())[0])
+
+
 @query(_marked(f"TIMESTAMP '{AS_OF}' + to_days(frequency_days)"))
 def d06_mark_sent_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -117,13 +126,13 @@ def d09_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.set_preferences(s, changes, _at()).select("id", "frequency_days", F.col("next_send_at").cast("timestamp_ntz").alias("next_send_at"))
 
 
-@query(sql("subscriptions", """SELECT DISTINCT o_custkey AS subscriber_id, 'src' || CAST(o_orderkey % 20 AS VARCHAR) || ':de' AS feed_id FROM orders o WHERE o_orderkey % 40 = 3
-  AND NOT EXISTS (SELECT 1 FROM subscriptions s WHERE s.subscriber_id = o.o_custkey AND s.feed_id = 'src' || CAST(o.o_orderkey % 20 AS VARCHAR) || ':de')"""))
+@query(sql("subscriptions", """SELECT DISTINCT o_custkey AS subscriber_id, 'src' || CAST(o_orderkey % 20 AS VARCHAR) || ':en' AS feed_id FROM orders o
+  WHERE NOT EXISTS (SELECT 1 FROM subscriptions s WHERE s.subscriber_id = o.o_custkey AND s.feed_id = 'src' || CAST(o.o_orderkey % 20 AS VARCHAR) || ':en')"""))
 def d08_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     k = F.col("o_orderkey")
     blog = F.concat(F.lit("src"), (k % 20).cast("string"))
-    asked = t.table("orders").filter(k % 40 == 3).select(F.col("o_custkey").alias("subscriber_id"), F.concat(blog, F.lit(":de")).alias("feed_id"), blog.alias("blog_id"), F.lit(7).alias("frequency_days"), F.lit(None).cast("short").alias("preferred_day"), F.lit(9).alias("preferred_hour"), F.lit(None).cast("string").alias("timezone"))
+    asked = t.table("orders").select(F.col("o_custkey").alias("subscriber_id"), F.concat(blog, F.lit(":en")).alias("feed_id"), blog.alias("blog_id"), F.lit(7).alias("frequency_days"), F.lit(None).cast("short").alias("preferred_day"), F.lit(9).alias("preferred_hour"), F.lit(None).cast("string").alias("timezone"))
     return delivery.subscribe(t.subscriptions, asked, _at())[0].select("subscriber_id", "feed_id")
 
 
@@ -135,11 +144,15 @@ def d11_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.first_events(Tables(spark, sf_dir).messages, "view", "click")
 
 
-@query("SELECT c_custkey AS id, x.opened_at, x.clicked_at FROM customer c LEFT JOIN (" + FIRST + ") x ON x.message_id = c.c_custkey")
+_STORED = "CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' END"
+
+
+@query(f"SELECT c_custkey AS id, coalesce({_STORED}, x.opened_at) AS opened_at, x.clicked_at FROM customer c LEFT JOIN (" + FIRST + ") x ON x.message_id = c.c_custkey")
 def d11_log_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    none = F.lit(None).cast("timestamp_ntz")
-    log = t.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("resend_message_id"), none.alias("opened_at"), none.alias("clicked_at"))
+    k, none = F.col("c_custkey"), F.lit(None).cast("timestamp_ntz")
+    stored = F.when(k % 2 == 0, F.lit("2024-01-05").cast("timestamp_ntz"))  # what is stored already stays
+    log = t.table("customer").select(k.alias("id"), k.alias("resend_message_id"), stored.alias("opened_at"), none.alias("clicked_at"))
     return delivery.apply_first_events(log, delivery.first_events(t.messages, "view", "click")).select("id", "opened_at", "clicked_at")
 
 

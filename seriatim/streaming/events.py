@@ -51,25 +51,58 @@ def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int
     return q
 
 
-def upsert_folder(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch sink that merges rows into versions of a table in ``path``; a batch that comes again gives the same version."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        old = None if number == 0 else spark.read.parquet(f"{path}/v{number - 1}")
-        rows = batch if old is None else merge.upsert(old, batch, keys)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return write
-
-
-def insert_users(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A batch sink that adds users that the versions of a table in ``path`` lack."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["id"]) if number == 0 else merge.insert_absent(spark.read.parquet(f"{path}/v{number - 1}"), batch, ["id"])
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return write
+class KeyedTable:
+    """A table in a shared folder that batches are merged into.
+
+    Rows lie in buckets by their keys.  A batch writes new versions of the buckets that it touches, and a small table of
+    which bucket has which version, so its cost follows the batch.  A batch that comes again gives the same table; what
+    only versions before the last two use is deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 32) -> None:
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+        self.last: int | None = None
+
+    def _versions(self, number: int | None) -> dict[int, int]:
+        if number is None or number < 0:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.path}/versions/v{number}").collect()}  # a row for each bucket
+
+    def _rows(self, versions: dict[int, int], schema) -> DataFrame:
+        paths = [f"{self.path}/data/v{v}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def merge(self, batch: DataFrame, number: int, into: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """``into(old rows, batch)`` gives the new rows of the touched buckets."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        known = self._versions(number - 1)
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # ``buckets`` numbers at most
+        new = into(self._rows({b: v for b, v in known.items() if b in touched}, batch.schema), batch)
+        name = merge.unused("bucket", new)
+        if touched:
+            new.withColumn(name, bucket).withColumnRenamed(name, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v{number}")
+        now = known | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/v{number}")
+        self._delete(self._versions(number - 2) if number > 1 else {}, known, now)
+        self.last = number
+
+    def _delete(self, older: dict[int, int], known: dict[int, int], now: dict[int, int]) -> None:
+        """What neither this version nor the one before uses."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for b, v in older.items():
+            if v not in (known.get(b), now.get(b)):
+                folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/v{v}/bucket={b}")
+                folder.getFileSystem(conf).delete(folder, True)
+
+    def upsert(self, batch: DataFrame, number: int) -> None:
+        self.merge(batch, number, lambda old, rows: merge.upsert(old, rows, self.keys))
+
+    def insert(self, batch: DataFrame, number: int) -> None:
+        self.merge(batch, number, lambda old, rows: merge.insert_absent(old, rows, self.keys))
+
+    def read(self, schema) -> DataFrame:
+        """The table after the last batch; without any, an empty one."""
+        return self._rows(self._versions(self.last), schema)
 
 
 def deliver(items: DataFrame, sent_log: DataFrame) -> DataFrame:

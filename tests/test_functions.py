@@ -185,3 +185,26 @@ def test_section_slugs_take_the_whole_text(spark, tmp_path):
     d = spark.createDataFrame([(1, "é" * 80 + " " + "word " * 13 + "end")], "doc_id long, text string")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in f02_section_slugs(spark, str(tmp_path)).collect()] == [(1, "ch1-" + "-".join(["word"] * 12))]
+
+
+def test_joined_urls_as_the_standard_library(spark):
+    """Every form of reference against several bases."""
+    from urllib.parse import urljoin
+
+    bases = ["https://a.org", "https://a.org/", "https://a.org/b/c.html?q=1#f", "http://a.org/b/", "https://a.org:8080/x/y/z"]
+    hrefs = ["", "c", "./c", "../c", "../../c", "../../../c", "/c/d", "/c/../d/./e", "//b.org/c", "?q=2", "#g", "c?q=3#h", "c/", "..", ".", "d/..", "d/.", "https://z.org/a/../b", "mailto:x@y.org", "c/d/../../e", "/", "a:b/c"]
+    d = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    for r in d.select("base", "href", urls.join(F.col("base"), F.col("href")).alias("url")).collect():
+        assert r["url"] == urljoin(r["base"], r["href"]), (r["base"], r["href"])
+
+
+def test_articles_of_an_archive(spark):
+    one = "<article class='x'><h2 class='post-title'><a href='/p/1'>One &amp; two</a></h2><a href='/tag/a'>A</a><a href='/category/b'> B </a><time datetime='2020-01-02'>x</time></article>"
+    other = "<article><h3>no link</h3><h2><a href='/p/2'>later heading</a></h2></article><article><h1 class='hero'>x</h1><h3><a href='p/3'>Three</a></h3><p class='the-date'>May 1, 2020</p></article>"
+    found = html.page_facts(one + other + "<article></article>")["articles"]
+    assert found == [
+        {"title": "One & two", "href": "/p/1", "tags": ["a", "b"], "date": "2020-01-02"},
+        {"title": None, "href": None, "tags": [], "date": None},
+        {"title": "Three", "href": "p/3", "tags": [], "date": "May 1, 2020"},
+        {"title": None, "href": None, "tags": [], "date": None},
+    ]
