@@ -35,42 +35,17 @@ def f60_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", html.title_of(f).alias("title"), html.published(f).alias("published"), F.array_join(html.tags_of(f), ",").alias("tags"), F.size(f["paragraphs"]).alias("paragraphs"), F.length(f["main"]).alias("main_length"))
 
 
-@query()
-def src08_archive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = html.facts(_pages(spark, sf_dir), "html")
-    return files.archive_links(d, F.col("url"))
-
-
-@query()
-def f61_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return _pages(spark, sf_dir).select("page_id", html.entity_text(raw).alias("title"))
-
-
 @query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
 def f52_regex_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
-@query("SELECT page_id AS id, 'https://' || lower(split_part(url, '/', 3)) || '/' || CAST(page_id AS VARCHAR) AS url FROM pages WHERE page_id % 5 < 3")
-def src06_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's host as a sitemap of one entry, read back with XPath."""
-    d = _pages(spark, sf_dir).filter("page_id % 5 < 3")
-    loc = F.concat(F.lit("https://"), F.lower(F.try_parse_url("url", F.lit("AUTHORITY"))), F.lit("/"), F.col("page_id").cast("string"))
-    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), loc, F.lit("</loc></url></urlset>"))
-    pages, _ = files.sitemap_entries(d.select(xml.alias("xml")))
-    return pages.select(F.element_at(F.split("url", "/"), -1).cast("long").alias("id"), "url")
-
-
-@query("SELECT event_id % 50 AS original, CAST(min(event_id) AS BIGINT) AS first FROM events WHERE event_id < 400 GROUP BY 1")
-def src10_archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a web archive's index: the first capture of each address."""
-    row = F.array(F.col("event_id").cast("string"), (F.col("event_id") % 50).cast("string"), F.lit("200"))
-    d = Tables(spark, sf_dir).table("events").filter("event_id < 400").agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("r")))).alias("s"))  # an index is one answer of bounded size
-    rows = F.concat(F.array(F.array(F.lit("timestamp"), F.lit("original"), F.lit("statuscode"))), F.transform("s", lambda x: x["r"]))
-    return files.archive_index(d.select(F.to_json(rows).alias("body")), limit=None).select(F.col("original").cast("long").alias("original"), F.col("timestamp").cast("long").alias("first"))
-
-
 @query("SELECT CAST(i AS INTEGER) AS number, 'https://papers.example.org/fed' || lpad(CAST(i AS VARCHAR), 2, '0') || '.asp' AS url FROM range(1, 86) AS r(i)")
 def src18_numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.number_range(spark, 1, 85, "https://papers.example.org/fed%02d.asp")
+
+
+@query("SELECT page_id, regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title FROM pages")
+def f61_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return _pages(spark, sf_dir).select("page_id", html.entity_text(raw).alias("title"))

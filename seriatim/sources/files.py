@@ -8,7 +8,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriatim import schemas
@@ -26,15 +27,19 @@ def posts_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def links_file(spark: SparkSession, path: str) -> DataFrame:
-    return json_array(spark, path, schemas.CURATED_LINK)
+    """Curated links with ``pos``, their order in the file (which one task reads)."""
+    return json_array(spark, path, schemas.CURATED_LINK).withColumn("pos", F.monotonically_increasing_id())
 
 
 def write_json_array(rows: DataFrame, path: str, order: list[Column], group: str) -> None:
-    """One JSON array for each ``group`` (a blog's posts, which fit a task), as a text file in its folder."""
-    item = F.struct(*[F.col(c) for c in rows.columns if c != group])
-    d = rows.select(group, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], item.alias("item")).alias("s"))
-    out = d.groupBy(group).agg(F.to_json(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["item"])).alias("value"))
-    out.write.partitionBy(group).text(path)
+    """A file with one JSON array for each ``group``, in a folder of its own; ``order`` is unique in a group.
+
+    Each item is a line of the file, so a group's rows pass through a task one by one and are never one value.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    item = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != group]))
+    line = F.concat(F.when(F.row_number().over(w) == 1, "[").otherwise(""), item, F.when(F.lead(F.lit(1)).over(w).isNull(), "]").otherwise(","))
+    rows.select(group, line.alias("value")).write.partitionBy(group).text(path)
 
 
 def write_images(cleaned: DataFrame, path: str) -> bool:
@@ -54,16 +59,20 @@ def sitemap_entries(maps: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataF
     return entries("/urlset/url/loc/text()"), entries("/sitemapindex/sitemap/loc/text()")
 
 
-def sitemap(read: Callable[[DataFrame], DataFrame], first: DataFrame, depth: int = 5) -> DataFrame:
-    """All page URLs below ``first`` (url): ``read`` turns URLs into sitemaps (xml); indexes are followed for ``depth`` levels."""
-    found, todo = None, first
-    for _ in range(depth):
+def sitemap(read: Callable[[DataFrame], DataFrame], first: DataFrame, most: int = 50) -> DataFrame:
+    """All page URLs below ``first`` (url): ``read`` turns URLs into sitemaps (xml), and indexes are followed, each once, to their end.
+
+    More than ``most`` levels are an error, not a shorter result.
+    """
+    found, seen, todo = None, first.select("url").distinct(), first
+    for _ in range(most):
         pages, more = sitemap_entries(read(todo))
         found = pages if found is None else found.unionByName(pages)
-        if more.isEmpty():
-            break
-        todo = more
-    return found
+        todo = more.distinct().join(seen, "url", "left_anti")
+        if todo.isEmpty():
+            return found
+        seen = seen.unionByName(todo)
+    raise ValueError(f"sitemaps nest over more than {most} levels")
 
 
 def rest_posts(answers: DataFrame, body: str = "body") -> DataFrame:
@@ -88,17 +97,35 @@ def archive_links(facts: DataFrame, site: Column, found: str = "facts") -> DataF
     return d.filter((urls.authority(F.col("url")) == urls.authority(F.col("site"))) & urls.is_archive_link(F.col("url"))).select("url").distinct()
 
 
-def first_with_rows(parts: list[DataFrame]) -> DataFrame:
-    """The first of several strategies that gives rows; one that fails counts as empty."""
-    from pyspark.errors import PySparkException
+def first_with_rows(parts: list[Callable[[], DataFrame]]) -> DataFrame | None:
+    """The rows of the first of several strategies that gives any.
 
-    for d in parts:
+    A strategy whose input isn't there or has another shape (an AnalysisException) counts as empty; a job that fails
+    while it runs is an error.
+    """
+    for strategy in parts:
         try:
+            d = strategy()
             if not d.isEmpty():
                 return d
-        except PySparkException:
+        except AnalysisException:
             continue
-    return parts[-1].limit(0)
+    return None
+
+
+def archive_articles(facts: DataFrame, site: Column, least: int = 5, found: str = "facts") -> DataFrame:
+    """title, url, tags, date of the posts that structured archives (pages of at least ``least`` articles) list; articles without a linked title are left out."""
+    d = facts.filter(F.size(f"{found}.articles") >= least).select(F.explode(f"{found}.articles").alias("a"), site.alias("site"))
+    return d.filter(F.col("a.href").isNotNull()).select(F.col("a.title").alias("title"), urls.join(F.col("site"), F.col("a.href")).alias("url"), F.col("a.tags").alias("tags"), F.col("a.date").alias("date"))
+
+
+def archive_posts(listed: DataFrame, pages: DataFrame) -> DataFrame:
+    """Posts of archive entries (title, url, tags, date) whose pages (url, html) are there: the page's own title and date come first, tags are the archive's."""
+    d = listed.join(html.facts(pages.select("url", "html"), "html").select("url", "facts"), "url")
+    slug = F.regexp_extract(urls.path(F.col("url")), "([^/]+)/*$", 1)
+    title = F.coalesce(html.title_of(F.col("facts")), F.col("title"))
+    date = F.coalesce(dates.parse_date(html.published(F.col("facts"))), dates.parse_date(F.col("date")))
+    return d.select(title.alias("title"), "url", F.col("facts.main").alias("content_html"), F.when(slug != "", slug).otherwise(text.slugify(title)).alias("slug"), date.alias("published_at"), "tags")
 
 
 def number_range(spark: SparkSession, first: int, last: int, pattern: str) -> DataFrame:
@@ -134,8 +161,12 @@ def curated_posts(links: DataFrame, pages: DataFrame) -> DataFrame:
     return d.filter(F.length("facts.main") >= 100).select("pos", title.alias("title"), "url", F.col("facts.main").alias("content_html"), text.slugify(title).alias("slug"), dates.parse_date(html.published(F.col("facts"))).alias("published_at"), tags.alias("tags"))
 
 
-def books(spark: SparkSession, path: str, member: str = r"OEBPS/chapter-\d+-.+\.html") -> DataFrame:
-    """number, name, html of a zipped book's chapters, by name; numbers keep their place when a chapter turns out empty."""
+#: Fixed value: chapters' names in a zipped book.
+CHAPTER = r"OEBPS/chapter-\d+-.+\.html"
+
+
+def chapters(zipped: DataFrame, member: str = CHAPTER) -> DataFrame:
+    """book, number, name, html of the chapters of zipped books (path, content), by name; numbers keep their place when a chapter turns out empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +177,11 @@ def books(spark: SparkSession, path: str, member: str = r"OEBPS/chapter-\d+-.+\.
                     rows += [(file, i, n, z.read(n).decode("utf-8")) for i, n in enumerate(names, 1)]
             yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("book", "number", "name", "html"))}, schema=pa.schema([("book", pa.string()), ("number", pa.int32()), ("name", pa.string()), ("html", pa.string())]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "book string, number int, name string, html string")
+    return zipped.select("path", "content").mapInArrow(run, "book string, number int, name string, html string")
+
+
+def books(spark: SparkSession, path: str, member: str = CHAPTER) -> DataFrame:
+    return chapters(spark.read.format("binaryFile").load(path), member)
 
 
 def book_posts(chapters: DataFrame, base: str) -> DataFrame:
@@ -190,31 +225,35 @@ def page_range(chapters: DataFrame, pages: DataFrame, offset: int = 0) -> DataFr
     return joined.select("chapter", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("text"))
 
 
-def _heading_at(lower: str, heading: str) -> int:
-    """Where a heading stands at a line's start: whole, else its first 35, then 20 characters, with quotes and dashes of any kind."""
-    forms = [heading]
-    for old, new in (("'", "’"), ("’", "'"), ("—", "-"), ("-", "—"), ("–", "-")):
-        forms += [f] if (f := heading.replace(old, new)) not in forms else []
-    for length in (None, 35, 20):
-        for form in forms:
-            if m := re.search(rf"(?:^|\n)\s*({re.escape(form[:length])})", lower):
-                return m.start(1)
-    return -1
+#: How many characters of a heading must stand in the text, the longest first; None is the whole.
+HEADING_PREFIXES = (None, 35, 20)
+_PLAIN = str.maketrans({"’": "'", "—": "-", "–": "-"})
 
 
 def split_sections(content: str, headings: list[str]) -> list[tuple[str, str]]:
-    """Headings found one after the other, each with its text up to the next; a heading that is missing is left out."""
-    lower, at, found = content.lower(), 0, []
-    for h in headings:
-        pos = _heading_at(lower[at:], h.lower())
-        if pos >= 0:
-            found.append((at + pos, h))
-            at += pos + 1
-    edges = [p for p, _ in found[1:]] + [len(content)]
+    """Headings found one after the other at starts of lines, each with the text between its line and the next heading.
+
+    Both sides are compared in lower case, with one kind of quote and dash.  A heading counts as found where its longest
+    possible prefix stands first after the one before; one that is missing is left out.
+    """
+    starts = [m.end() for m in re.finditer(r"(?:^|\n)\s*", content)]
+    plain = content.translate(_PLAIN).lower()
+    if len(plain) != len(content):  # a letter that grows in lower case; keep places
+        plain = "".join(c if len(c.lower()) != 1 else c.lower() for c in content.translate(_PLAIN))
+    found: list[tuple[int, int, str]] = []  # number of the line start, place, heading
+    line = 0
+    for heading in headings:
+        wanted = heading.translate(_PLAIN).lower()
+        at = next((i for n in HEADING_PREFIXES for i in range(line, len(starts)) if plain.startswith(wanted[:n], starts[i])), None)
+        if at is not None:
+            found.append((at, starts[at], heading))
+            line = at + 1
+    ends = [place for _, place, _ in found[1:]] + [len(content)]
     out = []
-    for (pos, h), end in zip(found, edges, strict=True):
-        line = content.find("\n", pos)
-        out.append((h, content[(pos + len(h) if line < 0 else line + 1) : end].strip()))
+    for (_, place, heading), end in zip(found, ends, strict=True):
+        feed = content.find("\n", place)
+        body = place + len(heading) if feed < 0 else feed + 1
+        out.append((heading, content[body:end].strip()))
     return out
 
 

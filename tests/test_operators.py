@@ -108,7 +108,7 @@ def test_file_sources(spark, tmp_path):
     assert [(r["title"], r["tags"], r["post_index"]) for r in rows] == [("T", [], 1), ("S", ["x"], None)]
     d = spark.createDataFrame([("b", 2, "y"), ("b", 1, "x")], "blog string, n int, t string")
     files.write_json_array(d, str(tmp_path / "out"), [F.col("n")], "blog")
-    assert json.loads(spark.read.text(str(tmp_path / "out/blog=b")).first()[0]) == [{"n": 1, "t": "x"}, {"n": 2, "t": "y"}]
+    assert json.loads(spark.read.text(str(tmp_path / "out/blog=b"), wholetext=True).first()[0]) == [{"n": 1, "t": "x"}, {"n": 2, "t": "y"}]
     head = '<?xml version="1.0"?>'
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     maps = {"i": f"{head}<sitemapindex {ns}><sitemap><loc>m1</loc></sitemap></sitemapindex>", "m1": f"{head}<urlset {ns}><url><loc> https://a/x </loc></url><url><loc>https://a/y</loc></url></urlset>"}
@@ -120,7 +120,8 @@ def test_file_sources(spark, tmp_path):
     index = json.dumps([["timestamp", "original", "statuscode"], ["1", "u", "200"], ["2", "u", "200"], ["3", "v", "200"]])
     assert [(r["original"], r["timestamp"]) for r in files.archive_index(spark.createDataFrame([(index,)], "body string")).collect()] == [("u", "1"), ("v", "3")]
     assert files.number_range(spark, 1, 85, "f%02d").count() == 85
-    assert files.first_with_rows([d.limit(0), d]).count() == 2
+    assert files.first_with_rows([lambda: spark.read.parquet(str(tmp_path / "none")), lambda: d.limit(0), lambda: d]).count() == 2
+    assert files.first_with_rows([lambda: d.limit(0)]) is None
 
 
 def test_books(spark, tmp_path):
@@ -171,10 +172,55 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("\n".join(map(json.dumps, lines)))
     stream = S.webhook_events(spark.readStream.text(str(tmp_path / "in")), received=F.lit("2024-01-01").cast("timestamp"))
-    write = S.upsert_folder(spark, str(tmp_path / "table"), ["message_id"])
-    S.run_available(S.first_events(stream, "email.opened", "email.clicked"), str(tmp_path / "c"), write)
-    rows = spark.read.parquet(str(tmp_path / "table/v0")).collect()
+    table = S.KeyedTable(spark, str(tmp_path / "table"), ["message_id"])
+    firsts = S.first_events(stream, "email.opened", "email.clicked")
+    assert table.read(firsts.schema).count() == 0
+    S.run_available(firsts, str(tmp_path / "c"), table.upsert)
+    rows = table.read(firsts.schema).collect()
     assert [(r["message_id"], r["opened_at"] is not None, r["clicked_at"] is not None) for r in rows] == [("m1", True, True)]
     once = []
     S.run_available(S.first_events_once(stream, "email.opened", "email.clicked"), str(tmp_path / "c2"), lambda b, n: once.extend(b.collect()), "append")
     assert sorted(r["event_type"] for r in once) == ["email.clicked", "email.opened"]
+
+
+def test_keyed_table(spark, tmp_path):
+    """Batches in turn, one of them twice, equal one merge; only touched buckets are written anew, and old versions go."""
+    schema = "id int, x string"
+    table = S.KeyedTable(spark, f"file://{tmp_path}/t", ["id"], buckets=4)
+    batches = [[(i, f"a{i}") for i in range(40)], [(3, "b3"), (90, "b90")], [(3, "c3")], [(3, "d3")], []]
+    for number, rows in enumerate(batches):
+        for _ in range(1 + (number == 1)):
+            table.upsert(spark.createDataFrame(rows, schema), number)
+    want = dict(r for b in batches for r in b)
+    assert {r["id"]: r["x"] for r in table.read(schema).collect()} == want
+    assert table.read(schema).columns == ["id", "x"]
+    folders = sorted(p.relative_to(tmp_path / "t/data").as_posix() for p in (tmp_path / "t/data").glob("v*/bucket=*"))
+    assert len([f for f in folders if f.startswith("v0")]) == 4 - len({f.split("/")[1] for f in folders if f.startswith("v1")} | {f.split("/")[1] for f in folders if f.startswith("v3")})
+    users = S.KeyedTable(spark, f"file://{tmp_path}/u", ["id"])
+    users.insert(spark.createDataFrame([(1, "a"), (1, "b")], schema), 0)
+    users.insert(spark.createDataFrame([(1, "c"), (2, "d")], schema), 1)
+    assert sorted(map(tuple, users.read(schema).collect())) == [(1, "a"), (2, "d")]
+
+
+def test_requests_in_order(spark, state):
+    """Of several requests for one feed the first by arrival counts, or without one the least, in any run."""
+    rows = [("u1", "f", "b", d, None, 9, None, at) for d, at in ((14, 2), (7, 3), (1, 1))]
+    asked = spark.createDataFrame(rows, "subscriber_id string, feed_id string, blog_id string, frequency_days int, preferred_day int, preferred_hour int, timezone string, at int").repartition(3)
+    assert delivery.subscribe(state[0], asked, AT, [F.asc("at")])[0].first()["frequency_days"] == 1
+    assert delivery.subscribe(state[0], asked.drop("at"), AT)[0].first()["frequency_days"] == 1
+    assert delivery.subscribe(state[0], asked, AT, [F.desc("at")])[0].first()["frequency_days"] == 7
+
+
+def test_names_that_clash(spark):
+    old = spark.createDataFrame([(1, 5, 6)], "k int, _new int, _old int")
+    assert merge.upsert(old, spark.createDataFrame([(1, 7)], "k int, _new int"), ["k"]).collect() == [(1, 7, 6)]
+    assert merge.first_by(spark.createDataFrame([(1, 2), (1, 1)], "k int, _r int"), ["k"], [F.asc("_r")]).collect() == [(1, 1)]
+
+
+def test_ranks_by_bucket(spark):
+    """Ranks added up over buckets equal plain ranks, with null groups and buckets too."""
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", i * 37 % 1000, i) for i in range(500)]
+    d = spark.createDataFrame(rows, "g string, at int, id int").repartition(5)
+    order = [F.asc("at"), F.asc("id")]
+    plain = catalogue.numbered(d, ["g"], order)
+    assert sorted(map(str, catalogue.numbered(d, ["g"], order, bucket=F.floor(F.col("at") / 64)).collect())) == sorted(map(str, plain.collect()))
