@@ -6,9 +6,10 @@ go, longest first, where they fit best.  The plan is a list of runs (length, ran
 from its rank among the pieces of its length.  Ranks come from counters within the tasks and counts by task, so no
 length's pieces ever meet in one place.
 
-Defined cases: a null text counts as empty and is the end mark alone; a document longer than the capacity is cut so
-that its first piece takes the rest and the others are full; repeated rows are packed each on its own; other columns
-are left out; an empty table gives no rows.
+Defined cases: a null text counts as empty and is the end mark alone; a document longer than the capacity, however
+long, is cut so that its first piece takes the rest and the others are full; pieces of one length tie and take their
+places in any order; repeated rows are packed each on its own; a null doc_id stays null; other columns, whatever their
+names, are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,39 +32,15 @@ END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-@lru_cache(maxsize=2)
-def _library(path: str):
-    """The tokenizer library's coder over the file's vocabulary; ids of merged tokens ascend with their ranks."""
-    import tiktoken
-
-    from seriatim.llm.bpe import PRETOKEN
-
-    v = vocabulary(path)
-    ranks = {b: i for i, b in enumerate(v.id_bytes) if i not in v.added.values()}
-    return tiktoken.Encoding("file", pat_str=PRETOKEN.pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def library_ids(path: str):
-    encode = _library(path).encode_ordinary
-
-    def learn(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = list(map(encode, pieces))
-        ends = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum(list(map(len, lists)), out=ends[1:])
-        return np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1])), ends
-
-    return learn
-
-
 def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """A row for each piece: its place in its document, its ids' checksum, and its number among its task's pieces of that length."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path), library_ids(path))
+        encoder = Encoder(vocabulary(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            all_texts, doc_ids = texts(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            all_texts, doc_ids = texts(batch), batch.column("doc_id").fill_null(0).to_numpy()
             nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             for part in text_slices(all_texts):
                 ids, bounds = encoder.encode(all_texts[part])
@@ -85,7 +61,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
                 seen += np.bincount(length, minlength=capacity + 1)
                 own, missing = doc_ids[part][owner], nulls[part][owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int64(), mask=missing, from_pandas=True), pa.array(nth_piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), task), pa.int32()), pa.array(nth, pa.int64())],
+                    [pa.array(own, pa.int64(), mask=missing), pa.array(nth_piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), task), pa.int32()), pa.array(nth, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
                 )
 
