@@ -9,12 +9,14 @@ The score is the integer inner product of the components' floor(1024 * x).
 
 Defined cases: a vector that is null or empty, or holds a null or non-finite component, and a row with a null vec_id,
 take no part; rows are compared with rows of the same dimension only; rows with the query's vec_id are no candidates;
-ties go to the smaller vec_id; repeated candidate rows count each; repeated query rows count once; fewer than k
-candidates are all returned; an empty table gives no rows.  Scores must fit a long.
+ties go to the smaller vec_id; repeated candidate rows count each; of query rows with one vec_id the least vector
+counts; fewer than k candidates are all returned; other columns, whatever their names, are left out; an empty table
+gives no rows.  Scores must fit a long.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriatim.llm.common import shared_folder
+
 K = 10
 QUERY_EVERY = 100
 QUERY_BLOCK = 2048
@@ -29,12 +33,13 @@ BUCKETS = 256
 #: Rows that one matrix product takes.
 ROWS_AT_ONCE = 4096
 EXACT = 2.0**53
+HITS = "query_id long, vec_id long, score long"
 
 
 def whole(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors (floor(1024 * x), as float64) of the batch's valid rows, by dimension, in parts."""
     column = batch.column("embedding")
-    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+    ids = batch.column("vec_id").fill_null(0).to_numpy()
     known = ~batch.column("vec_id").is_null().to_numpy(zero_copy_only=False)
     size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     values = np.floor(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * 1024.0)
@@ -46,7 +51,7 @@ def whole(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             x = values[starts[part][:, None] + np.arange(dim)]
             good = np.isfinite(x).all(axis=1)
             if good.any():
-                yield ids[part[good]].astype(np.int64), x[good]
+                yield ids[part[good]], x[good]
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -79,7 +84,7 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
                 yield pa.RecordBatch.from_pydict({"vec_id": ids, "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     held: dict[int, dict[int, np.ndarray]] = {}
-    for row in queries.mapInArrow(run, "vec_id long, x array<double>").dropDuplicates(["vec_id"]).toLocalIterator():
+    for row in queries.mapInArrow(run, "vec_id long, x array<double>").groupBy("vec_id").agg(F.min("x").alias("x")).toLocalIterator():
         own = held.setdefault(len(row["x"]), {})
         own[row["vec_id"]] = np.array(row["x"])
         if len(own) == size:
@@ -160,7 +165,7 @@ def _hits(candidates: DataFrame, ids: np.ndarray, x: np.ndarray, least: np.ndarr
             keep = np.arange(len(q)) - np.searchsorted(q, q) < k
             yield pa.RecordBatch.from_pydict({"query_id": qs[q[keep]], "vec_id": v[keep], "score": s[keep]})
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, HITS)
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
@@ -168,13 +173,12 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = K, block: int = Q
     candidates = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     norms = _bounds(candidates)
-    found = None
+    spark, path = candidates.sparkSession, f"{shared_folder(candidates.sparkSession)}/seriatim/topk-{uuid.uuid4().hex}"
+    spark.createDataFrame([], HITS).write.parquet(path)
     for ids, x in _blocks(queries, block):
         least = thresholds(candidates, ids, x, norms.get(x.shape[1], 0.0), k)
-        hits = _hits(candidates, ids, x, least, k)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = candidates.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        _hits(candidates, ids, x, least, k).write.mode("append").parquet(path)  # the plan doesn't grow with the blocks
+    found = spark.read.schema(HITS).parquet(path)
     best = [F.desc("score"), F.asc("vec_id")]
     first = Window.partitionBy("query_id", "part").orderBy(*best)
     found = found.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)

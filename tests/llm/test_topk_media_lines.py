@@ -36,6 +36,14 @@ def test_topk(spark, scale):
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def test_topk_large_ids_and_repeated_queries(spark):
+    """Ids beyond 53 bits stay whole beside a null, and of query rows with one id the least vector counts."""
+    rows = [(2**53 + 1, [1.0, 0.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0]), (20, [-1.0, 0.5]), (7, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = [tuple(r) for r in topk.search(df, topk.every(df, 20)).orderBy("rank").collect()]
+    assert got == [(20, 1, 7, 512 * -1024 + 512 * 512), (20, 2, 2**53 + 1, -1024 * 1024)]
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, topk.every(df)).count() == 0
