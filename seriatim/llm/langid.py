@@ -4,9 +4,9 @@ Words are runs of letters, lower-cased; their n-grams carry marks at the word's
 probabilities (buckets x languages) is broadcast; a batch of documents is a sparse matrix of documents by words whose
 rows are summed in numpy.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; equal texts give equal rows; the first
-language in alphabetical order wins a tie; repeated rows stay; columns of the input other than ``doc_id`` and
-``text`` are left out; an empty training table makes every document ``und``.
+Defined cases: a null text or one without a letter is ``und`` with score 0; equal texts give equal rows; texts are as
+long as they are; the first language in alphabetical order wins a tie; repeated rows stay; columns of the input other
+than ``doc_id`` and ``text``, whatever their names, are left out; an empty training table makes every document ``und``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.llm.common import LETTERS, WordTable, flat, held_out, learnable, ngram_ids, slices, staged, sums, texts
+from seriatim.llm.common import LETTERS, WordTable, flat, held_out, keyed_broadcast, learnable, ngram_ids, slices, staged, sums, texts
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -49,7 +49,7 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
         w = Window.partitionBy(*part).orderBy("h", "doc_id")
         keys = keys.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).drop("r")
     chosen = staged(keys.select("doc_id", "lang").distinct(), "langid-sample")
-    return d.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    return d.join(keyed_broadcast(chosen, chosen.count()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +67,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Counts n-grams of the sample by language on the executors; the counts (languages x buckets) go to the driver."""
+    """Counts n-grams of the sample by language on the executors, and all learnable documents by language for the prior; the counts (languages x buckets) go to the driver."""
     counted = training_sample(documents, per_language).mapInArrow(_count, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((BUCKETS, len(languages)))
     counts[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(languages)})] = rows["n"]
     smooth = counts + SMOOTHING
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.zeros(len(languages)))
+    known = documents.filter(learnable() & F.col("text").isNotNull() & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+    share = {r["lang"]: r["n"] for r in known.collect()}  # a row for each language
+    prior = np.array([share.get(x, 0) + SMOOTHING for x in languages])
+    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()) if len(prior) else prior)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:

@@ -43,6 +43,31 @@ def test_languages(spark, odd_documents, no_documents):
     assert {r["lang_pred"] for r in langid.predict(odd_documents, langid.fit(no_documents)).collect()} == {"und"}
 
 
+def test_languages_against_plain_loops(spark):
+    """Log probabilities, prior and posterior of hashed n-grams, counted one by one."""
+    rng = random.Random(15)
+    rows = [(i, "de" if i % 4 else "en", " ".join(rng.choice(["und", "der", "the", "of", "Straße", "a"]) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(d)
+
+    def grams(text):
+        return [i for w in re.findall(r"[^\W\d_]+", text.lower()) for i in langid.ngram_ids([w], langid.SIZES, langid.BUCKETS, whole=False)[0].tolist()]
+
+    known = [r for r in rows if not held(r[0])]
+    counts = {x: Counter(g for _, y, t in known if y == x for g in grams(t)) for x in ("de", "en")}
+    prior = {x: sum(y == x for _, y, _ in known) + 0.5 for x in counts}
+    assert model.languages == ["de", "en"]
+    for r in langid.predict(d, model).collect():
+        text = rows[r["doc_id"]][2]
+        logs = {x: math.log(prior[x] / sum(prior.values())) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * langid.BUCKETS)) for g in grams(text)) for x, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        if not text:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == best
+            assert abs(r["score"] - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-4
+
+
 def test_languages_learn_without_held_out_rows(spark):
     d = table(spark, "documents")
     changed = d.withColumn("lang", F.when(langid.held_out(), "xx").otherwise(F.col("lang")))
