@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.llm.common import slices, staged, texts
+from seriatim.llm.common import slices, small, staged, texts
 
 #: The rules' patterns, and the least length of what each has to find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -52,6 +52,8 @@ _NUMBER = np.array([max(0, _LETTERS.find(bytes([b]))) for b in range(256)])
 K = len(_LETTERS)
 #: A character's branch in a tree: 0 for letters and digits, then the marks.
 _BRANCH = np.maximum(0, np.arange(K) - 61)
+#: A character's class: digits, capitals, small letters, each mark, and the start and end of a run.
+_CLASS = np.concatenate([np.repeat([0, 1, 2], [10, 26, 26]), np.arange(3, 3 + K - 62 + 1)])
 #: Documents of the sample (those with the smallest hashes of their ids), credentials a kind and other runs that it may
 #: give, and characters of each that are learned from.
 SAMPLE_DOCUMENTS = 20_000
@@ -66,7 +68,7 @@ ROUNDS = 10
 FALSE_ALARM = 1e-6
 #: Runs longer than this go through an automaton one by one.
 STEPS = 512
-KNOWN_RUNS = 1_000_000
+KNOWN_RUNS = 300_000
 REDACTED = "[secret]"
 Span = tuple[str, int, int]
 
@@ -199,26 +201,41 @@ def learn(runs: list[bytes]) -> Automaton:
 
 @dataclass
 class Background:
-    """Log likelihoods of pairs of characters, with the start and the end of a run as number K."""
+    """Two models of a run in equal shares: by pairs of characters, which fits words, and by pairs of their classes with each class's characters, which fits numbers and the like that are too rare for the first.
 
-    logs: np.ndarray
+    The start and the end of a run are character K and the last class.
+    """
+
+    pairs: np.ndarray  # log likelihoods, K + 1 x K + 1
+    classes: np.ndarray
+    chars: np.ndarray  # of each character within its class
 
     @staticmethod
-    def pairs(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all pairs in a row, and where each run's start."""
-        marked = np.insert(codes, ends, K)  # a mark before each run and at the end; an empty run has one too
-        before = marked[:-1] * (K + 1)
-        return before + marked[1:], ends[:-1] + np.arange(len(ends) - 1)
+    def marked(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters before and after each step of all runs, the first and the last step's from and to K, and where each run's steps start."""
+        run = np.insert(codes, ends, K)
+        return run[:-1], run[1:], ends[:-1] + np.arange(len(ends) - 1)
 
     @classmethod
     def of(cls, codes: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> Background:
-        number, starts = cls.pairs(codes, ends)
-        counts = np.bincount(number, weights=np.repeat(weights, np.diff(np.append(starts, len(number)))), minlength=(K + 1) ** 2).reshape(K + 1, K + 1)
-        return cls(np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + K + 1)))
+        before, after, starts = cls.marked(codes, ends)
+        w = np.repeat(weights, np.diff(np.append(starts, len(before))))
+
+        def conditional(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+            counts = np.bincount(x * n + y, weights=w, minlength=n * n).reshape(n, n)
+            return np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + n))
+
+        seen = np.bincount(after, weights=w, minlength=K + 1) + 1
+        total = np.bincount(_CLASS, weights=seen)
+        return cls(conditional(before, after, K + 1), conditional(_CLASS[before], _CLASS[after], int(_CLASS[-1]) + 1), np.log(seen / total[_CLASS]))
 
     def likelihoods(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        number, starts = self.pairs(codes, ends)
-        return np.add.reduceat(self.logs.ravel()[number], starts) if len(starts) else np.zeros(0)
+        before, after, starts = self.marked(codes, ends)
+        if not len(starts):
+            return np.zeros(0)
+        by_pair = np.add.reduceat(self.pairs[before, after], starts)
+        by_class = np.add.reduceat(self.classes[_CLASS[before], _CLASS[after]] + self.chars[after], starts)
+        return np.logaddexp(by_pair, by_class) - math.log(2)
 
 
 @dataclass
@@ -333,7 +350,7 @@ def fit(documents: DataFrame) -> Model:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, set[str]] = defaultdict(set)
-        for batch in batches:
+        for batch in small(batches):
             for text in texts(batch):
                 spans = rule_spans(text)
                 for kind, a, b in spans:
@@ -364,7 +381,7 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             all_texts, rows = texts(batch), []
             for part in slices(len(all_texts)):
                 for spans in finder.spans(all_texts[part]):
@@ -396,7 +413,7 @@ def redact(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             arrays, out, changed = list(batch.columns), [], []
             all_texts = batch.column(spot).to_pylist()
             for part in slices(len(all_texts)):

@@ -244,10 +244,20 @@ def test_automata_against_plain_loops():
     codes, ends = secrets.coded(runs)
     assert np.allclose(a.likelihoods(codes, ends), [slow_likelihood(a, r) for r in runs])
     b = secrets.Background.of(codes, ends, np.ones(len(runs)))
-    pairs = Counter(p for r in runs for p in zip(b"^" + r, r + b"$", strict=True))
-    firsts = Counter(x for r in runs for x in b"^" + r)
-    want = [sum(math.log((pairs[p] + 1) / (firsts[p[0]] + secrets.K + 1)) for p in zip(b"^" + r, r + b"$", strict=True)) for r in runs]
-    assert np.allclose(b.likelihoods(codes, ends), want)
+
+    def kind(c):
+        return "0" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" if chr(c).islower() else chr(c)
+
+    steps = [list(zip(b"^" + r, r + b"^", strict=True)) for r in runs]
+    pairs, firsts = Counter(p for s in steps for p in s), Counter(x for s in steps for x, _ in s)
+    kinds, kind_firsts = Counter((kind(x), kind(y)) for s in steps for x, y in s), Counter(kind(x) for s in steps for x, _ in s)
+    seen = Counter(y for s in steps for _, y in s)
+    sizes = Counter(map(kind, secrets._LETTERS + b"^"))
+    whole = {k: sum(n for c, n in seen.items() if kind(c) == k) + sizes[k] for k in sizes}
+    for own, got in zip(steps, b.likelihoods(codes, ends), strict=True):
+        one = sum(math.log((pairs[p] + 1) / (firsts[p[0]] + secrets.K + 1)) for p in own)
+        two = sum(math.log((kinds[kind(x), kind(y)] + 1) / (kind_firsts[kind(x)] + len(sizes)) * (seen[y] + 1) / whole[kind(y)]) for x, y in own)
+        assert abs(got - np.logaddexp(one, two) + math.log(2)) < 1e-6 * max(1, len(own))
     mixed = secrets.learn([bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(8, 30))) for _ in range(200)])
     assert len(mixed.end) < 10  # compatible states are merged
 
