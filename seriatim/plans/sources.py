@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriatim.functions import html, text
+from seriatim.operators import catalogue
 from seriatim.plans.binding import Tables, sql
 from seriatim.plans.registry import query
 from seriatim.plans.streams import shared_folder
@@ -239,3 +240,73 @@ def p17_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document as a paragraph of wrapped text (F-18), and which of them stay (P-17)."""
     d = _documents(spark, sf_dir)
     return d.select("doc_id", F.array_join(text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))), "|").alias("text"))
+
+
+@query("SELECT CAST(0 AS INTEGER) AS pos, '/b/' || CAST(doc_id AS VARCHAR) AS href, 'Chapter ' || CAST(doc_id AS VARCHAR) AS title FROM documents")
+def src19_chapter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes of books with one chapter each, listed twice, beside links that are no chapters."""
+    id_ = F.col("doc_id").cast("string")
+    link = lambda text_: F.concat(F.lit('<a href="/b/'), id_, F.lit(f'">{text_} '), id_, F.lit("</a>"))
+    page = F.concat(link("Chapter"), link("Again"), F.lit('<a href="/b/x'), id_, F.lit('">← back</a><a href="/b/y/'), id_, F.lit('">deeper</a><a href="/c/'), id_, F.lit('">other</a>'))
+    return files.chapter_links(html.facts(_documents(spark, sf_dir).select("doc_id", page.alias("html")), "html"), "/b/")
+
+
+def _themes(d: DataFrame) -> DataFrame:
+    """position, theme, paths: every document in one of seven themes and in the one of all."""
+    k = F.col("doc_id")
+    path = F.array(F.concat(F.lit("/essays/"), k.cast("string"), F.lit(".html")))
+    one = F.struct((k % 7).cast("int").alias("position"), F.concat(F.lit("T"), (k % 7).cast("string")).alias("theme"), path.alias("paths"))
+    return d.select(F.explode(F.array(F.struct(F.lit(100).alias("position"), F.lit("all").alias("theme"), path.alias("paths")), one)).alias("t")).select("t.*")
+
+
+def _themed(spark: SparkSession, sf_dir: str, times_first: bool) -> DataFrame:
+    d, k, id_ = _documents(spark, sf_dir), F.col("doc_id"), F.col("doc_id").cast("string")
+    title = F.when(k % 3 == 0, F.concat(F.lit('<b id="title">Named '), id_, F.lit("</b><h1>no</h1>"))).when(k % 3 == 1, F.concat(F.lit("<h1>Head "), id_, F.lit("</h1>"))).otherwise(F.concat(F.lit("<title>Own "), id_, F.lit(" · Site</title>")))
+    page = F.concat(title, F.lit('<time datetime="2020-01-02">x</time><meta name="date" content="2021-03-04"><main>'), F.rpad(F.lit(""), 80, "-"), F.regexp_replace("text", "[<&]", "x"), F.lit("</main>"))
+    pages = d.select(F.concat(F.lit("/essays/"), id_, F.lit(".html")).alias("path"), page.alias("html"))
+    found = files.themed_posts(pages, catalogue.inverted(_themes(d)), "https://e.org", times_first=times_first)
+    return found.select("title", "url", "slug", "published_at", F.array_join("tags", ",").alias("tags"))
+
+
+def _themed_sql(date: str) -> str:
+    return f"""SELECT CASE doc_id % 3 WHEN 0 THEN 'Named ' WHEN 1 THEN 'Head ' ELSE 'Own ' END || CAST(doc_id AS VARCHAR) AS title, 'https://e.org/essays/' || CAST(doc_id AS VARCHAR) || '.html' AS url, 'essays-' || CAST(doc_id AS VARCHAR) AS slug,
+  '{date}T00:00:00' AS published_at, 'T' || CAST(doc_id % 7 AS VARCHAR) || ',all' AS tags FROM documents WHERE length(regexp_replace(text, '[\\s]+$', '')) + 80 >= 100"""
+
+
+@query(_themed_sql("2020-01-02"))
+def src21_themed_essays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as essays that themes list (A-07, J-09): titles by id, heading or title part (F-26), the time element's date first."""
+    return _themed(spark, sf_dir, True)
+
+
+@query(_themed_sql("2021-03-04"))
+def src22_themed_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with the metas' date first."""
+    return _themed(spark, sf_dir, False)
+
+
+@query("SELECT 'https://b.org/' || CAST(doc_id AS VARCHAR) || '.png' AS src, coalesce(lang, '') AS alt FROM documents")
+def snk02_image_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of all cleaned pages (A-13) written as one list and read back."""
+    path = f"{shared_folder(spark)}/images"
+    page = F.concat(F.lit('<p>x<img src="/'), F.col("doc_id").cast("string"), F.lit('.png" alt="'), F.coalesce("lang", F.lit("")), F.lit('"><img src="data:x">'))
+    cleaned = html.clean(_documents(spark, sf_dir).select(page.alias("page")), "page", F.lit("https://b.org"))
+    images = spark.createDataFrame([], "src string, alt string")
+    return spark.read.schema(images.schema).json(path) if files.write_images(cleaned, path) else images
+
+
+@query("SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM documents WHERE lang = 'de'")
+def p13_optional_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of a feed without a tag (all), and of one with a tag."""
+    posts = Tables(spark, sf_dir).posts
+    return catalogue.feed_posts(F.lit(None).cast("string"), posts).select("id").unionByName(catalogue.feed_posts(F.lit("de"), posts).select("id"))
+
+
+_AUTHOR = "CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'É' || lower(n_name) ELSE n_name END"
+
+
+@query(f"SELECT author, CAST(row_number() OVER (ORDER BY CASE WHEN author IN ('CHINA', 'FRANCE') THEN 1 ELSE 0 END, lower(strip_accents(author))) AS INTEGER) AS place FROM (SELECT {_AUTHOR} AS author FROM nation)")
+def t08_authors_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors in a reader's order, whatever their case and accents, those that await permission last."""
+    d = Tables(spark, sf_dir).table("nation").select(F.expr(_AUTHOR).alias("author"), F.col("n_name").alias("name"), F.col("n_name").alias("slug"))
+    return catalogue.by_author(d, ["CHINA", "FRANCE"]).select("author", "place")
