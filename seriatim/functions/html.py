@@ -11,7 +11,6 @@ for a readability heuristic, whose exact results aren't specified.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html import escape, unescape
 from html.parser import HTMLParser
