@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Documents that one numpy step handles at once.
 DOCS_AT_ONCE = 512
+#: Letters of text that one numpy step handles at once, or one text that has more.
+LETTERS_AT_ONCE = 1_000_000
+#: Rows whose texts a task turns to Python objects at once.
+ROWS_AT_ONCE = 1024
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,6 +69,11 @@ class Staging:
                 folder.getFileSystem(conf).delete(folder, True)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A name that no column of ``tables`` has or starts with."""
+    return "_" * (1 + max((len(c) for t in tables for c in t.columns), default=0)) + name
+
+
 def keyed_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the bound, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -84,10 +93,29 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def slices(n: int, step: int = DOCS_AT_ONCE) -> Iterator[slice]:
     return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
 
+def text_slices(all_texts: list[str], letters: int = LETTERS_AT_ONCE) -> Iterator[slice]:
+    """Slices of about so many letters, each of one text at least."""
+    lo, held = 0, 0
+    for i, t in enumerate(all_texts):
+        held += len(t)
+        if held >= letters:
+            yield slice(lo, i + 1)
+            lo, held = i + 1, 0
+    if lo < len(all_texts):
+        yield slice(lo, len(all_texts))
+
+
 class WordTable(dict):
     """Words by number in the order of their first sight; ``fresh`` lists those not yet worked on."""
 
@@ -188,8 +216,8 @@ def join_shared(left: DataFrame, right: DataFrame, key: str, copies: str, how: s
     hot = [r[0] for r in right.filter(F.col(copies) * HOT_SHARE > total).select(key).collect()]
     if not hot:
         return left.join(right.drop(copies), key, how)
-    parts = F.when(F.col(key).isin(hot), HOT_PARTS).otherwise(1)
+    parts, part = F.when(F.col(key).isin(hot), HOT_PARTS).otherwise(1), unused("part", left, right)
     others = [c for c in left.columns if c != key] or [key]
-    spread = left.withColumn("_part", F.pmod(F.xxhash64(*others), parts).cast("int"))
-    dealt = right.drop(copies).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return spread.join(dealt, [key, "_part"], how).drop("_part")
+    spread = left.withColumn(part, F.pmod(F.xxhash64(*others), parts).cast("int"))
+    dealt = right.drop(copies).withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.join(dealt, [key, part], how).drop(part)
