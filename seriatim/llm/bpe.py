@@ -7,8 +7,9 @@ of higher rank than its own, so one ascending pass over the active ranks ends wi
 
 Space-delimited pieces and their ids are remembered within a task, up to ``CACHE_UNITS``.
 
-Defined cases: a null text counts as empty and has no ids; equal texts get equal ids; the strings of the added tokens
-become their ids; rows repeat as they came; other columns are left out.
+Defined cases: a null text counts as empty and has no ids; texts and runs of one character are as long as they are;
+equal texts get equal ids; the strings of the added tokens become their ids; of pairs of one rank the leftmost merge
+first; rows repeat as they came; other columns, whatever their names, are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.llm.common import WordTable, flat, slices, texts
+from seriatim.llm.common import WordTable, flat, slices, small, text_slices, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids a task keeps at most before it starts over.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
 #: Pre-tokens likewise.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Letters of text that one pass over the ranks takes: a pass costs nearly as much for few new words as for many.
+LETTERS_AT_ONCE = 4_000_000
 #: Characters that a pre-token's white space is made of.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -276,21 +279,6 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return data[np.repeat(starts[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
 
 
-#: Letters of text that one pass of the encoder takes at once.
-LETTERS_AT_ONCE = 8_000_000
-
-
-def text_slices(all_texts: list[str], letters: int = LETTERS_AT_ONCE) -> Iterator[slice]:
-    lo, held = 0, 0
-    for i, t in enumerate(all_texts):
-        held += len(t)
-        if held >= letters:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(all_texts):
-        yield slice(lo, len(all_texts))
-
-
 def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; ``path`` is the tokenizer's file on each executor."""
     path = path or default_path()
@@ -298,9 +286,9 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         encoder = Encoder(v)
-        for batch in batches:
+        for batch in small(batches):
             all_texts, rows = texts(batch), ([], [], [])
-            for part in text_slices(all_texts):
+            for part in text_slices(all_texts, LETTERS_AT_ONCE):
                 ids, bounds = encoder.encode(all_texts[part])
                 for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     own = ids[lo:hi]
@@ -319,9 +307,9 @@ def encode_column(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
-        for batch in batches:
+        for batch in small(batches):
             all_texts = texts(batch)
-            for part in text_slices(all_texts):
+            for part in text_slices(all_texts, LETTERS_AT_ONCE):
                 ids, bounds = encoder.encode(all_texts[part])
                 column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], column], names=["doc_id", "ids"])
@@ -336,7 +324,7 @@ def decode_column(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in small(batches):
             lists = batch.column("ids").to_pylist()
             for part in slices(len(lists)):
                 out = [decode(np.array(x or [], np.int64), v) for x in lists[part]]

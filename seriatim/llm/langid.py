@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.llm.common import LETTERS, WordTable, flat, held_out, keyed_broadcast, learnable, ngram_ids, slices, staged, sums, texts
+from seriatim.llm.common import LETTERS, WordTable, flat, held_out, keyed_broadcast, learnable, ngram_ids, slices, small, staged, sums, texts
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -54,7 +54,7 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in small(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
             words = LETTERS.findall(text.lower())
             if words:
@@ -87,7 +87,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         words, table = WordTable(), np.zeros((0, len(m.languages) + 1))
-        for batch in batches:
+        for batch in small(batches):
             langs, scores = [], []
             all_texts = texts(batch)
             for part in slices(len(all_texts)):

@@ -5,9 +5,10 @@ caption and its position.  ``store`` keeps payloads as PGM pictures of 8-bit sam
 ``measure`` reads stored bytes back and computes their features.  ``resolve`` joins references to what the store has
 by digest and puts the items back in order; a digest that many documents share is dealt over several parts.
 
-Defined cases: null HTML has no items; a null text is an empty payload; a reference whose digest the store lacks keeps
-its place with null media columns; a caption is null where there is none; several stored copies of one digest count as
-one; repeated rows stay; an empty table gives no rows.
+Defined cases: null HTML has no items; a null text is an empty payload, a long one a picture of as many rows as it
+takes; a reference whose digest the store lacks keeps its place with null media columns; a caption is null where there
+is none; several stored copies of one digest count as one; repeated rows stay; other columns, whatever their names, are
+left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

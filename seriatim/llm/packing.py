@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.llm.bpe import Encoder, default_path, text_slices, vocabulary
-from seriatim.llm.common import staged, texts
+from seriatim.llm.bpe import LETTERS_AT_ONCE, Encoder, default_path, vocabulary
+from seriatim.llm.common import small, staged, text_slices, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,10 +39,10 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             all_texts, doc_ids = texts(batch), batch.column("doc_id").fill_null(0).to_numpy()
             nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            for part in text_slices(all_texts):
+            for part in text_slices(all_texts, LETTERS_AT_ONCE):
                 ids, bounds = encoder.encode(all_texts[part])
                 total = np.diff(bounds) + 1
                 count = -(-total // capacity)
