@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.llm import bpe, html_text, langid, line_dedup, media, ngram_join, packing, secrets, topk, toxicity
+from seriatim.llm import bpe, conv_trie, decontam, hard_negatives, html_text, langid, line_dedup, media, ngram_join, packing, secrets, topk, toxicity
 from seriatim.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_line_dedup, op2_topk_search, op3_toxicity, op4_media_columns, op5_best_fit_packing, op6_secret_scans, op7_language_id, op8_bpe, op9_html_text, op10_ngram_join)
+    found = (
+        op1_line_dedup, op2_topk_search, op3_toxicity, op4_media_columns, op5_best_fit_packing, op6_secret_scans, op7_language_id, op8_bpe, op9_html_text, op10_ngram_join,
+        op11_hard_negatives, op12_conversation_trie, op13_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -122,5 +137,76 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.x) = len(c.x)
+  WHERE a.vec_id % 50 = 0
+),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+#: crc32 bit by bit, over the digits' codes (each followed by seven zeros, so that it enters at its first bit).
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, v: xor(xor(a, v) >> 1, 3988292384::BIGINT * (xor(a, v) & 1))), 4294967295::BIGINT)"""
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+seq AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+),
+numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, md5(length(role) || ':' || role || text) AS label, length(text) AS n FROM seq),
+paths AS (
+  SELECT conv_id, depth, n, string_agg(label, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, max(depth) OVER (PARTITION BY conv_id) AS last FROM numbered
+  UNION ALL
+  SELECT c.conv_id, 0, 0, '', coalesce(m.last, 0) FROM c LEFT JOIN (SELECT conv_id, max(depth) AS last FROM numbered GROUP BY conv_id) m USING (conv_id)
+),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = depth), '') AS ends
+  FROM paths GROUP BY path, depth
+),
+linked AS (SELECT x.*, p.conv_id AS parent_conv_id FROM nodes x LEFT JOIN nodes p ON p.depth = x.depth - 1 AND p.path = left(x.path, 32 * p.depth)),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(k.n_children, 0) AS n_children FROM linked l LEFT JOIN children k ON k.conv_id = l.conv_id AND k.depth = l.depth),
+below AS (
+  SELECT a.path, a.depth, count(*) FILTER (x.n_children = 0) AS n_leaves, CAST(sum((x.n_convs - 1) * x.n) AS BIGINT) AS saved_tokens
+  FROM full_nodes x JOIN paths a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.path, a.depth
+)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN below b USING (path, depth)
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+grams AS (SELECT DISTINCT item, least({decontam.WINDOW}, len(w)) AS n, unnest(list_transform(range(1, len(w) - least({decontam.WINDOW}, len(w)) + 2), lambda i: array_to_string(w[i : i + least({decontam.WINDOW}, len(w)) - 1], ' '))) AS gram FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM grams),
+spans AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS gram FROM d JOIN sizes ON len(w) >= n),
+found AS (SELECT s.r, s.i, s.n, g.item FROM spans s JOIN grams g ON g.n = s.n AND g.gram = s.gram),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op10_ngram_join": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_decontamination": OP13_SQL}
