@@ -23,6 +23,7 @@ table gives no rows; other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -33,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from seriatim.llm.common import Staging, WordTable, keyed_broadcast, mixed, small, sums_by, text_slices, texts
 
@@ -529,8 +531,8 @@ def link(documents: DataFrame) -> DataFrame:
         groups = stage(groups.join(sizes, "gh", "left").withColumn("size", F.coalesce("counted", "size")).drop("counted"), "groups")
 
     links.add(links.hubs(groups))
-    if links.add(links.apart(groups, every=False)):
-        links.add(links.apart(groups, every=True))
+    links.add(links.apart(groups, every=False))  # nearest by sketch: most links between what is left, not all
+    links.add(links.apart(groups, every=True))
     found = sets.select("ka", F.col("rep").alias("component"))
     if links.labels is not None:
         by_comp = links.labels.join(sets.select(F.col("ka").alias("node"), "rep"), "node").select("node", "comp", "rep")
@@ -554,8 +556,13 @@ def classes(documents: DataFrame) -> DataFrame:
     return link(documents).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def ordered(field: StructField) -> Column:
+    """The column, or its JSON if it holds a map, which has no order."""
+    return F.to_json(F.struct(field.name)) if "map" in re.findall(r"\w+", field.dataType.simpleString()) else F.col(field.name)
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` without those that aren't the first (by doc_id) of their component; of different rows with one doc_id the least stays, by its columns' values in order."""
+    """``documents`` without those that aren't the first (by doc_id) of their component; of different rows with one doc_id the least stays, by its columns' values (a map's as JSON) in order."""
     stage = Staging(documents.sparkSession, "keep-one")
     found = classes(documents)
     gone = stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
@@ -565,5 +572,5 @@ def keep_one(documents: DataFrame) -> DataFrame:
     if not n:
         return kept
     hint = keyed_broadcast(twice, n)
-    least = kept.join(hint, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(F.col(c) for c in documents.columns))).alias("row"))
+    least = kept.join(hint, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.struct(*map(ordered, documents.schema))).alias("row"))
     return kept.join(hint, "doc_id", "left_anti").select(*documents.columns).unionByName(least.select("row.*"))

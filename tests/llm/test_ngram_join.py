@@ -69,6 +69,44 @@ def test_against_brute_force(spark, monkeypatch, held, spokes):
     check(spark, rows)
 
 
+#: A table in which the nearest set by sketch is no link, and the next one is.
+TWENTY = "v47750568 v17316293 v11223949 v687655 v18899327 v48458468 v2202227 v2858180 v33669015 v75474655 v61502711 v51380940 v69359455 v10523991 v7130544 v29338191 v26016478 v59410519 v1637128 v63335888"
+
+
+def test_link_beyond_the_nearest(spark):
+    rows = [(1, f"{TWENTY} v31879734 v64579238", "c", "n"), (2, f"{TWENTY} v89258632 v94725340", "c", "n"), (3, f"{TWENTY} v12087988 v38069845 v14895928", "c", "n")]
+    assert sorted(r["component_id"] for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string, comp string, node string")).collect()) == [1, 1, 3]
+
+
+def near_threshold(rng, n):
+    """Three texts of ``n`` shared words, of which two are just similar enough and the third isn't to either."""
+    same = [f"s{rng.randrange(10**8)}" for _ in range(n)]
+    first = n - 4  # shingles that all have
+    a = next(k for k in range(1, 99) if 100 * first < 80 * (first + 2 * (k + 1)))
+    own = lambda k: " ".join([*same, *(f"o{rng.randrange(10**8)}" for _ in range(k))])
+    return [own(a), own(a), own(a + 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_threshold_triples(spark, seed):
+    """Each triple of one size alone in its table, so that no other link helps."""
+    rng = random.Random(seed)
+    check(spark, [(i + 1, t, "c", "n") for i, t in enumerate(near_threshold(rng, (9, 20, 36)[seed]))])
+
+
+def test_many_near_threshold_triples(spark):
+    rng = random.Random(77)
+    texts = [t for n in range(9, 45) for t in near_threshold(rng, n)]
+    rng.shuffle(texts)
+    check(spark, [(i, t, "c", "n") for i, t in enumerate(texts)])
+
+
+def test_rows_of_one_id_with_a_map(spark):
+    rows = [(1, "a b c", {"k": 2}), (1, "a b c", {"k": 1}), (2, "z", None)]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>"))
+    assert sorted((r["doc_id"], (r["m"] or {}).get("k")) for r in got.collect()) == [(1, 1), (2, None)]
+
+
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
     rng = random.Random(9)
