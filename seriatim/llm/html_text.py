@@ -51,8 +51,8 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 WALLS = {"table", "td", "th", "caption", "button", "object", "html", "template"}
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)  # quotes open a value after = only
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_BOX = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
@@ -219,7 +219,8 @@ def _into(flow: _Flow, node: Node, keep: bool, shown: bool) -> None:
             if child.tag == "table":
                 lines = _table(child, shown)
             elif child.tag == "li":
-                number += 1
+                value = child.attributes.get("value", "")
+                number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number + 1
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 own = _render(child, keep, shown)
                 lines = [(mark if i == 0 else " " * len(mark) if line else "") + line for i, line in enumerate(own)]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -356,6 +357,10 @@ WHOLE_CASES += [
     (f"<table><tr><td>{LONG}<td>{LONG}<td>z<tr><td>a<td>b<td>c</table>", f"{LONG}\n   {LONG}\n      z\na  b  c"),
     ("<table><tr><td colspan=300>a<td>b</table>", "a" + "  " * 299 + "  b"),
     ("a<p title='x", "a<p title='x"),
+    ("<p><a title=it's>hello</a> don't <b>x</b> tail</p>", "hello don't x tail"),
+    ("<p class = 'a>b' id=\"c>d\" e='>f</p>", "f"),
+    ("<p a=\"x 'y' >z\" b>w</p><i it's>v</i>", "w\n\nv"),
+    ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol><ul><li value=3>e</ul>", "1. a\n7. b\n8. c\n9. d\n\n- e"),
 ]
 
 
@@ -364,6 +369,95 @@ def test_layout_of_deep_drawn_and_spanning_elements(page, text):
     assert html_text.text_of(page) == text
 
 
+class Page:
+    """A random page and what a reader sees of it, told block by block without any parser.
+
+    Blocks are (lines, spaced): a blank line goes before and after spaced ones.
+    """
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+        self.blocks = self.several(0)
+
+    def pick(self, *options):
+        return self.rng.choice(options)
+
+    def words(self):
+        """Markup and text of inline content."""
+        markup, told = [], []
+        for _ in range(self.rng.randint(1, 4)):
+            w = self.pick("stone", "river's", "a b", "five &lt; six", "&eacute;t&eacute;", "x=1")
+            plain = w.replace("&lt;", "<").replace("&eacute;", "\u00e9")
+            k = self.rng.randrange(6)
+            markup.append(w if k < 2 else f"<b title=it's>{w}</b>" if k == 2 else f"<a href='x>y' hidd=en>{w}</a>" if k == 3 else f"{w}<span hidden>never</span>" if k == 4 else f"<i>{w}</i><!-- <p>never -->")
+            told.append(plain)
+        gap = self.pick(" ", "  ", "\n\t")
+        return gap.join(markup), " ".join(told)
+
+    def end(self, tag):
+        """End tags that HTML lets one leave out are left out now and then."""
+        return "" if self.rng.random() < 0.5 else f"</{tag}>"
+
+    def several(self, depth):
+        markup, lines, gap = [], [], False
+        for _ in range(self.rng.randint(1, 4)):
+            m, own, spaced = self.block(depth)
+            markup.append(m)
+            if lines and (spaced or gap):
+                lines.append("")
+            lines += own
+            gap = spaced
+        return "".join(markup), lines
+
+    def block(self, depth):
+        kind = self.pick("p", "h2", "section", "ul", "ol", "table", "pre", "quote", "lost") if depth < 3 else self.pick("p", "pre")
+        if kind in ("p", "h2"):
+            m, t = self.words()
+            return f"<{kind}>{m}</{kind}>" if kind == "h2" else f"<p class=k>{m}</p>", [t], True
+        if kind == "section":
+            m, lines = self.several(depth + 1)
+            return f"<section>{m}</section>", lines, False
+        if kind == "quote":
+            m, lines = self.several(depth + 1)
+            return f"<blockquote>{m}</blockquote>", ["  " + x if x else "" for x in lines], True
+        if kind == "pre":
+            body = self.pick("a\n  b", "x", "  two\n\nthree")
+            return f"<pre>\n{body}</pre>", body.split("\n"), True
+        if kind == "lost":
+            m, t = self.words()
+            hidden = self.pick("<div hidden><p>never</div>", "<script>if (a<b) '<p>'</script>", "<style>p{}</style>", "<div style='display: none'><ul><li>never</ul></div>")
+            return f"{hidden}<div>{m}</div>", [t], False
+        if kind == "table":
+            rows = [[self.pick("a", "bb", "long cell", "&amp;", "") for _ in range(self.rng.randint(1, 3))] for _ in range(self.rng.randint(1, 3))]
+            markup = "".join("<tr>" + "".join(f"<td>{c}{self.end('td')}" for c in r) + self.end("tr") for r in rows)
+            told = [[c.replace("&amp;", "&") for c in r] for r in rows]
+            width = [max((len(r[i]) for r in told if i < len(r)), default=0) for i in range(3)]
+            lines = ["  ".join(c.ljust(width[i]) for i, c in enumerate(r)).rstrip() for r in told]
+            seen = [x for x, r in zip(lines, told, strict=True) if any(r)]
+            return (f"<table>{markup}</table>", lines, True) if len(seen) == len(lines) else self.block(depth)
+        items = [self.words() for _ in range(self.rng.randint(1, 4))]
+        number, markup, lines = 0, "", []
+        for m, t in items:
+            jump = self.rng.randint(0, 30) if self.rng.random() < 0.3 else None
+            number = number + 1 if jump is None else jump
+            markup += f"<li{'' if jump is None else f' value={jump}'}>{m}{self.end('li')}"
+            lines.append(f"{number}. {t}" if kind == "ol" else f"- {t}")
+        return f"<{kind}>{markup}</{kind}>", lines, True
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_layout_of_random_pages(seed):
+    markup, lines = Page(seed).blocks
+    assert html_text.text_of(f"<!doctype html><html><head><title>never</title><meta x></head><body>{markup}") == "\n".join(lines).strip("\n")
+
+
+def test_unclosed_quotes_take_no_long(spark):
+    for page in ("<p a=" * 20_000, "<p a=\"" * 20_000, "<a b='c' " * 20_000 + ">", "<p " + "= " * 50_000, "x<p title='" + "y" * 200_000):
+        began = time.time()
+        html_text.text_of(page)
+        assert time.time() - began < 2
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "in" + "</div>" * 5000
     wide = "<table>" + "".join(f"<tr><td>{'w' * 50_000 if i == 3 else i}<td>v" for i in range(200)) + "</table>"
