@@ -1,12 +1,14 @@
 """Secret scans: fixed rules, and formats learned by grammar inference.
 
 The rules' matches in a bounded sample are labelled credentials.  For each kind a prefix tree of their values is built,
-whose branches are an alphanumeric character or one of the marks, and whose states count their characters and ends.
+whose branches are a digit, a capital, a small letter or one of the marks, and whose states count their characters and
+ends.
 States that are statistically compatible (Hoeffding bound, on the characters, the ends and all that follows) are
 merged, which gives a probabilistic automaton.  A value's likelihood is that of its characters and of ending where it
 ends.  Every other run of credential characters, from the rules' least length on, is scored by how much likelier its
 best automaton makes it than a background model of the sample's other runs; those over the cut are spans of kind
-``learned``.  The cut comes from credentials kept back and from the odds that a background run scores as much, never
+``learned``.  What the rules find is scored too (an assigned value without its name), so every span has its score, in
+nats a character.  The cut comes from credentials kept back and from the odds that a background run scores as much, never
 from the runs to be judged: these may be credentials themselves, so in the background each counts by the probability
 that it is none (a mixture, fitted in a few rounds).
 
@@ -26,7 +28,7 @@ import heapq
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -50,10 +52,10 @@ _LETTERS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_.=
 _RUN_BYTES = bytes(b if b in _LETTERS else 32 for b in range(256))
 _NUMBER = np.array([max(0, _LETTERS.find(bytes([b]))) for b in range(256)])
 K = len(_LETTERS)
-#: A character's branch in a tree: 0 for letters and digits, then the marks.
-_BRANCH = np.maximum(0, np.arange(K) - 61)
 #: A character's class: digits, capitals, small letters, each mark, and the start and end of a run.
 _CLASS = np.concatenate([np.repeat([0, 1, 2], [10, 26, 26]), np.arange(3, 3 + K - 62 + 1)])
+#: A character's branch in a tree.
+_BRANCH = _CLASS[:K]
 #: Documents of the sample (those with the smallest hashes of their ids), credentials a kind and other runs that it may
 #: give, and characters of each that are learned from.
 SAMPLE_DOCUMENTS = 20_000
@@ -129,73 +131,115 @@ class Automaton:
         return float(self.chars[path, codes].sum()), state
 
 
-def learn(runs: list[bytes]) -> Automaton:
-    """Merges compatible states of the prefix tree of ``runs``, in breadth-first order."""
-    moves: list[dict[int, int]] = [{}]
-    chars, ends = [np.zeros(K)], [0]
-    for run in runs:
-        s = 0
-        for c in _NUMBER[np.frombuffer(run[:RUN_LETTERS], np.uint8)].tolist():
-            chars[s][c] += 1
-            b = int(_BRANCH[c])
-            if b not in moves[s]:
-                moves[s][b] = len(moves)
-                moves.append({})
-                chars.append(np.zeros(K))
-                ends.append(0)
-            s = moves[s][b]
-        ends[s] += len(run) <= RUN_LETTERS
-    whole = sum(chars) + SMOOTH
-    whole /= whole.sum()
-    margin = math.sqrt(0.5 * math.log(2 / ALPHA))
-
-    def arrived(x: int) -> float:
-        return max(1.0, float(chars[x].sum()) + ends[x])
-
-    def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+class _Merger:
+    """A prefix tree whose states are merged; a merged state stands for those that went into it."""
+
+    def __init__(self, runs: list[bytes]) -> None:
+        self.moves: list[dict[int, int]] = [{}]
+        self.chars, self.ends, self.into = [np.zeros(K)], [0], [0]
+        for run in runs:
+            s = 0
+            for c in _NUMBER[np.frombuffer(run[:RUN_LETTERS], np.uint8)].tolist():
+                self.chars[s][c] += 1
+                s = self.moves[s].setdefault(int(_BRANCH[c]), len(self.moves))
+                if s == len(self.moves):
+                    self.moves.append({})
+                    self.chars.append(np.zeros(K))
+                    self.ends.append(0)
+                    self.into.append(s)
+            self.ends[s] += len(run) <= RUN_LETTERS
+        self.margin = math.sqrt(0.5 * math.log(2 / ALPHA))
+
+    def now(self, s: int) -> int:
+        while self.into[s] != s:
+            self.into[s] = s = self.into[self.into[s]]
+        return s
+
+    def after(self, s: int) -> list[int]:
+        """The states that follow, each once."""
+        return list(dict.fromkeys(self.now(self.moves[s][b]) for b in sorted(self.moves[s])))
+
+    def arrived(self, s: int) -> float:
+        return max(1.0, float(self.chars[s].sum()) + self.ends[s])
+
+    def compatible(self, a: int, b: int) -> bool:
+        todo, seen = [(a, b)], {(a, b)}
         while todo:
             x, y = todo.pop()
-            n, m = arrived(x), arrived(y)
-            bound = margin * (n**-0.5 + m**-0.5)
-            if abs(ends[x] / n - ends[y] / m) > bound or np.abs(chars[x] / n - chars[y] / m).max() > bound:
+            n, m = self.arrived(x), self.arrived(y)
+            bound = self.margin * (n**-0.5 + m**-0.5)
+            if abs(self.ends[x] / n - self.ends[y] / m) > bound or np.abs(self.chars[x] / n - self.chars[y] / m).max() > bound:
                 return False
-            todo += [(moves[x][c], moves[y][c]) for c in moves[x] if c in moves[y] and moves[x][c] != moves[y][c]]
+            for c in self.moves[x].keys() & self.moves[y].keys():
+                pair = self.now(self.moves[x][c]), self.now(self.moves[y][c])
+                if pair[0] != pair[1] and pair not in seen:
+                    seen.add(pair)
+                    todo.append(pair)
         return True
 
-    def fold(a: int, b: int) -> None:
+    def fold(self, a: int, b: int) -> None:
+        """``b`` and what follows it go into ``a`` and what follows that."""
         todo = [(a, b)]
         while todo:
-            x, y = todo.pop()
-            ends[x] += ends[y]
-            chars[x] = chars[x] + chars[y]
-            for c, to in moves[y].items():
-                if c not in moves[x]:
-                    moves[x][c] = to
-                elif moves[x][c] != to:
-                    todo.append((moves[x][c], to))
-
-    kept, queue = [0], [(0, b) for b in sorted(moves[0])]
-    while queue:
-        s, b = queue.pop(0)
-        t = moves[s][b]
-        if t in kept:
-            continue
-        to = next((k for k in kept if compatible(k, t)), None)
-        if to is None:
-            kept.append(t)
-            queue += [(t, x) for x in sorted(moves[t])]
-        else:
-            moves[s][b] = to
-            fold(to, t)
-            queue += [(k, x) for k in kept for x in sorted(moves[k]) if moves[k][x] not in kept and (k, x) not in queue]
+            x, y = map(self.now, todo.pop())
+            if x == y:
+                continue
+            self.into[y] = x
+            self.ends[x] += self.ends[y]
+            self.chars[x] = self.chars[x] + self.chars[y]
+            for c, to in self.moves[y].items():
+                if c in self.moves[x]:
+                    todo.append((self.moves[x][c], to))
+                else:
+                    self.moves[x][c] = to
+
+    def by_depth(self) -> None:
+        """Merges compatible states of one depth, so that classes that mix freely don't scatter the counts."""
+        level = [0]
+        while level:
+            kept: list[int] = []
+            for s in sorted({self.now(t) for s in level for t in self.after(s)}, key=lambda t: (-self.arrived(t), t)):
+                t = self.now(s)
+                if t in kept:
+                    continue
+                to = next((k for k in kept if self.compatible(k, t)), None)
+                if to is None:
+                    kept.append(t)
+                else:
+                    self.fold(to, t)
+            level = list(dict.fromkeys(map(self.now, kept)))
+
+    def across(self) -> list[int]:
+        """Merges compatible states of any depth, breadth first; the states that stay."""
+        kept, queue = [0], deque(self.after(0))
+        while queue:
+            t = self.now(queue.popleft())
+            if t in kept:
+                continue
+            to = next((k for k in kept if self.compatible(k, t)), None)
+            if to is None:
+                kept.append(t)
+            else:
+                self.fold(to, t)
+                kept = list(dict.fromkeys(map(self.now, kept)))
+            queue = deque(x for k in kept for x in self.after(k) if x not in kept)
+        return kept
+
+
+def learn(runs: list[bytes]) -> Automaton:
+    """Merges compatible states of the prefix tree of ``runs``, first those of one depth."""
+    tree = _Merger(runs)
+    whole = sum(tree.chars) + SMOOTH
+    whole /= whole.sum()
+    tree.by_depth()
+    kept = tree.across()
     number = {s: i for i, s in enumerate(kept)}
-    counts, total = np.array([chars[s] for s in kept]), np.array([arrived(s) for s in kept])
-    last = np.array([ends[s] for s in kept])
+    counts, total = np.array([tree.chars[s] for s in kept]), np.array([tree.arrived(s) for s in kept])
+    last = np.array([tree.ends[s] for s in kept])
     return Automaton(
         np.log((counts + PRIOR * whole) / (total + PRIOR + SMOOTH)[:, None]),
         np.log((last + SMOOTH) / (total + PRIOR + SMOOTH)),
-        np.array([[number[moves[s].get(b, s)] for b in range(int(_BRANCH.max()) + 1)] for s in kept]),
+        np.array([[number[tree.now(tree.moves[s].get(b, s))] for b in range(int(_BRANCH.max()) + 1)] for s in kept]),
     )
 
 
@@ -253,9 +297,9 @@ class Model:
         codes, ends = coded(runs)
         return (self.formats(codes, ends) - self.background.likelihoods(codes, ends)) / np.maximum(1, np.diff(ends))
 
-    def all_found(self, runs: list[bytes]) -> np.ndarray:
+    def all_found(self, runs: list[bytes], score: np.ndarray | None = None) -> np.ndarray:
         """Over the cut, and with so much evidence in all that a background run has it with odds of FALSE_ALARM at most (a likelihood ratio of x has odds of 1 / x under the background)."""
-        score = self.scores(runs)
+        score = self.scores(runs) if score is None else score
         return (score > self.cut) & (score * np.array([len(r) for r in runs]) > math.log(max(len(self.automata), 1) / FALSE_ALARM))
 
     def score(self, run: str) -> float:
@@ -306,12 +350,18 @@ def _separate(model: Model, codes: np.ndarray, ends: np.ndarray) -> None:
     model.background = Background.of(codes, ends, weights)
 
 
+def value_of(text: str, span: Span) -> bytes:
+    """What a rule's span holds: of an assignment what is assigned."""
+    kind, a, b = span
+    return (ASSIGN.fullmatch(text[a:b])[2] if kind == "assign" else text[a:b]).encode()
+
+
 @dataclass
 class Finder:
     """A task's memory of the runs that it has scored."""
 
     model: Model | None
-    known: set[bytes] = field(default_factory=set)
+    known: dict[bytes, float] = field(default_factory=dict)
     hits: set[bytes] = field(default_factory=set)
 
     def spans(self, all_texts: Iterable[str]) -> list[list[Span]]:
@@ -321,11 +371,7 @@ class Finder:
         if not self.model or not self.model.automata:
             return out
         runs = [runs_of(raw) for raw in raws]
-        if len(self.known) > KNOWN_RUNS:
-            self.known, self.hits = set(), set()
-        fresh = sorted(set().union(*runs) - self.known)
-        self.known.update(fresh)
-        self.hits.update(fresh[i] for i in np.flatnonzero(self.model.all_found(fresh)).tolist())
+        self._learn(set().union(*runs))
         for text, own, spans in zip(all_texts, runs, out, strict=True):
             if not self.hits.isdisjoint(own):
                 new = [(m.start(), m.end()) for m in RUN.finditer(text) if m[0].encode() in self.hits]
@@ -333,6 +379,22 @@ class Finder:
                 spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
         return out
 
+    def _learn(self, runs: set[bytes]) -> None:
+        if len(self.known) > KNOWN_RUNS:
+            self.known, self.hits = {}, set()
+        if fresh := sorted(runs - self.known.keys()):
+            score = self.model.scores(fresh)
+            self.known.update(zip(fresh, score.tolist(), strict=True))
+            self.hits.update(fresh[i] for i in np.flatnonzero(self.model.all_found(fresh, score)).tolist())
+
+    def scores(self, all_texts: Iterable[str], found: list[list[Span]]) -> list[list[float | None]]:
+        """The format score of what every span holds; null without formats."""
+        values = [[value_of(t, s) for s in spans] for t, spans in zip(all_texts, found, strict=True)]
+        if not self.model or not self.model.automata:
+            return [[None] * len(v) for v in values]
+        self._learn({v for own in values for v in own})
+        return [[self.known[v] for v in own] for own in values]
+
 
 def all_spans(text: str, model: Model | None) -> list[Span]:
     return Finder(model).spans([text])[0]
@@ -354,8 +416,7 @@ def fit(documents: DataFrame) -> Model:
             for text in texts(batch):
                 spans = rule_spans(text)
                 for kind, a, b in spans:
-                    value = ASSIGN.fullmatch(text[a:b])[2] if kind == "assign" else text[a:b]
-                    found[kind].add(value[: RUN_LETTERS + 1])
+                    found[kind].add(value_of(text, (kind, a, b)).decode()[: RUN_LETTERS + 1])
                 own = runs_of(text.encode())
                 if spans:  # what a rule has found, or holds, is no other run
                     own -= {m[0].encode() for m in RUN.finditer(text) if any(x < m.end() and m.start() < y for _, x, y in spans)}
@@ -376,7 +437,7 @@ def fit(documents: DataFrame) -> Model:
 
 
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, counts and digests of the rules' spans, and all spans, of every document."""
+    """doc_id, counts and digests of the rules' spans, all spans, and their scores, of every document."""
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,16 +445,17 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in small(batches):
             all_texts, rows = texts(batch), []
             for part in slices(len(all_texts)):
-                for spans in finder.spans(all_texts[part]):
+                found = finder.spans(all_texts[part])
+                for spans, scores in zip(found, finder.scores(all_texts[part], found), strict=True):
                     base = [s for s in spans if s[0] != "learned"]
                     n = Counter(s[0] for s in base)
                     line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
-                    rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(line.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
-            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.string()) for i in range(5))], names=["doc_id", *names])
+                    rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(line.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans), scores))
+            kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "scores": pa.list_(pa.float64())}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values()))], names=["doc_id", *kinds])
 
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return d.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores array<double>")
 
 
 def _blank(text: str, spans: list[Span]) -> str:

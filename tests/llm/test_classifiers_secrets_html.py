@@ -469,3 +469,50 @@ def test_odd_pages(spark):
     assert by[2] == "in"
     assert len(by[3]) < 80_000
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def planted(spark):
+    """The given documents, some with a credential under a name and some with a bare one of the same format."""
+    rng = random.Random(21)
+    key = lambda: "".join(rng.choice("ABCDEFGHJKMN") for _ in range(4)) + "".join(rng.choice("0123456789ABCDEFGHJK") for _ in range(20)) + "".join(rng.choice("qxz") for _ in range(3))
+    rows = [(r["doc_id"], r["text"] or "") for r in table(spark, "documents").orderBy("doc_id").collect()]
+    bare = {}
+    for n, (i, t) in enumerate(rows):
+        if n % 3 == 0:
+            rows[n] = (i, f"{t}\napi_key: {key()}")
+        elif n % 3 == 1:
+            k = key()
+            rows[n], bare[i] = (i, f"{t}\nsee {k} there"), (len(t) + 5, len(t) + 5 + len(k))
+    return rows, bare
+
+
+def test_bare_credentials_among_the_given_documents(spark):
+    """Learned spans are the planted ones and no others, base spans are those of brute force, and every span has its score."""
+    rows, bare = planted(spark)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = secrets.fit(d)
+    text = dict(rows)
+    learned, false = 0, 0
+    for r in secrets.scan(d, model).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        assert [s for s in spans if s[0] != "learned"] == brute_spans(text[r["doc_id"]])
+        assert len(spans) == len(r["scores"])
+        for (kind, a, b), score in zip(spans, r["scores"], strict=True):
+            value = text[r["doc_id"]][a:b]
+            value = re.split(r"[:=] *[\"']?", value, maxsplit=1)[-1] if kind == "assign" else value
+            assert math.isclose(score, model.score(value), rel_tol=1e-9)
+            if kind == "learned":
+                learned += bare.get(r["doc_id"]) == (a, b)
+                false += bare.get(r["doc_id"]) != (a, b)
+                assert score > model.cut
+    assert false == 0
+    assert learned >= 0.95 * len(bare) > 30
+
+
+def test_branches_tell_classes_apart():
+    rng = random.Random(22)
+    keys = ["".join(rng.choice("ABCDEFGH") for _ in range(4)) + "".join(rng.choice("0123456789") for _ in range(6)) for _ in range(200)]
+    a = secrets.learn([k.encode() for k in keys])
+    codes, ends = secrets.coded([b"ABCD123456", b"123456ABCD"])
+    one, other = a.likelihoods(codes, ends)
+    assert one > other + 10
