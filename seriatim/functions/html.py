@@ -1,16 +1,19 @@
-"""HTML: cleaning for e-mail, and the facts of a page that the sources need, each in one pass of the standard parser.
+"""HTML: cleaning for e-mail, and the facts of a page that the sources need.
 
-``clean`` keeps an allow-list of elements and attributes and leaves out the rest's tags, but not their text; elements
-that never belong in a letter go with all they hold.  Style sheets are among these, so no rules are left to inline:
-inline styles stay as they are and classes go.  ``facts`` gives titles, headings, links, metas, times, paragraphs
-and main content as one struct, so that all else is column expressions.
+``clean`` takes the body of a page's tree (``markup``), keeps an allow-list of elements and attributes and leaves out the
+rest's tags, but not their text; elements that never belong in a letter go with all they hold.  Links and pictures keep
+their address only with an allowed scheme.  Style sheets are among what goes, so no rules are left to inline: classes
+go, and inline styles, for which there is no sanitiser, are emptied.
 
-The main content is the first article, else main, else a division of class or id content, else the body: a stand-in
-for a readability heuristic, whose exact results aren't specified.
+``facts`` gives titles, headings, links, metas, times, paragraphs and main content as one struct, in one pass of the
+standard parser, so that all else is column expressions.  Its main content is the first article, else main, else a
+division of class or id content, else the body.  ``main_text`` finds it by the density of text instead, for pages
+without such marks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import escape, unescape
 from html.parser import HTMLParser
@@ -22,74 +25,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from seriatim.functions import markup
 from seriatim.functions import text as T
+from seriatim.functions.markup import Node
 
 #: Elements and attributes that letters may have, and elements that go with their content.
 ALLOWED = set("a abbr acronym b blockquote br code dd del div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre q s span strong sub sup table tbody td tfoot th thead tr u ul figure figcaption cite mark small".split())
 ATTRIBUTES = {"*": {"id", "style"}, "a": {"href", "title", "target", "rel"}, "img": {"src", "alt", "width", "height", "title"}, "td": {"colspan", "rowspan", "align", "valign"}, "th": {"colspan", "rowspan", "align", "valign"}, "ol": {"start", "type"}, "blockquote": {"cite"}}
 DROPPED = set("script style nav iframe form input button select textarea noscript header footer aside svg canvas video audio object embed".split())
-HEAD = {"head", "title"}
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
+#: Schemes that links and pictures may have, and the attributes that are links.
+SCHEMES = {"http", "https", "mailto"}
+LINKS = {"href", "src", "cite"}
 CLEANED = "html string, text string, images array<struct<src:string,alt:string>>"
 FACTS = "title string, headings array<struct<tag:string,text:string>>, links array<struct<href:string,text:string>>, metas map<string,string>, times array<string>, paragraphs array<string>, main string, ids map<string,string>, articles array<struct<title:string,href:string,tags:array<string>,date:string>>"
 
 
-class _Cleaner(HTMLParser):
-    def __init__(self, base: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.base, self.out, self.texts, self.images = f"{base.rstrip('/')}/", [], [], []
-        self.skipped: list[str] = []
-        self.open: list[str] = []
+def joined(base: str, url: str) -> str:
+    try:
+        return urljoin(base, url)
+    except ValueError:  # a host that can't be one
+        return url
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in DROPPED or tag in HEAD:
-            if tag not in VOID:
-                self.skipped.append(tag)
-            return
-        if self.skipped:
-            return
-        found = {k: v or "" for k, v in attrs}
-        if tag == "a" and "href" in found and not found["href"].startswith(("http://", "https://", "mailto:", "#")):
-            found |= {"href": urljoin(self.base, found["href"]), "target": "_blank", "rel": "noopener noreferrer"}
-        if tag == "img" and "src" in found:
-            if not found["src"].startswith(("http://", "https://", "data:")):
-                found["src"] = urljoin(self.base, found["src"])
-            if not found["src"].startswith("data:"):
-                self.images.append({"src": found["src"], "alt": found.get("alt", "")})
-        if tag in ALLOWED:
-            kept = ATTRIBUTES["*"] | ATTRIBUTES.get(tag, set())
-            self.out.append(f"<{tag}{''.join(f' {k}="{escape(v)}"' for k, v in found.items() if k in kept)}>")
-            if tag not in VOID:
-                self.open.append(tag)
 
-    def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag in self.skipped:
-                del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
-            return
-        if tag in self.open:
-            while self.open:
-                last = self.open.pop()
-                self.out.append(f"</{last}>")
-                if last == tag:
-                    break
+def may_link(url: str) -> bool:
+    """Whether a URL has an allowed scheme or none; blanks and controls don't count, as browsers skip them."""
+    plain = re.sub(r"[\x00-\x20\x7f-\xa0\s]+", "", url).lower()
+    m = re.match(r"([a-z][a-z0-9+.-]*):(?!\d+(?:/|$))", plain)
+    return m is None or m[1] in SCHEMES
 
-    def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.out.append(escape(data, quote=False))
-            if data.strip():
-                self.texts.append(data.strip())
 
+def _attributes(node: Node, base: str) -> dict[str, str]:
+    """The attributes that a letter may have, with absolute links."""
+    found = dict(node.attributes)
+    if node.tag == "a" and "href" in found and not found["href"].startswith(("http://", "https://", "mailto:", "#")):
+        found |= {"href": joined(base, found["href"]), "target": "_blank", "rel": "noopener noreferrer"}
+    if node.tag == "img" and "src" in found and not found["src"].startswith(("http://", "https://", "data:")):
+        found["src"] = joined(base, found["src"])
+    kept = ATTRIBUTES["*"] | ATTRIBUTES.get(node.tag, set())
+    return {k: "" if k == "style" else v for k, v in found.items() if k in kept and (k not in LINKS or may_link(v))}
 
-def clean_page(page: str | None, base: str) -> dict:
-    parser = _Cleaner(base)
-    parser.feed(page or "")
-    parser.close()
-    return {"html": "".join([*parser.out, *(f"</{t}>" for t in reversed(parser.open))]), "text": "\n".join(parser.texts), "images": parser.images}
 
-
-def _mapped(df: DataFrame, source: Column, name: str, kind: str, arrow: pa.DataType, each) -> DataFrame:
-    """``df`` with a struct column ``name`` that ``each`` makes from ``source``; null only where ``each`` gives it."""
+def clean_page(page: str | None, base: str) -> dict:
+    """A page's body as HTML for letters, its text nodes by line, and its pictures."""
+    base = f"{base.rstrip('/')}/"
+    out, texts, images, run = [], [], [], []
+
+    def emit(markup: str) -> None:
+        if t := "".join(run).strip():
+            texts.append(t)
+        run.clear()
+        out.append(markup)
+
+    todo: list = [markup.parse(page or "")[1]]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            emit(f"</{x[0]}>")
+        elif isinstance(x, str):
+            run.append(x)
+            out.append(escape(x, quote=False))
+        elif x.tag not in DROPPED:
+            if x.tag in ALLOWED:
+                own = _attributes(x, base)
+                if x.tag == "img" and own.get("src"):
+                    images.append({"src": own["src"], "alt": x.attributes.get("alt", "")})
+                emit(f"<{x.tag}{''.join(f' {k}="{escape(v)}"' for k, v in own.items())}>")
+                if x.tag not in markup.VOID:
+                    todo.append((x.tag,))
+            todo += reversed(x.children)
+    emit("")
+    return {"html": "".join(out), "text": "\n".join(texts), "images": images}
+
+
+def _mapped(df: DataFrame, source: Column, name: str, kind: str | None, arrow: pa.DataType, each) -> DataFrame:
+    """``df`` with a column ``name`` (a struct of ``kind``, or without one a string) that ``each`` makes from ``source``; null only where ``each`` gives it."""
     spot = f"{name}_source"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +108,7 @@ def _mapped(df: DataFrame, source: Column, name: str, kind: str, arrow: pa.DataT
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), column], names=[*(batch.schema.names[i] for i in kept), name])
 
-    return df.withColumn(spot, source).mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"{name} struct<{kind}>").fields]))
+    return df.withColumn(spot, source).mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {f'struct<{kind}>' if kind else 'string'}").fields]))
 
 
 _IMAGES = pa.list_(pa.struct([("src", pa.string()), ("alt", pa.string())]))
@@ -159,7 +168,7 @@ class _Facts(HTMLParser):
             self.articles.append(self.around[-1])
         for article in self.around:
             article.start(tag, a)
-        if a.get("id") and tag not in VOID:
+        if a.get("id") and tag not in markup.VOID:
             self.gather.setdefault(f"#{a['id']}", [tag, [], 0])
         if tag in ("article", "main", "body"):
             self.marks.setdefault(tag, []).append(end)
@@ -230,7 +239,7 @@ class _Article:
                 self.href, self.title = a["href"], self.link
             if "/tag/" in a["href"] or "/category/" in a["href"]:
                 self.tags.append(self.link)
-        if self.dated is None and "date" in a.get("class", "") and tag not in VOID:
+        if self.dated is None and "date" in a.get("class", "") and tag not in markup.VOID:
             self.dated, self.date_tag = [], tag
         if tag == "time" and self.time is None and a.get("datetime"):
             self.time = a["datetime"]
@@ -255,7 +264,7 @@ class _Article:
 
 
 def page_facts(page: str | None) -> dict:
-    f = _Facts(page or "")
+    f = _Facts(markup.whole(page or ""))  # the standard parser would read a cut-off tag again and again
     span = next((f.spans[t] for t in ("article", "main", "div", "body") if t in f.spans), (0, len(f.page)))
     return {"title": f.title, "headings": f.headings, "links": f.links, "metas": list(f.metas.items()), "times": f.times, "paragraphs": f.paragraphs, "main": f.page[slice(*span)].strip(), "ids": list(f.ids.items()), "articles": [a.told() for a in f.articles]}
 
@@ -278,6 +287,11 @@ def facts(df: DataFrame, page: str, name: str = "facts") -> DataFrame:
     return _mapped(df, F.col(page), name, kind, _FACTS, page_facts)
 
 
+def main_text(df: DataFrame, page: str, name: str = "main") -> DataFrame:
+    """``df`` with the text of the page's densest part, a line a block; null for a null page."""
+    return _mapped(df, F.col(page), name, None, pa.string(), lambda x: None if x is None else markup.shown(markup.main_part(markup.parse(x)[1])))
+
+
 def heading(found: Column, tag: str) -> Column:
     """The first heading of that level, null without one."""
     return F.nullif(F.try_element_at(F.filter(found["headings"], lambda h: h["tag"] == tag), F.lit(1))["text"], F.lit(""))

@@ -40,12 +40,43 @@ def f52_regex_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS number, 'https://papers.example.org/fed' || lpad(CAST(i AS VARCHAR), 2, '0') || '.asp' AS url FROM range(1, 86) AS r(i)")
+@query("SELECT p_partkey AS number, 'https://papers.example.org/fed' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(2, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') || '.asp' AS url FROM part")
 def src18_numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.number_range(spark, 1, 85, "https://papers.example.org/fed%02d.asp")
+    return files.numbered_urls(Tables(spark, sf_dir).table("part").select(F.col("p_partkey").alias("number")), "https://papers.example.org/fed%02d.asp")
 
 
 @query("SELECT page_id, regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title FROM pages")
 def f61_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     return _pages(spark, sf_dir).select("page_id", html.entity_text(raw).alias("title"))
+
+
+_BODY = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*</nav>', ''), '(?s)<footer>.*$', ''), '(?s)<!--.*?-->', '', 'g')"
+_PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_BODY}, '<[^>]*>'), lambda x: regexp_replace({_PLAIN.format('x')}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages""")
+def f50_open_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages without end tags that HTML lets one leave out: of head, body, html, paragraphs and items."""
+    d = _pages(spark, sf_dir).select("page_id", "url", F.regexp_replace("html", "</(head|body|html|p|li)>", "").alias("html"))
+    return html.clean(d, "html", F.col("url")).select("page_id", F.col("cleaned.text").alias("text"))
+
+
+@query("""SELECT doc_id, '<a target="_blank" rel="noopener noreferrer">' || lang || '</a><a href="https://b.org/x?' || CAST(doc_id AS VARCHAR) || '" target="_blank" rel="noopener noreferrer">x</a><a href="mailto:' || source || '">m</a><img alt="p"><img src="https://o.org/i"><blockquote>q</blockquote><p>' || source || '</p><p>end</p>' AS html, 'https://o.org/i' AS images FROM documents""")
+def f55_link_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and pictures of other schemes lose their address, whatever their case and blanks; an open paragraph ends at the next."""
+    script = F.element_at(F.array(F.lit("javascript:alert("), F.lit("JaVa\tScript:alert("), F.lit(" vbscript:x("), F.lit("data:text/html,(")), (F.col("doc_id") % 4 + 1).cast("int"))
+    page = F.concat(F.lit("<title>t</title><a href='"), script, F.col("doc_id").cast("string"), F.lit(")'>"), "lang", F.lit("</a><a href='x?"), F.col("doc_id").cast("string"), F.lit("'>x</a><a href=mailto:"), "source", F.lit(">m</a><img src='vbscript:p' alt=p><img src=https://o.org/i><blockquote cite='javascript:c'>q</blockquote><p>"), "source", F.lit("<p>end"))
+    d = html.clean(Tables(spark, sf_dir).documents.select("doc_id", page.alias("page")), "page", F.lit("https://b.org"))
+    return d.select("doc_id", F.col("cleaned.html").alias("html"), F.array_join(F.transform("cleaned.images", lambda i: i["src"]), ",").alias("images"))
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x1c-\\x1f\\x85\\xa0\\p{Z}]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN len(list_filter({_LINES}, lambda x: length(x) >= 25)) > 0 THEN array_to_string({_LINES}, chr(10)) ELSE array_to_string(list_concat(['Home About', 'Buy now'], {_LINES}, ['Nice!', 'More by ' || source]), chr(10)) END AS main FROM documents""")
+def f58_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in pages without a landmark, between links, an advertisement and comments; pages without a long line are all main content."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))))
+    page = F.concat(F.lit("<title>t</title><nav>menu</nav><div><a href=/>Home</a> <a href=/a>About</a></div><div class=ad>Buy now</div><div><div class=k>"), F.array_join(lines, ""), F.lit("</div></div><div class=comments><p>Nice!</p></div><div><a href=/m>More by "), "source", F.lit("</a></div><footer>f</footer>"))
+    return html.main_text(Tables(spark, sf_dir).documents.select("doc_id", page.alias("page")), "page").select("doc_id", "main")

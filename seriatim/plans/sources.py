@@ -184,7 +184,7 @@ def src27_book_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXT = _ESCAPED.format("text")
 
 
-@query(f"""SELECT doc_id, '<p style="s">' || {_TEXT} || '</p><a href="https://b.org/p/1" target="_blank" rel="noopener noreferrer">rel</a> <a href="https://o.org/x" title="t">abs</a><img src="https://b.org/i.png" alt="A"><img src="data:x">kept<b>bold</b>' AS html,
+@query(f"""SELECT doc_id, '<p style="">' || {_TEXT} || '</p><a href="https://b.org/p/1" target="_blank" rel="noopener noreferrer">rel</a> <a href="https://o.org/x" title="t">abs</a><img src="https://b.org/i.png" alt="A"><img>kept<b>bold</b>' AS html,
   array_to_string(list_filter([regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'rel', 'abs', 'kept', 'bold'], lambda x: x <> ''), chr(10)) AS text, 'https://b.org/i.png|A' AS images FROM documents""")
 def f50_cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaner (F-51 to F-57) on documents set in a page: what goes, what stays, links, images and plain text."""

@@ -128,9 +128,9 @@ def archive_posts(listed: DataFrame, pages: DataFrame) -> DataFrame:
     return d.select(title.alias("title"), "url", F.col("facts.main").alias("content_html"), F.when(slug != "", slug).otherwise(text.slugify(title)).alias("slug"), date.alias("published_at"), "tags")
 
 
-def number_range(spark: SparkSession, first: int, last: int, pattern: str) -> DataFrame:
+def numbered_urls(numbers: DataFrame, pattern: str) -> DataFrame:
     """number and url of numbered pages."""
-    return spark.range(first, last + 1).select(F.col("id").cast("int").alias("number"), F.format_string(pattern, "id").alias("url"))
+    return numbers.select("number", F.format_string(pattern, "number").alias("url"))
 
 
 def chapter_links(facts: DataFrame, prefix: str, found: str = "facts") -> DataFrame:
