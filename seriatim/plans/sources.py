@@ -69,7 +69,7 @@ def src06_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat("host", F.lit("/index"))
     listed = maps.select("host", "url").unionByName(maps.select("host", own.alias("url")).distinct())
     known = maps.select("url", "xml").unionByName(listed.groupBy("host").agg(inside("sitemapindex", "sitemap", F.col("url")).alias("xml")).select(own.alias("url"), "xml"))
-    return files.sitemap(lambda urls: urls.join(known, "url").select("xml"), d.select(own.alias("url")).distinct())
+    return files.sitemap_pages(files.sitemap(lambda urls: urls.join(known, "url"), d.select(own.alias("url")), shared_folder(spark)))
 
 
 _HOST = "regexp_extract(url, '^[a-z]+://[^/]*', 0)"
@@ -242,13 +242,15 @@ def p17_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))), "|").alias("text"))
 
 
-@query("SELECT CAST(0 AS INTEGER) AS pos, '/b/' || CAST(doc_id AS VARCHAR) AS href, 'Chapter ' || CAST(doc_id AS VARCHAR) AS title FROM documents")
+@query("SELECT doc_id // 12 AS book, CAST(2 * row_number() OVER (PARTITION BY doc_id // 12 ORDER BY doc_id DESC) - 2 AS INTEGER) AS pos, '/b/' || CAST(doc_id AS VARCHAR) AS href, 'Chapter ' || CAST(doc_id AS VARCHAR) AS title FROM documents")
 def src19_chapter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexes of books with one chapter each, listed twice, beside links that are no chapters."""
-    id_ = F.col("doc_id").cast("string")
+    """Indexes of books of twelve chapters, all listed backwards and then again, beside links that are no chapters."""
+    id_, k = F.col("doc_id").cast("string"), F.col("doc_id")
     link = lambda text_: F.concat(F.lit('<a href="/b/'), id_, F.lit(f'">{text_} '), id_, F.lit("</a>"))
-    page = F.concat(link("Chapter"), link("Again"), F.lit('<a href="/b/x'), id_, F.lit('">← back</a><a href="/b/y/'), id_, F.lit('">deeper</a><a href="/c/'), id_, F.lit('">other</a>'))
-    return files.chapter_links(html.facts(_documents(spark, sf_dir).select("doc_id", page.alias("html")), "html"), "/b/")
+    other = F.concat(F.lit('<a href="/b/y/'), id_, F.lit('">deeper</a>'))
+    d = _documents(spark, sf_dir).groupBy(F.floor(k / 12).alias("book")).agg(F.array_sort(F.collect_list(F.struct((-k).alias("o"), F.concat(link("Chapter"), other).alias("one"), link("Again").alias("two")))).alias("s"))
+    page = F.concat(F.array_join(F.transform("s", lambda x: x["one"]), ""), F.array_join(F.transform("s", lambda x: x["two"]), ""), F.lit('<a href="/b/x">← back</a><a href="/c/1">other</a>'))
+    return files.chapter_links(html.facts(d.select("book", page.alias("html")), "html"), "/b/", group="book")
 
 
 def _themes(d: DataFrame) -> DataFrame:

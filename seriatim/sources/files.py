@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from seriatim import schemas
 from seriatim.functions import dates, html, text, urls
 from seriatim.operators import merge
+from seriatim.sources import outcomes
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,35 +50,36 @@ def write_images(cleaned: DataFrame, path: str) -> bool:
     return True
 
 
-def sitemap_entries(maps: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFrame]:
-    """Page URLs of sitemaps, and URLs of the sitemaps that indexes list."""
-    def entries(path: str) -> DataFrame:
-        return maps.select(F.explode(F.xpath(F.col(xml), F.lit(path))).alias("url")).select(F.trim("url").alias("url"))
+def sitemap(read: Callable[[DataFrame], DataFrame], first: DataFrame, folder: str, most: int = 50) -> DataFrame:
+    """level, url (of the map), pages, maps and failed of all sitemaps below ``first`` (url).
 
-    return entries("/urlset/url/loc/text()"), entries("/sitemapindex/sitemap/loc/text()")
-
-
-def sitemap(read: Callable[[DataFrame], DataFrame], first: DataFrame, most: int = 50) -> DataFrame:
-    """All page URLs below ``first`` (url): ``read`` turns URLs into sitemaps (xml), and indexes are followed, each once, to their end.
-
-    More than ``most`` levels are an error, not a shorter result.
+    ``read`` turns URLs into sitemaps (url, xml).  Indexes are followed to their end, each map once.  A level's maps are
+    read and parsed once, into a part of ``folder``; what comes next is told from the URLs of the levels before, so the
+    plan of a level is as small as the first one's.  More than ``most`` levels are an error, not a shorter result.
     """
-    found, seen, todo = None, first.select("url").distinct(), first
-    for _ in range(most):
-        pages, more = sitemap_entries(read(todo))
-        found = pages if found is None else found.unionByName(pages)
-        todo = more.distinct().join(seen, "url", "left_anti")
+    spark = first.sparkSession
+    todo = first.select("url").distinct()
+    for level in range(most):
+        todo.write.parquet(f"{folder}/urls/level={level}")
+        todo = spark.read.schema("url string").parquet(f"{folder}/urls/level={level}")
         if todo.isEmpty():
-            return found
-        seen = seen.unionByName(todo)
-    raise ValueError(f"sitemaps nest over more than {most} levels")
+            return spark.read.parquet(f"{folder}/maps")
+        outcomes.sitemaps(read(todo).select("url", "xml")).write.parquet(f"{folder}/maps/level={level}")
+        listed = spark.read.schema("maps array<string>").parquet(f"{folder}/maps/level={level}").select(F.explode("maps").alias("url")).distinct()
+        todo = listed.join(spark.read.schema("url string").parquet(f"{folder}/urls"), "url", "left_anti")
+    raise ValueError(f"sitemaps nest over {most} levels or more")
 
 
-def rest_posts(answers: DataFrame, body: str = "body") -> DataFrame:
-    """Posts of REST answers (JSON arrays of items), with empty texts for what an item lacks; titles lose tags and entities."""
-    item = F.explode(F.from_json(body, f"array<struct<{schemas.REST_ITEM.replace(' STRUCT', ': STRUCT').replace(' STRING', ': STRING').replace('rendered::', 'rendered:').replace(':: ', ': ')}>>"))
-    d = answers.select(item.alias("i"))
-    return d.select(html.entity_text(F.coalesce("i.title.rendered", F.lit(""))).alias("title"), F.coalesce("i.link", F.lit("")).alias("url"), F.coalesce("i.content.rendered", F.lit("")).alias("content_html"), F.coalesce("i.slug", F.lit("")).alias("slug"), dates.parse_date(F.col("i.date")).alias("published_at"), F.array().cast("array<string>").alias("tags"))
+def sitemap_pages(maps: DataFrame) -> DataFrame:
+    """Page URLs of sitemaps."""
+    return maps.select(F.explode("pages").alias("url"))
+
+
+def rest_posts(answers: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """Posts of REST answers (JSON arrays of items), with empty texts for what an item lacks; titles lose tags and entities.  Answers that are no such arrays give none."""
+    kept = keep or []
+    d = outcomes.good(outcomes.answers(answers.select(*kept, body), body)).select(*kept, F.explode("items").alias("i"))
+    return d.select(*kept, html.entity_text(F.coalesce("i.title.rendered", F.lit(""))).alias("title"), F.coalesce("i.link", F.lit("")).alias("url"), F.coalesce("i.content.rendered", F.lit("")).alias("content_html"), F.coalesce("i.slug", F.lit("")).alias("slug"), dates.parse_date(F.col("i.date")).alias("published_at"), F.array().cast("array<string>").alias("tags"))
 
 
 def archive_index(answers: DataFrame, body: str = "body", limit: int | None = 500) -> DataFrame:
@@ -113,19 +113,19 @@ def first_with_rows(parts: list[Callable[[], DataFrame]]) -> DataFrame | None:
     return None
 
 
-def archive_articles(facts: DataFrame, site: Column, least: int = 5, found: str = "facts") -> DataFrame:
+def archive_articles(facts: DataFrame, site: Column, least: int = 5, found: str = "facts", keep: list[str] | None = None) -> DataFrame:
     """title, url, tags, date of the posts that structured archives (pages of at least ``least`` articles) list; articles without a linked title are left out."""
-    d = facts.filter(F.size(f"{found}.articles") >= least).select(F.explode(f"{found}.articles").alias("a"), site.alias("site"))
-    return d.filter(F.col("a.href").isNotNull()).select(F.col("a.title").alias("title"), urls.join(F.col("site"), F.col("a.href")).alias("url"), F.col("a.tags").alias("tags"), F.col("a.date").alias("date"))
+    d = facts.filter(F.size(f"{found}.articles") >= least).select(*(keep or []), F.explode(f"{found}.articles").alias("a"), site.alias("_page"))
+    return d.filter(F.col("a.href").isNotNull()).select(*(keep or []), F.col("a.title").alias("title"), urls.join(F.col("_page"), F.col("a.href")).alias("url"), F.col("a.tags").alias("tags"), F.col("a.date").alias("date"))
 
 
-def archive_posts(listed: DataFrame, pages: DataFrame) -> DataFrame:
+def archive_posts(listed: DataFrame, pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Posts of archive entries (title, url, tags, date) whose pages (url, html) are there: the page's own title and date come first, tags are the archive's."""
     d = listed.join(html.facts(pages.select("url", "html"), "html").select("url", "facts"), "url")
     slug = F.regexp_extract(urls.path(F.col("url")), "([^/]+)/*$", 1)
     title = F.coalesce(html.title_of(F.col("facts")), F.col("title"))
     date = F.coalesce(dates.parse_date(html.published(F.col("facts"))), dates.parse_date(F.col("date")))
-    return d.select(title.alias("title"), "url", F.col("facts.main").alias("content_html"), F.when(slug != "", slug).otherwise(text.slugify(title)).alias("slug"), date.alias("published_at"), "tags")
+    return d.select(*(keep or []), title.alias("title"), "url", F.col("facts.main").alias("content_html"), F.when(slug != "", slug).otherwise(text.slugify(title)).alias("slug"), date.alias("published_at"), "tags")
 
 
 def numbered_urls(numbers: DataFrame, pattern: str) -> DataFrame:
@@ -133,11 +133,12 @@ def numbered_urls(numbers: DataFrame, pattern: str) -> DataFrame:
     return numbers.select("number", F.format_string(pattern, "number").alias("url"))
 
 
-def chapter_links(facts: DataFrame, prefix: str, found: str = "facts") -> DataFrame:
-    """Links of a book's index that stand two levels deep under ``prefix``, each once, in order; way-back links are left out."""
-    d = facts.select(F.posexplode(f"{found}.links").alias("pos", "l")).select("pos", F.col("l.href").alias("href"), F.col("l.text").alias("title"))
+def chapter_links(facts: DataFrame, prefix: str, found: str = "facts", group: str | None = None) -> DataFrame:
+    """Links of a book's index that stand two levels deep under ``prefix``, each once (in a ``group``), with their place; way-back links are left out."""
+    kept = [group] if group else []
+    d = facts.select(*kept, F.posexplode(f"{found}.links").alias("pos", "l")).select(*kept, "pos", F.col("l.href").alias("href"), F.col("l.text").alias("title"))
     d = d.filter(F.col("href").startswith(prefix) & (F.length("href") - F.length(F.replace("href", F.lit("/"), F.lit(""))) == 2) & ~F.col("title").startswith("←"))
-    return merge.first_by(d, ["href"], [F.asc("pos")])
+    return merge.first_by(d, [*kept, "href"], [F.asc("pos")])
 
 
 def theme_map(spark: SparkSession, themes: dict[str, list[str]]) -> DataFrame:
@@ -161,26 +162,12 @@ def curated_posts(links: DataFrame, pages: DataFrame) -> DataFrame:
     return d.filter(F.length("facts.main") >= 100).select("pos", title.alias("title"), "url", F.col("facts.main").alias("content_html"), text.slugify(title).alias("slug"), dates.parse_date(html.published(F.col("facts"))).alias("published_at"), tags.alias("tags"))
 
 
-#: Fixed value: chapters' names in a zipped book.
-CHAPTER = r"OEBPS/chapter-\d+-.+\.html"
-
-
-def chapters(zipped: DataFrame, member: str = CHAPTER) -> DataFrame:
-    """book, number, name, html of the chapters of zipped books (path, content), by name; numbers keep their place when a chapter turns out empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data, file in zip(batch.column("content").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    names = sorted(n for n in z.namelist() if re.fullmatch(member, n))
-                    rows += [(file, i, n, z.read(n).decode("utf-8")) for i, n in enumerate(names, 1)]
-            yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("book", "number", "name", "html"))}, schema=pa.schema([("book", pa.string()), ("number", pa.int32()), ("name", pa.string()), ("html", pa.string())]))
-
-    return zipped.select("path", "content").mapInArrow(run, "book string, number int, name string, html string")
+def chapters(zipped: DataFrame, member: str = outcomes.CHAPTER) -> DataFrame:
+    """book, number, name, html of the chapters of zipped books (path, content) that can be read."""
+    return outcomes.good(outcomes.chapters(zipped, member))
 
 
-def books(spark: SparkSession, path: str, member: str = CHAPTER) -> DataFrame:
+def books(spark: SparkSession, path: str, member: str = outcomes.CHAPTER) -> DataFrame:
     return chapters(spark.read.format("binaryFile").load(path), member)
 
 

@@ -113,7 +113,8 @@ def test_file_sources(spark, tmp_path):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     maps = {"i": f"{head}<sitemapindex {ns}><sitemap><loc>m1</loc></sitemap></sitemapindex>", "m1": f"{head}<urlset {ns}><url><loc> https://a/x </loc></url><url><loc>https://a/y</loc></url></urlset>"}
     known = spark.createDataFrame(list(maps.items()), "url string, xml string")
-    assert sorted(r["url"] for r in files.sitemap(lambda urls: urls.join(known, "url").select("xml"), spark.createDataFrame([("i",)], "url string")).collect()) == ["https://a/x", "https://a/y"]
+    found = files.sitemap(lambda urls: urls.join(known, "url"), spark.createDataFrame([("i",)], "url string"), str(tmp_path / "maps"))
+    assert sorted(r["url"] for r in files.sitemap_pages(found).collect()) == ["https://a/x", "https://a/y"]
     body = json.dumps([{"title": {"rendered": "A &amp; B"}, "content": {"rendered": "<p>x</p>"}, "link": "l", "slug": "s", "date": "2020-01-02T03:04:05"}, {"link": "m"}])
     got = files.rest_posts(spark.createDataFrame([(body,)], "body string")).collect()
     assert [(r["title"], r["url"], r["published_at"]) for r in got] == [("A & B", "l", "2020-01-02T03:04:05"), ("", "m", None)]
