@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.plans.binding import Tables
+from seriatim.plans.binding import Tables, sql
 from seriatim.plans.registry import query
 from seriatim.plans.transitions import FIRST
 from seriatim.streaming import events as S
+from seriatim.streaming import schedule
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,3 +64,58 @@ def src15_webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.concat(F.lit("email."), "event_type").alias("type"), data.alias("data")))
     bodies = _events(spark, sf_dir).select(body.alias("value"), F.col("ts").alias("at"))
     return _kept(spark, S.first_events(S.webhook_events(bodies, received=F.col("at")), "email.view", "email.click"), ["message_id"])
+
+
+def _in_files(parts: list[DataFrame], folder: str) -> DataFrame:
+    """A stream that takes the parts one after the other, a file a batch."""
+    spark = parts[0].sparkSession
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.01)  # files are taken by their time
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+FIRST_DAY, DAYS = "1998-06-01", 12
+_TICK = "(date_trunc('day', {0} - INTERVAL 8 HOUR) + INTERVAL 8 HOUR + CASE WHEN date_trunc('day', {0} - INTERVAL 8 HOUR) + INTERVAL 8 HOUR < {0} THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)"
+_ZONE = "coalesce(timezone, 'America/New_York')"
+_LOCAL = f"(date_trunc('day', timezone({_ZONE}, timezone('UTC', {{0}}))) + to_days(frequency_days))"
+_LATER = f"timezone('UTC', timezone({_ZONE}, {_LOCAL} + to_days(CASE WHEN preferred_day IS NOT NULL AND frequency_days >= 7 THEN CAST((preferred_day - dayofweek({_LOCAL}) + 7) % 7 AS INTEGER) ELSE 0 END) + to_hours(coalesce(preferred_hour, 9))))"
+_RUNS = sql("blogs subscribers subscriptions", f"""SELECT subscription_id, post_index, sent_at, next_send_at, is_completed FROM (
+  WITH RECURSIVE s AS (
+    SELECT s.id, s.current_post_index, b.post_count, s.frequency_days, s.preferred_day, s.preferred_hour, s.timezone, greatest(s.next_send_at, TIMESTAMP '{FIRST_DAY}') AS wanted
+    FROM subscriptions s JOIN subscribers u ON u.id = s.subscriber_id JOIN blogs b ON b.id = s.blog_id WHERE s.is_active AND NOT s.is_completed AND u.is_confirmed AND s.current_post_index < b.post_count
+  ),
+  run AS (
+    SELECT id, current_post_index + 1 AS post_index, post_count, frequency_days, preferred_day, preferred_hour, timezone, {_TICK.format('wanted')} AS sent_at FROM s WHERE {_TICK.format('wanted')} < TIMESTAMP '{FIRST_DAY}' + INTERVAL {DAYS} DAY
+    UNION ALL
+    SELECT id, post_index + 1, post_count, frequency_days, preferred_day, preferred_hour, timezone, due_at FROM (SELECT *, greatest({_TICK.format(_LATER.format('sent_at'))}, sent_at + INTERVAL 1 DAY) AS due_at FROM run) WHERE post_index < post_count AND due_at < TIMESTAMP '{FIRST_DAY}' + INTERVAL {DAYS} DAY
+  )
+  SELECT id AS subscription_id, CAST(post_index AS INTEGER) AS post_index, sent_at, {_LATER.format('sent_at')} AS next_send_at, post_index >= post_count AS is_completed FROM run)""")
+
+
+@query(_RUNS)
+def st03_delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All subscriptions through twelve daily runs as a keyed stream with timers, stopped after five of them and started again: each letter once, as a loop day by day sends them."""
+    t = Tables(spark, sf_dir)
+    s = t.subscriptions.filter("is_active and not is_completed").join(t.subscribers.filter("is_confirmed").select(F.col("id").alias("subscriber_id")), "subscriber_id")
+    s = s.join(t.blogs.select(F.col("id").alias("blog_id"), F.col("post_count").alias("total_posts")), "blog_id").filter("current_post_index < total_posts")
+    kinds = dict(x.split() for x in schedule.CHANGES.split(", "))
+    s = s.withColumn("ts", F.lit(FIRST_DAY)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()))
+    folder = shared_folder(spark)
+    schedule.deliver_available(_in_files([s, schedule.clock(spark, FIRST_DAY, 5)], f"{folder}/changes"), folder)
+    out = schedule.deliver_available(_in_files([schedule.clock(spark, "1998-06-06", DAYS - 5)], f"{folder}/changes"), folder)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("sent_at", "next_send_at")})
+
+
+@query("""WITH d AS (SELECT doc_id, source AS blog_id, CASE WHEN doc_id % 5 = 1 THEN 'moved' ELSE lang END AS tag FROM documents WHERE doc_id % 7 <> 3)
+SELECT blog_id, tag, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT blog_id, '', count(*) FROM d GROUP BY ALL""")
+def a10_counts_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts by blog and tag after all are added, some change their tag, and some go; the stream is stopped and started again in between."""
+    d = Tables(spark, sf_dir).documents
+    row = lambda rows, sign, tag: rows.select(F.lit(sign).cast("long").alias("sign"), F.col("source").alias("blog_id"), F.array(tag).alias("tags"))
+    lang, moved = F.col("lang"), F.lit("moved")
+    retagged = d.filter("doc_id % 5 = 1")
+    folder = shared_folder(spark)
+    S.counted_available(_in_files([row(d, 1, lang), row(retagged, -1, lang)], f"{folder}/changes"), folder)
+    gone = d.filter("doc_id % 7 = 3")
+    return S.counted_available(_in_files([row(retagged, 1, moved), row(gone, -1, F.when(F.col("doc_id") % 5 == 1, moved).otherwise(lang))], f"{folder}/changes"), folder)

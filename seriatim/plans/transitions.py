@@ -57,6 +57,16 @@ def st03_delivery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, fresh.withColumn("message_id", F.lit("m")), _at())[0])
 
 
+@query(sql(VIEWS, SENT.replace("SELECT s.id FROM", "SELECT s.id AS subscription_id, p.id AS post_id, CASE WHEN s.id % 5 = 0 THEN 'before' ELSE 'm' END AS resend_message_id FROM")))
+def st03_delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after that run: what it had, and what was sent, each letter once."""
+    t = Tables(spark, sf_dir)
+    due = delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of).select("subscription_id", "post_id")
+    log = due.filter("subscription_id % 5 = 0").withColumn("resend_message_id", F.lit("before"))
+    new = delivery.mark_sent(_subscriptions(t), t.blogs, events.deliver(due, log).withColumn("message_id", F.lit("m")), _at())[1]
+    return merge.insert_absent(log, new.select(*log.columns), ["subscription_id", "post_id"])
+
+
 @query(_marked(f"TIMESTAMP '{AS_OF}' + to_days(frequency_days)"))
 def d06_mark_sent_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)

@@ -39,6 +39,22 @@ def first_events_once(events: DataFrame, opened: str, clicked: str, late: str =
     return d.dropDuplicatesWithinWatermark(["message_id", "event_type"])
 
 
+def count_changes(changes: DataFrame) -> DataFrame:
+    """blog_id, tag, n: by how much changes (sign: 1 or -1; blog_id; tags) move the counts of posts by tag, and of all under an empty tag.
+
+    A post counts once for a tag; one that changes its tags is a row with the old ones and -1, and one with the new.
+    """
+    every = F.array_union(F.array(F.lit("")), F.coalesce("tags", F.array().cast("array<string>")))
+    return changes.select("blog_id", F.explode(every).alias("tag"), "sign").groupBy("blog_id", "tag").agg(F.sum("sign").alias("n")).filter("n <> 0")
+
+
+def counted_available(changes: DataFrame, folder: str) -> DataFrame:
+    """Posts by blog and tag, kept by the stream ``changes`` as far as there is any; a batch reads and writes the buckets of its keys only."""
+    table = KeyedTable(changes.sparkSession, f"{folder}/counts", ["blog_id", "tag"])
+    run_available(changes, f"{folder}/progress", lambda batch, number: table.count(count_changes(batch), number), "append")
+    return table.read("blog_id string, tag string, n long")
+
+
 def running_votes(events: DataFrame, url: Column) -> DataFrame:
     """Votes by URL in lower case, in update mode."""
     return events.groupBy(F.lower(url).alias("url")).agg(F.count("*").alias("vote_count"))
@@ -66,7 +82,11 @@ class KeyedTable:
     def _versions(self, number: int | None) -> dict[int, int]:
         if number is None or number < 0:
             return {}
-        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.path}/versions/v{number}").collect()}  # a row for each bucket
+        path, system = self._path(f"{self.path}/versions/v{number}")
+        data = system.open(path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "ascii")
+        data.close()
+        return {int(b): int(v) for b, v in (line.split() for line in text.splitlines())}
 
     def _rows(self, versions: dict[int, int], schema) -> DataFrame:
         paths = [f"{self.path}/data/v{v}/bucket={b}" for b, v in sorted(versions.items())]
@@ -76,23 +96,46 @@ class KeyedTable:
         """``into(old rows, batch)`` gives the new rows of the touched buckets."""
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         known = self._versions(number - 1)
-        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # ``buckets`` numbers at most
-        new = into(self._rows({b: v for b, v in known.items() if b in touched}, batch.schema), batch)
-        name = merge.unused("bucket", new)
-        if touched:
-            new.withColumn(name, bucket).withColumnRenamed(name, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v{number}")
-        now = known | dict.fromkeys(touched, number)
-        self.spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/v{number}")
+        batch = batch.persist()  # which buckets it touches, and the merge, from one run of the batch
+        try:
+            touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # ``buckets`` numbers at most
+            new = into(self._rows({b: v for b, v in known.items() if b in touched}, batch.schema), batch)
+            if touched:
+                name = merge.unused("bucket", new)
+                new = new.withColumn(name, bucket).withColumnRenamed(name, "bucket").repartition(len(touched), "bucket")  # a file a bucket
+                new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v{number}")
+        finally:
+            batch.unpersist()
+        left = {b for b in touched if self._exists(f"{self.path}/data/v{number}/bucket={b}")}  # a bucket may have lost its last row
+        now = {b: v for b, v in known.items() if b not in touched} | dict.fromkeys(left, number)
+        self._tell(number, now)
         self._delete(self._versions(number - 2) if number > 1 else {}, known, now)
         self.last = number
 
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, system = self._path(name)
+        return system.exists(path)
+
+    def _tell(self, number: int, now: dict[int, int]) -> None:
+        """Writes which bucket has which version: a line each, as the driver's own small file, in place at once."""
+        path, system = self._path(f"{self.path}/versions/v{number}")
+        draft = path.suffix(".draft")
+        out = system.create(draft, True)
+        out.write(bytearray("".join(f"{b} {v}\n" for b, v in sorted(now.items())), "ascii"))
+        out.close()
+        system.delete(path, False)
+        system.rename(draft, path)
+
     def _delete(self, older: dict[int, int], known: dict[int, int], now: dict[int, int]) -> None:
         """What neither this version nor the one before uses."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for b, v in older.items():
             if v not in (known.get(b), now.get(b)):
-                folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/v{v}/bucket={b}")
-                folder.getFileSystem(conf).delete(folder, True)
+                folder, system = self._path(f"{self.path}/data/v{v}/bucket={b}")
+                system.delete(folder, True)
 
     def upsert(self, batch: DataFrame, number: int) -> None:
         self.merge(batch, number, lambda old, rows: merge.upsert(old, rows, self.keys))
@@ -100,6 +143,10 @@ class KeyedTable:
     def insert(self, batch: DataFrame, number: int) -> None:
         self.merge(batch, number, lambda old, rows: merge.insert_absent(old, rows, self.keys))
 
+    def count(self, batch: DataFrame, number: int) -> None:
+        """Adds the batch's ``n`` to those of the keys; keys that come to 0 go."""
+        self.merge(batch, number, lambda old, rows: old.unionByName(rows).groupBy(*self.keys).agg(F.sum("n").alias("n")).filter("n <> 0"))
+
     def read(self, schema) -> DataFrame:
         """The table after the last batch; without any, an empty one."""
         return self._rows(self._versions(self.last), schema)
