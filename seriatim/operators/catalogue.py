@@ -83,14 +83,44 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str =
     return d.withColumn(name, own).join(counts, same).select(*rows.columns, (F.col(name) + F.col(base)).cast("int").alias(name))
 
 
+def neighbour(rows: DataFrame, group: list[str], order: list[str], value: str, name: str, ahead: bool = True, bucket: Column | None = None) -> DataFrame:
+    """``rows`` with the ``value`` of the next row (or the one before) of their ``group`` by ``order``, which is unique there; null at the end.
+
+    ``bucket`` never falls along ``order``.  With it rows find their neighbour within group and bucket, and those at a
+    bucket's border take it from the nearest bucket that has rows: one row for each group and bucket holds the values at
+    its ends, so no task has more than a bucket.
+    """
+    step = F.lead if ahead else F.lag
+    keys = [F.asc_nulls_first(c) for c in order]
+    if bucket is None:
+        return rows.withColumn(name, step(value).over(Window.partitionBy(*group).orderBy(*keys)))
+    b, inner, edge, border = (unused(x, rows) for x in ("bucket", "inner", "edge", "border"))
+    d = rows.withColumn(b, bucket)
+    within = Window.partitionBy(*group, b).orderBy(*keys)
+    d = d.withColumn(inner, step(value).over(within)).withColumn(edge, step(F.lit(1)).over(within).isNull())
+    at = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))  # as nulls first
+    ends = d.groupBy(*group, b).agg((F.min_by if ahead else F.max_by)(F.struct(value), at).alias(border))
+    ends = ends.withColumn(border, step(border).over(Window.partitionBy(*group).orderBy(F.asc_nulls_first(b)))[value])
+    ends = ends.select(*(F.col(g).alias(unused(g, rows)) for g in group), F.col(b).alias(f"{b}_"), border)
+    same = reduce(Column.__and__, [*(F.col(g).eqNullSafe(F.col(unused(g, rows))) for g in group), F.col(b).eqNullSafe(F.col(f"{b}_"))])
+    return d.join(ends, same).select(*rows.columns, F.when(F.col(edge), F.col(border)).otherwise(F.col(inner)).alias(name))
+
+
+def coloured(rows: DataFrame, order: list[Column], bucket: Column, colours: int = 10, name: str = "colour") -> DataFrame:
+    """``rows`` with a colour's number, in turn along ``order``; ``bucket`` as for ``numbered``."""
+    nothing = unused("all", rows)
+    d = numbered(rows.withColumn(nothing, F.lit(0)), [nothing], order, name, bucket)
+    return d.drop(nothing).withColumn(name, F.pmod(F.col(name) - 1, F.lit(colours)))
+
+
 def dated(undated_first: bool = True) -> Column:
     """The key that sorts ISO strings, with undated rows first or last."""
     return F.coalesce(F.nullif("published_at", F.lit("")), F.lit("0000" if undated_first else "9999"))
 
 
-def sections(headings: DataFrame, group: str, position: str, end: Column) -> DataFrame:
-    """Each heading's extent, up to the next one's position or ``end``."""
-    return headings.withColumn("until", F.coalesce(F.lead(position).over(Window.partitionBy(group).orderBy(position)), end))
+def sections(headings: DataFrame, group: str, position: str, end: Column, bucket: Column | None = None) -> DataFrame:
+    """Each heading's extent, up to the next one's position or ``end``; ``bucket`` as for ``neighbour``."""
+    return neighbour(headings, [group], [position], position, "until", bucket=bucket).withColumn("until", F.coalesce("until", end))
 
 
 def concatenated(parts: list[DataFrame], order: list[Column]) -> DataFrame:

@@ -5,14 +5,17 @@ State never changes row by row: a transition takes the state and a batch of even
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriatim.functions import dates, text
+from seriatim.operators.catalogue import numbered
 from seriatim.operators.merge import first_by, least_by, unused
 
 #: Blogs up to which their table is sent to every executor; the larger is joined by shuffles.
 BROADCAST_BLOGS = 200_000
+#: Indexes of a blog's posts that are ranked within a tag by one task.
+RANKED = 1 << 20
 
 
 def small(df: DataFrame, rows: int | None) -> DataFrame:
@@ -23,7 +26,9 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
 def due(subscriptions: DataFrame, subscribers: DataFrame, blogs: DataFrame, posts: DataFrame, as_of: Column, blog_rows: int | None = None) -> DataFrame:
     """Active, uncompleted subscriptions of confirmed subscribers whose time has come, with the next post.
 
-    A subscription whose next index the blog lacks is not due (see ``stalled``); one without a time isn't either.
+    A subscription whose next index the blog lacks is not due (see ``stalled``); one without a time isn't either.  With
+    the blogs' counted rows within the bound no row moves by its blog alone; posts, which bring the bodies, are joined
+    last, by blog and index, where adaptive execution splits what many subscribers wait for.
     """
     s = subscriptions.filter(F.col("is_active") & ~F.col("is_completed") & (F.col("next_send_at") <= as_of))
     s = s.select(F.col("id").alias("subscription_id"), "subscriber_id", "blog_id", (F.col("current_post_index") + 1).alias("post_index"))
@@ -45,8 +50,7 @@ def due_by_tag(subscriptions: DataFrame, feeds: DataFrame, posts: DataFrame, as_
     """Extension: due subscriptions where the next post counts within the feed's tag, not the whole blog."""
     f = feeds.select(F.col("id").alias("feed_id"), "blog_id", "tag_filter")
     own = posts.select("blog_id", F.col("id").alias("post_id"), "post_index", F.explode("tags").alias("tag"))
-    order = Window.partitionBy("blog_id", "tag").orderBy("post_index", "post_id")
-    tagged = own.withColumn("tag_index", F.row_number().over(order)).withColumnRenamed("tag", "tag_filter")
+    tagged = numbered(own, ["blog_id", "tag"], [F.asc("post_index"), F.asc("post_id")], "tag_index", F.floor(F.col("post_index") / RANKED)).withColumnRenamed("tag", "tag_filter")
     s = subscriptions.filter(F.col("is_active") & ~F.col("is_completed") & (F.col("next_send_at") <= as_of))
     s = s.select(F.col("id").alias("subscription_id"), "feed_id", (F.col("current_post_index") + 1).alias("tag_index"))
     return s.join(f, "feed_id").join(tagged, ["blog_id", "tag_filter", "tag_index"]).select("subscription_id", "feed_id", "post_id", "tag_index")
@@ -72,7 +76,7 @@ def outbox(items: DataFrame, template: str, app_url: str, campaign_source: str,
     return items.select("subscription_id", "post_id", "post_index", *back, text.address(F.col("subscriber_name"), F.col("subscriber_email")).alias("recipient"), F.concat_ws(" — ", "post_title", "blog_name").alias("subject"), text.render(F.lit(template), values).alias("html"))
 
 
-def mark_sent(subscriptions: DataFrame, blogs: DataFrame, sent: DataFrame, as_of: Column, preferences: bool = True) -> tuple[DataFrame, DataFrame]:
+def mark_sent(subscriptions: DataFrame, blogs: DataFrame, sent: DataFrame, as_of: Column, preferences: bool = True, blog_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """New subscriptions, and the log rows, after ``sent`` (subscription_id, post_id, message_id).
 
     The cursor moves by one, the next time follows the preferences (or, without them, the pace alone), and a
@@ -86,7 +90,7 @@ def mark_sent(subscriptions: DataFrame, blogs: DataFrame, sent: DataFrame, as_of
     was, total = unused("sent", subscriptions), unused("total", subscriptions)
     hit = sent.select(F.col("subscription_id").alias("id")).distinct().withColumn(was, F.lit(True))
     totals = blogs.select(F.col("id").alias("blog_id"), F.col("post_count").alias(total))
-    joined = subscriptions.join(hit, "id", "left").join(totals, "blog_id", "left")
+    joined = subscriptions.join(hit, "id", "left").join(small(totals, blog_rows), "blog_id", "left")
     is_sent = F.col(was).isNotNull() & F.col(total).isNotNull()
     new = {"current_post_index": n, "last_sent_at": as_of, "next_send_at": later, "is_completed": n >= F.col(total), "updated_at": as_of}
     state = joined.select(*(F.when(is_sent, new[c]).otherwise(F.col(c)).cast(subscriptions.schema[c].dataType).alias(c) if c in new else F.col(c) for c in subscriptions.columns))

@@ -78,6 +78,10 @@ class Tables:
         author = F.when(n % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("Author "), (n % 7).cast("string")))
         return d.select(F.col("source").alias("id"), F.col("source").alias("slug"), F.concat(F.lit("Blog "), "source").alias("name"), author.alias("author"), F.concat(F.lit("https://"), "source", F.lit(".example.org")).alias("url"), (n % 5 != 0).alias("is_active"), "post_count")
 
+    @cached_property
+    def blog_rows(self) -> int:
+        return self.documents.select("source").distinct().count()
+
     @cached_property
     def posts(self) -> DataFrame:
         day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "yyyy-MM-dd")

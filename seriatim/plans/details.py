@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriatim.functions import dates, text, urls
@@ -77,7 +77,7 @@ def wn06_next_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t03_chapter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order by chapter, 999 where it is unknown."""
     d = Tables(spark, sf_dir).table("part").withColumn("ord", F.when(F.col("p_size") <= 25, F.col("p_size")))
-    return catalogue.numbered(d, ["p_brand"], [F.coalesce("ord", F.lit(999)), F.asc("p_partkey")], "place").select("p_partkey", "place")
+    return catalogue.numbered(d, ["p_brand"], [F.coalesce("ord", F.lit(999)), F.asc("p_partkey")], "place", F.coalesce("ord", F.lit(999))).select("p_partkey", "place")
 
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END DESC NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM orders")
@@ -151,7 +151,9 @@ def k06_allowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.not_in(Tables(spark, sf_dir).table("orders"), "o_orderstatus", ["O", "F"]).select("o_orderkey")
 
 
-@query("SELECT c_custkey, CAST(count(*) OVER (PARTITION BY c_nationkey) AS BIGINT) AS peers FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey, CAST(count(*) FILTER (c_acctbal > 0) OVER (PARTITION BY c_nationkey) AS BIGINT) AS peers FROM customer")
 def a01_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).table("customer").filter("c_acctbal > 0")
-    return d.select("c_custkey", F.count("*").over(Window.partitionBy("c_nationkey")).alias("peers"))
+    """Every customer with the number of those of the nation in credit: one aggregate, not a count a row."""
+    d = Tables(spark, sf_dir).table("customer")
+    peers = d.groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("peers"))
+    return d.join(peers, "c_nationkey").select("c_custkey", "peers")

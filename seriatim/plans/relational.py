@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriatim.functions import text
 from seriatim.operators import catalogue, checks, delivery, merge
-from seriatim.plans.binding import AS_OF, Tables, sql
+from seriatim.plans.binding import AS_OF, ROWS_OF_A_BLOG, Tables, sql
 from seriatim.plans.registry import query
 
 CAMPAIGN = "reader"
@@ -18,7 +18,7 @@ DUE_VIEWS = "blogs posts subscribers subscriptions"
 
 
 def _due(t: Tables) -> DataFrame:
-    return delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of)
+    return delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of, t.blog_rows)
 
 
 @query(sql(DUE_VIEWS, f"""SELECT s.id AS subscription_id, u.email AS subscriber_email, u.name AS subscriber_name, b.name AS blog_name, b.slug AS blog_slug, p.id AS post_id,
@@ -247,19 +247,19 @@ def wn03_dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 1000) AS until FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
 def wn07_section_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tables(spark, sf_dir).table("conversations").select("conv_id", "turn").distinct()
-    return catalogue.sections(d, "conv_id", "turn", F.lit(1000))
+    return catalogue.sections(d, "conv_id", "turn", F.lit(1000), F.floor(F.col("turn") / 2))
 
 
 @query(sql("posts", "SELECT id, place FROM (SELECT id, CAST(row_number() OVER (PARTITION BY blog_id ORDER BY post_index) AS INTEGER) AS place FROM posts WHERE tag = 'en') WHERE place <= 50"))
 def wn05_first_fifty(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = catalogue.feed_posts(F.lit("en"), Tables(spark, sf_dir).posts)
-    return catalogue.numbered(d, ["blog_id"], [F.asc("post_index")], "place").filter("place <= 50").select("id", "place")
+    return catalogue.numbered(d, ["blog_id"], [F.asc("post_index")], "place", F.floor(F.col("post_index") / ROWS_OF_A_BLOG)).filter("place <= 50").select("id", "place")
 
 
 @query("SELECT s_suppkey, CAST((row_number() OVER (ORDER BY s_name, s_suppkey) - 1) % 10 AS INTEGER) AS colour FROM supplier")
 def wn08_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tables(spark, sf_dir).table("supplier")
-    return d.select("s_suppkey", F.pmod(F.row_number().over(Window.orderBy("s_name", "s_suppkey")) - 1, F.lit(10)).alias("colour"))
+    return catalogue.coloured(d.select("s_suppkey", "s_name"), [F.asc("s_name"), F.asc("s_suppkey")], F.left("s_name", F.lit(15))).select("s_suppkey", "colour")
 
 
 @query("WITH v AS (SELECT lower(event_type) || '-' || CAST(user_id AS VARCHAR) AS id, count(*) AS vote_count, min(ts) AS created_at FROM events GROUP BY 1) SELECT id, vote_count, created_at FROM v ORDER BY vote_count DESC, created_at, id LIMIT 20")
@@ -338,10 +338,10 @@ def prj13_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).blogs.select("id", author.alias("author"), F.concat(F.lit("Read "), "name", F.lit(" by "), author, F.lit(", "), F.col("post_count").cast("string"), F.lit(" posts")).alias("description"))
 
 
-@query("SELECT n_name, c_name FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE lower(c_mktsegment) = lower('Building') AND c_acctbal > 9000")
+@query("SELECT n_name, c_name FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE lower(c_mktsegment) = lower('Building')")
 def p11_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    c = t.table("customer").filter((F.lower("c_mktsegment") == F.lower(F.lit("Building"))) & (F.col("c_acctbal") > 9000))
+    c = t.table("customer").filter(F.lower("c_mktsegment") == F.lower(F.lit("Building")))
     return c.join(t.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", "c_name")
 
 

@@ -22,7 +22,7 @@ def _subscriptions(t: Tables) -> DataFrame:
 
 
 def _sent(t: Tables) -> DataFrame:
-    return delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of).select("subscription_id", "post_id", F.concat(F.lit("m"), F.col("subscription_id").cast("string")).alias("message_id"))
+    return delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of, t.blog_rows).select("subscription_id", "post_id", F.concat(F.lit("m"), F.col("subscription_id").cast("string")).alias("message_id"))
 
 
 SENT = f"""SELECT s.id FROM subscriptions s JOIN subscribers u ON u.id = s.subscriber_id JOIN blogs b ON b.id = s.blog_id JOIN posts p ON p.blog_id = s.blog_id AND p.post_index = s.current_post_index + 1
@@ -45,38 +45,38 @@ def _shown(d: DataFrame) -> DataFrame:
 @query(_marked(_NEXT))
 def d07_mark_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at())[0])
+    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at(), blog_rows=t.blog_rows)[0])
 
 
 @query(_marked(_NEXT, " AND s.id % 5 <> 0"))
 def st03_delivery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run of the loop: what is due, without what the log has as sent, marked as sent."""
     t = Tables(spark, sf_dir)
-    due = delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of).select("subscription_id", "post_id")
+    due = delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of, t.blog_rows).select("subscription_id", "post_id")
     fresh = events.deliver(due, due.filter("subscription_id % 5 = 0"))
-    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, fresh.withColumn("message_id", F.lit("m")), _at())[0])
+    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, fresh.withColumn("message_id", F.lit("m")), _at(), blog_rows=t.blog_rows)[0])
 
 
 @query(sql(VIEWS, SENT.replace("SELECT s.id FROM", "SELECT s.id AS subscription_id, p.id AS post_id, CASE WHEN s.id % 5 = 0 THEN 'before' ELSE 'm' END AS resend_message_id FROM")))
 def st03_delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log after that run: what it had, and what was sent, each letter once."""
     t = Tables(spark, sf_dir)
-    due = delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of).select("subscription_id", "post_id")
+    due = delivery.due(t.subscriptions, t.subscribers, t.blogs, t.posts, t.as_of, t.blog_rows).select("subscription_id", "post_id")
     log = due.filter("subscription_id % 5 = 0").withColumn("resend_message_id", F.lit("before"))
-    new = delivery.mark_sent(_subscriptions(t), t.blogs, events.deliver(due, log).withColumn("message_id", F.lit("m")), _at())[1]
+    new = delivery.mark_sent(_subscriptions(t), t.blogs, events.deliver(due, log).withColumn("message_id", F.lit("m")), _at(), blog_rows=t.blog_rows)[1]
     return merge.insert_absent(log, new.select(*log.columns), ["subscription_id", "post_id"])
 
 
 @query(_marked(f"TIMESTAMP '{AS_OF}' + to_days(frequency_days)"))
 def d06_mark_sent_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at(), preferences=False)[0])
+    return _shown(delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at(), preferences=False, blog_rows=t.blog_rows)[0])
 
 
 @query(sql(VIEWS, SENT.replace("SELECT s.id FROM", "SELECT s.id AS subscription_id, p.id AS post_id, 'm' || CAST(s.id AS VARCHAR) AS resend_message_id FROM")))
 def d06_sent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at())[1].select("subscription_id", "post_id", "resend_message_id")
+    return delivery.mark_sent(_subscriptions(t), t.blogs, _sent(t), _at(), blog_rows=t.blog_rows)[1].select("subscription_id", "post_id", "resend_message_id")
 
 
 @query(sql("blogs", "SELECT coalesce(b.id, n.id) AS id, coalesce(n.name, b.name) AS name, b.author, coalesce(n.post_count, b.post_count) AS post_count FROM blogs b FULL JOIN (SELECT 'src' || CAST(r_regionkey + 18 AS VARCHAR) AS id, r_name AS name, CAST(r_regionkey AS INTEGER) AS post_count FROM region) n ON n.id = b.id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seriatim import schemas
 from seriatim.functions import dates, html, text, urls
-from seriatim.operators import merge
+from seriatim.operators import catalogue, merge
 from seriatim.sources import outcomes
 
 
@@ -21,8 +21,8 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def posts_file(spark: SparkSession, path: str) -> DataFrame:
-    return json_array(spark, path, schemas.POST_FILE).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+def posts_file(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    return (large_array if large else json_array)(spark, path, schemas.POST_FILE).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def links_file(spark: SparkSession, path: str) -> DataFrame:
@@ -41,13 +41,39 @@ def write_json_array(rows: DataFrame, path: str, order: list[Column], group: str
     rows.select(group, line.alias("value")).write.partitionBy(group).text(path)
 
 
+def write_large_array(rows: DataFrame, path: str, order: list[Column], group: str, bucket: Column) -> None:
+    """One JSON array for each ``group``, in parts that many tasks write: the parts of a group's folder, by name and end to end, are the array.
+
+    Rows get their places (``bucket`` as for ``catalogue.numbered``) and go to the writers by ranges of them, an item a
+    line; the first item of a group opens the array and the last one closes it.  All parts are committed together.
+    """
+    place, total = merge.unused("place", rows), merge.unused("total", rows)
+    d = catalogue.numbered(rows, [group], order, place, bucket)
+    counts = rows.groupBy(F.col(group).alias(f"{total}_")).agg(F.count("*").alias(total))
+    d = d.join(counts, F.col(group).eqNullSafe(F.col(f"{total}_")))
+    item = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != group]))
+    line = F.concat(F.when(F.col(place) == 1, "[").otherwise(""), item, F.when(F.col(place) == F.col(total), "]").otherwise(","))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.select(group, F.col(place), line.alias("value")).repartitionByRange(n, group, place).sortWithinPartitions(group, place)
+    d.select(group, "value").write.partitionBy(group).text(path)
+
+
+def large_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The items of what ``write_large_array`` has written, each line by whichever task; keys that an item lacks are null."""
+    d = spark.read.text(path)
+    item = F.from_json(F.regexp_replace("value", r"^\[|[,\]]$", ""), schema)
+    return d.withColumn("value", item).select("value.*", *(c for c in d.columns if c != "value"))
+
+
 def write_images(cleaned: DataFrame, path: str) -> bool:
-    """Images of all posts as JSON lines; nothing is written if there are none."""
-    images = cleaned.select(F.explode("cleaned.images").alias("i")).select("i.src", "i.alt")
-    if images.isEmpty():
-        return False
-    images.write.json(path)
-    return True
+    """Images of all posts as JSON lines; nothing stays written if there are none.  The posts are cleaned once."""
+    spark = cleaned.sparkSession
+    cleaned.select(F.explode("cleaned.images").alias("i")).select("i.src", "i.alt").write.json(path)
+    if not spark.read.text(path).isEmpty():
+        return True
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return False
 
 
 def sitemap(read: Callable[[DataFrame], DataFrame], first: DataFrame, folder: str, most: int = 50) -> DataFrame:
