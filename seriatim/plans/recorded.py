@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriatim.operators import catalogue
 from seriatim.plans.binding import Tables
 from seriatim.plans.registry import query
 from seriatim.plans.streams import shared_folder
-from seriatim.sources import files, outcomes, strategies
+from seriatim.sources import files, outcomes, paged, strategies
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,3 +166,19 @@ def src20_book_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = d.filter("doc_id % 5 <> 2").select(F.concat(F.lit("https://h.org/b/"), id_).alias("url"), F.concat(head, dated, _page(F.col("text"))).alias("html"))
     found = strategies.book_chapters(listed.select("book", index.alias("html")), pages, "/b/", "https://h.org", chrome=("the site",))
     return found.select("book", "chapter_order", "title", "url", "slug", "published_at", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""SELECT CAST(dense_rank() OVER (ORDER BY doc_id // 25) AS INTEGER) AS page, 'D ' || CAST(doc_id AS VARCHAR) AS title, 'https://x.org/' || CAST(doc_id AS VARCHAR) AS link, text AS content FROM documents""")
+def src07_paged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a paged service's recorded answers, of 25 ids each and three more beyond the total that it states, read by page ranges."""
+    d = _documents(spark, sf_dir).withColumn("block", F.floor(F.col("doc_id") / 25))
+    id_ = F.col("doc_id").cast("string")
+    item = F.struct(F.struct(F.concat(F.lit("D "), id_).alias("rendered")).alias("title"), F.struct(F.col("text").alias("rendered")).alias("content"), F.concat(F.lit("https://x.org/"), id_).alias("link"))
+    blocks = d.select("block").distinct()
+    total = blocks.count()
+    numbered = catalogue.numbered(blocks.withColumn("g", F.lit(0)), ["g"], [F.asc("block")], "page", F.floor(F.col("block") / 4096))
+    bodies = d.join(numbered, "block").groupBy("page").agg(F.collect_list(item).alias("items")).select("page", F.to_json(F.struct(F.lit(total).alias("total_pages"), "items")).alias("value"))
+    beyond = spark.range(1, 4).select((F.col("id") + total).cast("int").alias("page"), F.lit('{"items": [{"title": "beyond"}]}').alias("value"))
+    folder = shared_folder(spark)
+    bodies.unionByName(beyond).write.partitionBy("page").text(folder)
+    return paged.paged_answers(spark, folder).select("page", "title", "link", "content")

@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from seriatim.sources import files, outcomes, strategies
+from seriatim.sources import files, outcomes, paged, strategies
 
 
 def zipped(members, **options):
@@ -91,3 +91,44 @@ def test_captures_and_titles(spark):
     assert sorted(map(tuple, strategies.captures(d).collect())) == [("s", "u"), ("s", "v")]
     assert [tuple(r) for r in strategies.captures(d, limit=1).collect()] == [("s", "u")]
     assert spark.range(1).select(strategies.titled(F.lit("celebration-of-aWARENESS-"))).first()[0] == "Celebration Of Awareness "
+
+
+def recorded(folder, total, there, broken=()):
+    for page in range(1, there + 1):
+        (folder / f"page={page}").mkdir(parents=True)
+        body = "{" if page in broken else json.dumps({"total_pages": total, "items": [{"title": {"rendered": f"t{page}-{i}"}, "link": page, "content": {"rendered": "c"}} for i in range(3)]})
+        (folder / f"page={page}/part-0").write_text(body)
+
+
+def pages_read(log):
+    return sorted({int(p.name.split("-")[0]) for p in log.iterdir()}) if log.exists() else []
+
+
+def test_paged_answers_stop_at_the_stated_total(spark, tmp_path):
+    recorded(tmp_path / "in", total=7, there=12, broken=(4,))
+    d = paged.paged_answers(spark, str(tmp_path / "in"), log=str(tmp_path / "log"), pages_per_task="3")
+    rows = d.collect()
+    assert sorted((r["page"], r["title"]) for r in rows if r["failed"] is None) == sorted((p, f"t{p}-{i}") for p in (1, 2, 3, 5, 6, 7) for i in range(3))
+    assert [(r["page"], r["failed"]) for r in rows if r["failed"]] == [(4, "not an answer")]
+    assert rows[0]["link"] == "1"
+    assert pages_read(tmp_path / "log") == [1, 2, 3, 4, 5, 6, 7]
+    assert d.rdd.getNumPartitions() == 3
+
+
+def test_paged_answers_read_only_filtered_pages(spark, tmp_path):
+    recorded(tmp_path / "in", total=9, there=9)
+    d = paged.paged_answers(spark, f"file://{tmp_path}/in", log=f"file://{tmp_path}/log").filter("page > 5 and page in (2, 6, 7, 9) and title like '%-0'")
+    assert sorted(r["page"] for r in d.collect()) == [6, 7, 9]
+    assert pages_read(tmp_path / "log") == [1, 6, 7, 9]  # the first tells the total
+
+
+def test_paged_answers_that_end_early_or_are_none(spark, tmp_path):
+    recorded(tmp_path / "in", total=20, there=4)
+    assert paged.paged_answers(spark, str(tmp_path / "in"), pages_per_task="50").count() == 12
+    assert paged.paged_answers(spark, str(tmp_path / "nothing")).count() == 0
+    recorded(tmp_path / "odd", total=1, there=2, broken=(1,))
+    assert [(r["page"], r["failed"]) for r in paged.paged_answers(spark, str(tmp_path / "odd")).collect()] == [(1, "not an answer")]
+    assert paged.ranges([5, 1, 2, 3, 9, 10], 2) == [(1, 2), (3, 3), (5, 5), (9, 10)]
+    assert [r[-1] for r in paged.rows_of(1, '{"items": [3, {"title": "x"}]}')] == ["not an item", None]
+    with pytest.raises(ValueError, match="hdfs"):
+        paged.local("hdfs://host/x")
