@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriatim.llm.bpe import LETTERS_AT_ONCE, Encoder, default_path, vocabulary
-from seriatim.llm.common import small, staged, text_slices, texts
+from seriatim.llm.common import small, staged, text_slices, texts, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -37,6 +37,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         encoder = Encoder(vocabulary(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in small(batches):
