@@ -116,6 +116,14 @@ class KeyedTable:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def newest(self) -> int | None:
+        """The number of the last batch that the folder has; none of a new table."""
+        path, system = self._path(f"{self.path}/versions")
+        if not system.exists(path):
+            return None
+        names = [x.getPath().getName() for x in system.listStatus(path)]
+        return max((int(n[1:]) for n in names if n[1:].isdigit()), default=None)
+
     def _exists(self, name: str) -> bool:
         path, system = self._path(name)
         return system.exists(path)
