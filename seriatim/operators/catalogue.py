@@ -39,6 +39,17 @@ def feed_posts(feed_tag: Column, posts: DataFrame) -> DataFrame:
     return posts.filter((F.coalesce(feed_tag, F.lit("")) == "") | F.array_contains("tags", feed_tag))
 
 
+def feed_lists(feeds: DataFrame, posts: DataFrame, bucket: Column, first: int | None = 50) -> DataFrame:
+    """feed_id, place, post_id, n_posts: every feed's posts in order, those of its tag where it has one, at most the ``first`` of each; ``bucket`` of post_index as for ``numbered``."""
+    f = feeds.select(F.col("id").alias("feed_id"), "blog_id", F.coalesce("tag_filter", F.lit("")).alias("tag"))
+    whole = posts.select("blog_id", F.lit("").alias("tag"), F.col("id").alias("post_id"), "post_index")
+    tagged = posts.select("blog_id", F.explode(F.array_distinct("tags")).alias("tag"), F.col("id").alias("post_id"), "post_index").filter("tag <> ''")
+    d = numbered(whole.unionByName(tagged), ["blog_id", "tag"], [F.asc("post_index"), F.asc("post_id")], "place", bucket)
+    counts = d.groupBy("blog_id", "tag").agg(F.count("*").alias("n_posts"))
+    d = d.filter(F.col("place") <= first) if first else d
+    return f.join(d, ["blog_id", "tag"]).join(counts, ["blog_id", "tag"]).select("feed_id", "place", "post_id", "n_posts")
+
+
 def by_author(feeds: DataFrame, awaiting: list[str]) -> DataFrame:
     """author, feeds (names in order), place: groups in the catalogue's order, authors that await permission last."""
     g = feeds.withColumn("author", F.coalesce(F.nullif("author", F.lit("")), F.lit("Unknown"))).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("name", "slug"))).alias("f"))

@@ -97,10 +97,10 @@ def src09_structured_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS original, CAST(min(event_id) AS BIGINT) AS first FROM events GROUP BY 1")
 def src10_archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's day of events as an answer of a web archive's index: the first capture of each address."""
+    """Events as answers of a web archive's index, of at most five hundred ids each: the first capture of each address over all answers."""
     original = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
-    row = F.array(F.col("event_id").cast("string"), original, F.lit("200"))
-    d = Tables(spark, sf_dir).table("events").groupBy(original.alias("original")).agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("r")))).alias("s"))
+    row = F.array(F.lpad(F.col("event_id").cast("string"), 14, "0"), original, F.lit("200"))
+    d = Tables(spark, sf_dir).table("events").groupBy(F.floor(F.col("event_id") / 500).alias("part")).agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("r")))).alias("s"))
     rows = F.concat(F.array(F.array(F.lit("timestamp"), F.lit("original"), F.lit("statuscode"))), F.transform("s", lambda x: x["r"]))
     return files.archive_index(d.select(F.to_json(rows).alias("body")), limit=None).select("original", F.col("timestamp").cast("long").alias("first"))
 

@@ -109,11 +109,11 @@ def rest_posts(answers: DataFrame, body: str = "body", keep: list[str] | None =
 
 
 def archive_index(answers: DataFrame, body: str = "body", limit: int | None = 500) -> DataFrame:
-    """Rows of a web archive's index (an array of rows, the first one naming columns): first capture of each URL, at most ``limit``."""
+    """Rows of a web archive's index (an array of rows, the first one naming columns): first capture of each URL by time, then place, at most ``limit`` in that order."""
     d = answers.select(F.posexplode(F.from_json(body, "array<array<string>>")).alias("pos", "r")).filter("pos > 0")
     d = d.select("pos", F.col("r")[0].alias("timestamp"), F.col("r")[1].alias("original"), F.col("r")[2].alias("statuscode"))
-    d = merge.first_by(d, ["original"], [F.asc("pos")])
-    return d.orderBy("pos").limit(limit) if limit else d
+    d = merge.first_by(d, ["original"], [F.asc("timestamp"), F.asc("pos")])
+    return d.orderBy("timestamp", "pos", "original").limit(limit) if limit else d
 
 
 def archive_links(facts: DataFrame, site: Column, found: str = "facts") -> DataFrame:
