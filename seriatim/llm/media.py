@@ -30,7 +30,9 @@ ROW = 64
 ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 MEASURED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: A comment, script or tag that the page's end cuts off takes the rest, so no part of a page is read twice; quotes open a
+#: value after = only.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _MEDIA = {"img", "video", "audio"}
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,32 @@ def test_media_sequences(spark):
     assert out[2] == []
 
 
+def slow_feature(data):
+    """The feature of a payload, sample by sample."""
+    n = len(data)
+    mean = sum(data) / n
+    spread = math.sqrt(sum(x * x for x in data) * n - sum(data) ** 2)
+    columns = bytes(sum(data[i] for i in range(c, n, 64)) // (n // 64) for c in range(64))
+    return f"m{math.floor(100 * sum(data) / n)}.d{int(100 * spread / n)}.b{1000 * data.count(0) // n}.{columns.hex()}", mean
+
+
+def test_features_are_those_of_the_stored_samples(odd_documents, spark):
+    rng = random.Random(12)
+    texts = ["", "a", "x" * 64, "é" * 200, "".join(chr(rng.randrange(32, 500)) for _ in range(5000))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.digest_report(d).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert r["feature"] == slow_feature(raw + b"\0" * (-len(raw) % 64 if raw else 64))[0]
+
+
+def test_items_of_malformed_pages():
+    assert [i["digest"] for i in media.parse("<img title=it's src=digest:a>don't<img src='digest:b' alt='x>y'><!-- <img src=digest:c>")] == ["a", None, "b"]
+    for page in ("<!--" * 20_000, "<script>" * 20_000, "<a b='c' " * 20_000, "<img x=\"" * 20_000, "<" * 50_000):
+        began = time.time()
+        media.parse(page)
+        assert time.time() - began < 2
+
+
 def brute_lines(rows, ratio):
     pages, seen = Counter(), Counter()
     for _, host, t in rows:
