@@ -15,6 +15,11 @@ components.  A sketch, which gives a lower bound of two sets' distance, decides
 components is missed, and pairs within a component aren't listed.  Every link is verified on whole texts, which move
 to the hub that they are compared with, many to a hub being dealt over several tasks.
 
+A signature that very many sets of different components share (``cooled``; a passage that makes up most of many texts)
+isn't compared in pairs: similar sets of it share, besides what is common there, some shingle that few of its sets have,
+unless both consist of common shingles nearly alone.  So the rarest shingles of each set stand for the signature, as many
+as it takes for similar sets to share one, and only sets of common shingles keep it.
+
 Defined cases: a text with fewer than five words has one shingle, all its words; null, empty and blank texts have none
 and are linked with nothing; rows with a null doc_id have no component and no links; rows with one doc_id count as one
 document, linked by any of its texts; equal texts are linked; very long texts are handled a few at a time; an empty
@@ -347,6 +352,22 @@ def _same(turn: int):
     return run
 
 
+def _shingles(turn: int):
+    """node and its shingles, of texts (node, text) that have the node's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in small(batches):
+            nodes, all_texts = batch.column("node").to_pylist(), texts(batch)
+            for part in text_slices(all_texts):
+                own = [(n, s) for n, s in zip(nodes[part], shingle(all_texts[part]), strict=True) if _key(s, turn)[0] == n]
+                if own:
+                    sets = [s for _, s in own]
+                    yield pa.RecordBatch.from_pydict({"node": np.repeat(np.array([n for n, _ in own], np.int64), [len(s) for s in sets]), "shingle": np.concatenate(sets).view(np.int64)})
+
+    return run
+
+
 def _fits(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether sketches and sizes allow sets to be similar, and the share of their sizes in which the sketches differ."""
     apart, total = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64), n_a + n_b
@@ -483,14 +504,44 @@ class _Links:
             pairs = pairs.join(self.sets.select(F.col("ka").alias(end), F.struct("n", "bits").alias(f"of_{end}")), end)
         return pairs.filter(allowed("of_a", "of_b")).select("a", "b")
 
+    def marked(self, groups: DataFrame) -> DataFrame:
+        """``groups`` with each node's component as mark."""
+        if self.labels is None:
+            return groups.withColumn("mark", F.col("node"))
+        return groups.join(self.labels, "node", "left").withColumn("mark", F.coalesce("comp", "node")).drop("comp")
+
+    def cooled(self, groups: DataFrame) -> DataFrame:
+        """``groups`` in which none has more than BLOCK sets outside its largest component, but for sets of common shingles nearly alone.
+
+        In what hot groups hold together, a shingle is common if more than BLOCK sets have it.  Similar sets share 80 % of
+        either's shingles; so a set with c common ones of n shares with any similar one at least 0.8 n - c others, or one
+        if that is less and the two aren't similar by common ones alone, for which both need c >= 0.8 n.
+        """
+        by_mark = self.marked(groups).groupBy("gh", "mark").agg(F.count("*").alias("k"))
+        hot = self.stage(by_mark.groupBy("gh").agg((F.sum("k") - F.max("k")).alias("rest")).filter(F.col("rest") > BLOCK).select("gh"), "hot")
+        if not (many := hot.count()):
+            return groups
+        hot = keyed_broadcast(hot, many)
+        heated = groups.join(hot, "gh", "left_semi")
+        nodes = self.stage(heated.select("node").distinct().join(self.sets.select(F.col("ka").alias("node"), "rep", "n"), "node"), "hot-sets")
+        t = self.documents.join(keyed_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("rep")).select("node", "text")
+        own = self.stage(t.mapInArrow(_shingles(self.turn), "node long, shingle long").distinct(), "hot-shingles")  # a doc_id may have its text twice
+        seen = self.stage(own.groupBy("shingle").agg(F.count("*").alias("f")), "shingle-counts")
+        common = seen.filter(F.col("f") > BLOCK).select("shingle")
+        rare = own.join(keyed_broadcast(common, common.count()), "shingle", "left_anti").join(seen.filter(F.col("f") <= BLOCK), "shingle")
+        rare = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("rare"))  # a text's own
+        d = nodes.join(rare, "node", "left").withColumn("r", F.coalesce(F.size("rare"), F.lit(0)))
+        need = F.greatest(F.lit(1), F.ceil(F.col("n") * THRESHOLD / 100) - (F.col("n") - F.col("r"))).cast("int")
+        d = self.stage(d.select("node", ((F.col("n") - F.col("r")) * 100 >= F.col("n") * THRESHOLD).alias("core"), F.slice("rare", F.lit(1), F.greatest(F.col("r") - need + 1, F.lit(0))).alias("prefix")), "prefixes")
+        prefixes = d.filter("prefix is not null").select(F.explode("prefix").alias("p"), "node").select(F.xxhash64(F.lit("rare"), "p.shingle").alias("gh"), "node", F.lit(True).alias("native"))
+        core = heated.join(d.filter("core").select("node"), "node", "left_semi").select("gh", "node", "native")
+        new = self.stage(prefixes.unionByName(core), "cooled")
+        sizes = new.groupBy("gh").agg(F.count("*").alias("size")).filter("size > 1")
+        return self.stage(groups.join(hot, "gh", "left_anti").select("gh", "node", "native", "size").unionByName(new.join(sizes, "gh").select("gh", "node", "native", "size")), "groups")
+
     def apart(self, groups: DataFrame, every: bool) -> DataFrame:
         """a, b of groups (gh, node, native, size): pairs of different components that sketches allow."""
-        d = groups
-        if self.labels is None:
-            d = d.withColumn("mark", F.col("node"))
-        else:
-            d = d.join(self.labels, "node", "left").withColumn("mark", F.coalesce("comp", "node")).drop("comp")
-        d = self.stage(d, "marked")
+        d = self.stage(self.marked(groups), "marked")
         several = d.groupBy("gh").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("native").alias("own")).filter("low <> high and own")
         d = d.join(several.select("gh"), "gh").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -531,6 +582,7 @@ def link(documents: DataFrame) -> DataFrame:
         groups = stage(groups.join(sizes, "gh", "left").withColumn("size", F.coalesce("counted", "size")).drop("counted"), "groups")
 
     links.add(links.hubs(groups))
+    groups = links.cooled(groups)
     links.add(links.apart(groups, every=False))  # nearest by sketch: most links between what is left, not all
     links.add(links.apart(groups, every=True))
     found = sets.select("ka", F.col("rep").alias("component"))

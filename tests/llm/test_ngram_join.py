@@ -114,6 +114,33 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     check(spark, [(k, changed(rng, bases[k % 3], rng.randint(0, 2)), "c", "n") for k in range(90)])
 
 
+@pytest.mark.parametrize("own", [1, 4, 8, 12, 30])
+def test_hot_passages_aren_t_compared_in_pairs(spark, monkeypatch, own):
+    """Many texts of one passage and words of their own, few or many, with links among some of them; also parts of the passage alone."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    cooled = []
+    plain = ngram_join._Links.cooled
+
+    def told(self, groups):
+        out = plain(self, groups)
+        cooled.append(out.agg({"size": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join._Links, "cooled", told)
+    rng = random.Random(own)
+    passage = [f"p{i}" for i in range(40)]
+    word = lambda: f"o{rng.randrange(10**7)}"
+    tails = [[word() for _ in range(own)] for _ in range(60)]
+    rows = [(i, " ".join([*passage, *t])) for i, t in enumerate(tails)]
+    rows += [(100 + i, " ".join([*passage, *tails[i][:-1], word()])) for i in range(12)]
+    rows += [(200 + i, " ".join(passage[i : i + 36 - i % 3])) for i in range(4)]
+    rows += [(300 + i, " ".join([*(word() for _ in range(3)), *passage[i % 5 :], *tails[i]])) for i in range(12)]
+    rng.shuffle(rows)
+    check(spark, [(i, t, "c", "n") for i, t in rows])
+    if own >= 12:
+        assert cooled[0] <= 10
+
+
 def test_blocks_of_signatures():
     """What is packed comes back, and ranges let go of the same groups whether or not they hold all rows to the end."""
     rng = np.random.default_rng(4)
