@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -121,7 +120,6 @@ def text_slices(all_texts: list[str], letters: int = LETTERS_AT_ONCE) -> Iterato
 
 def tidy() -> None:
     """Gives memory that tasks before this one have freed back to the system: Python workers outlive their tasks."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can
         ctypes.CDLL(None).malloc_trim(0)
