@@ -382,7 +382,7 @@ class Finder:
     def _learn(self, runs: set[bytes]) -> None:
         if len(self.known) > KNOWN_RUNS:
             self.known, self.hits = {}, set()
-        if fresh := sorted(runs - self.known.keys()):
+        if fresh := sorted(r for r in runs if r not in self.known):
             score = self.model.scores(fresh)
             self.known.update(zip(fresh, score.tolist(), strict=True))
             self.hits.update(fresh[i] for i in np.flatnonzero(self.model.all_found(fresh, score)).tolist())
