@@ -118,11 +118,16 @@ def text_slices(all_texts: list[str], letters: int = LETTERS_AT_ONCE) -> Iterato
         yield slice(lo, len(all_texts))
 
 
-def tidy() -> None:
-    """Gives memory that tasks before this one have freed back to the system: Python workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
+_tidied: set[str] = set()
+
+
+def tidy(stage: str) -> None:
+    """Gives memory that earlier stages have freed back to the system, once a stage: Python workers outlive their tasks."""
+    if stage not in _tidied:
+        _tidied.add(stage)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class WordTable(dict):

@@ -37,7 +37,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
+        tidy("packing")
         encoder = Encoder(vocabulary(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in small(batches):
