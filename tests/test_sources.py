@@ -90,7 +90,7 @@ def test_captures_and_titles(spark):
     d = spark.createDataFrame([("s", body), ("t", None), ("t", "broken"), ("t", "[]")], "site string, body string")
     assert sorted(map(tuple, strategies.captures(d).collect())) == [("s", "u"), ("s", "v")]
     assert [tuple(r) for r in strategies.captures(d, limit=1).collect()] == [("s", "u")]
-    assert spark.range(1).select(strategies.titled(F.lit("celebration-of-aWARENESS-"))).first()[0] == "Celebration Of Awareness "
+    assert spark.range(1).select(strategies.titled(F.lit("the-quiet-rIVER-"))).first()[0] == "The Quiet River "
 
 
 def recorded(folder, total, there, broken=()):
