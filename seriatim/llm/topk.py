@@ -11,7 +11,8 @@ Defined cases: a vector that is null or empty, or holds a null or non-finite com
 take no part; rows are compared with rows of the same dimension only; rows with the query's vec_id are no candidates;
 ties go to the smaller vec_id; repeated candidate rows count each; of query rows with one vec_id the least vector
 counts; fewer than k candidates are all returned; other columns, whatever their names, are left out; an empty table
-gives no rows.  Scores must fit a long.
+gives no rows.  Scores are exact however large the components; one beyond a long is told, and ranked, as the nearest
+long.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BUCKETS = 256
 #: Rows that one matrix product takes.
 ROWS_AT_ONCE = 4096
 EXACT = 2.0**53
+#: Largest score; the least is its negative.
+MOST = 2**63 - 1
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -55,20 +58,48 @@ def whole(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, queries x rows."""
-    if float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1] < EXACT:
+    """Exact integer inner products, queries x rows: by floats where sums are whole, else by longs, else one by one."""
+    most = float(np.abs(queries).max(initial=0)) * np.abs(rows).max(axis=1, initial=0) * queries.shape[1]
+    if (most < EXACT).all():
         return (queries @ rows.T).astype(np.int64)
+    out = np.empty((len(queries), len(rows)), np.int64)
+    for chosen, product in ((most < EXACT, _by_floats), ((most >= EXACT) & (most < 2.0**62), _by_longs), (~(most < 2.0**62), _saturated)):
+        if chosen.any():
+            out[:, chosen] = product(queries, rows[chosen])
+    return out
+
+
+def _by_floats(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return (queries @ rows.T).astype(np.int64)
+
+
+def _by_longs(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries.astype(np.int64) @ rows.astype(np.int64).T
 
 
+def _saturated(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of any size, within -MOST and MOST.  A sum of longs that wraps is right where the result fits, as a float sum tells but for its error."""
+    with np.errstate(all="ignore"):
+        about, error = queries @ rows.T, queries.shape[1] * 2.0**-50 * (np.abs(queries) @ np.abs(rows).T)
+        fits = lambda x: np.where(np.abs(x) < 2.0**62, x, 0).astype(np.int64)
+        out = fits(queries) @ fits(rows).T
+        long = (np.abs(queries).max(axis=1, initial=0) < 2.0**62)[:, None] & (np.abs(rows).max(axis=1, initial=0) < 2.0**62)[None, :]
+        unsure = ~(long & (np.abs(about) + error < 2.0**63))
+        beyond = unsure & (np.abs(about) - error > 2.0**63)
+    out[beyond] = np.where(about[beyond] > 0, MOST, -MOST)
+    for q, r in zip(*np.nonzero(unsure & ~beyond), strict=True):
+        out[q, r] = max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(queries[q], rows[r], strict=True))))
+    return out
+
+
 def _bounds(candidates: DataFrame) -> dict[int, float]:
     """The largest norm of the valid vectors by dimension (a row for each dimension)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most: dict[int, float] = {}
         for batch in batches:
-            for _, x in whole(batch):
-                most[x.shape[1]] = max(most.get(x.shape[1], 0.0), float(np.sqrt((x * x).sum(axis=1)).max()))
+            for _, x in whole(batch):  # a norm may be infinite
+                most[x.shape[1]] = max(most.get(x.shape[1], 0.0), float(np.sqrt((x * x).sum(axis=1).max())))
         yield pa.RecordBatch.from_pydict({"dim": pa.array(list(most), pa.int32()), "norm": pa.array(list(most.values()), pa.float64())})
 
     rows = candidates.mapInArrow(run, "dim int, norm double").groupBy("dim").agg(F.max("norm").alias("norm")).collect()
@@ -96,7 +127,10 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _histogram(candidates: DataFrame, state: dict) -> DataFrame:
-    """q, bucket, n: how many scores fall in each of the query's buckets, without those that can't hold the k-th."""
+    """q, bucket, n: how many scores fall in each of the query's buckets, without those that can't hold the k-th.
+
+    The last buckets may reach over the query's span; scores there are above it, and already counted.
+    """
     shared = candidates.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +142,11 @@ def _histogram(candidates: DataFrame, state: dict) -> DataFrame:
             for ids, x in whole(batch):
                 if x.shape[1] != s["x"].shape[1]:
                     continue
-                bucket = (scores(s["x"], x) - s["low"][:, None]) // s["width"][:, None]
-                inside = (bucket >= 0) & (bucket < BUCKETS) & (ids[None, :] != s["ids"][:, None]) & s["open"][:, None]
-                counts += np.bincount((base + bucket)[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)
+                found = scores(s["x"], x)
+                over = (found - s["low"][:, None]).view(np.uint64)  # a difference may need all 64 bits
+                bucket = over // s["width"][:, None]
+                inside = (found >= s["low"][:, None]) & (over < s["span"][:, None]) & (ids[None, :] != s["ids"][:, None]) & s["open"][:, None]
+                counts += np.bincount((base + bucket.view(np.int64))[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)
         above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
         q, bucket = np.nonzero((counts > 0) & (above < s["need"][:, None]))
         yield pa.RecordBatch.from_pydict({"q": q.astype(np.int32), "bucket": bucket.astype(np.int32), "n": counts[q, bucket]})
@@ -120,13 +156,15 @@ def _histogram(candidates: DataFrame, state: dict) -> DataFrame:
 
 def thresholds(candidates: DataFrame, ids: np.ndarray, x: np.ndarray, norm: float, k: int) -> np.ndarray:
     """The k-th highest score of every query of the block; the lowest possible score where there are fewer candidates."""
-    bound = np.floor(np.sqrt((x * x).sum(axis=1)) * norm * (1 + 1e-9)).astype(np.int64) + 1
-    low, span = -bound, 2 * bound + 1
+    with np.errstate(over="ignore"):
+        bound = np.sqrt((x * x).sum(axis=1)) * norm * (1 + 1e-9)
+    bound = np.array([int(b) + 1 if b < 2.0**62 else MOST for b in bound], np.int64)  # an infinite norm, too
+    low, span = -bound, 2 * bound.astype(np.uint64) + np.uint64(1)
     need, open_ = np.full(len(ids), k, np.int64), np.ones(len(ids), bool)
     while (open_ & (span > 1)).any():
-        width = -(-span // BUCKETS)
+        width = (span - np.uint64(1)) // np.uint64(BUCKETS) + np.uint64(1)
         open_ &= span > 1
-        state = {"ids": ids, "x": x, "low": low, "width": width, "need": need, "open": open_}
+        state = {"ids": ids, "x": x, "low": low, "span": span, "width": width, "need": need, "open": open_}
         falling = Window.partitionBy("q").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
         limit = F.element_at(F.array(*map(F.lit, need.tolist())), F.col("q") + 1) if len(set(need.tolist())) > 1 else F.lit(int(need[0]))
         found = _histogram(candidates, state).withColumn("upto", F.sum("n").over(falling)).filter((F.col("upto") >= limit) & (F.col("upto") - F.col("n") < limit))
@@ -135,7 +173,7 @@ def thresholds(candidates: DataFrame, ids: np.ndarray, x: np.ndarray, norm: floa
             q = r["q"]
             got[q] = True
             need[q] -= r["upto"] - r["n"]
-            low[q] += r["bucket"] * width[q]
+            low[q] = int(low[q]) + r["bucket"] * int(width[q])
             span[q] = width[q]
         short = open_ & ~got  # fewer candidates than k
         span[short] = 1

@@ -45,6 +45,27 @@ def test_topk_large_ids_and_repeated_queries(spark):
     assert got == [(20, 1, 7, 512 * -1024 + 512 * 512), (20, 2, 2**53 + 1, -1024 * 1024)]
 
 
+def test_topk_last_buckets(spark):
+    """A query's last buckets reach over its span; a score there is above it and must not be counted again."""
+    rows = [(1, [352 / 1024]), (2, [252 / 1024]), (3, [10 / 1024])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    # scores from -12,798 to 12,798 fall into buckets of 100: 252 into the one from 202 on, 352 into the next one
+    assert topk.thresholds(df, np.array([0]), np.array([[1.0]]), 12797.5, 2).tolist() == [252]
+
+
+@pytest.mark.parametrize("big", [1e6, 1e12, 3e15, 3e38])
+def test_topk_large_components(spark, big):
+    """One row of large components leaves the other rows' scores as they are; scores beyond a long are told as the nearest one."""
+    rng = random.Random(6)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(6)]) for i in range(200)] + [(9999, [float(np.float32(big))] * 6), (9998, [float(np.float32(-big))] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in topk.search(df, topk.every(df, 20)).collect())
+    want = {}
+    for q, _, i, s in brute_topk(rows, len(rows), 20):
+        want.setdefault(q, []).append((-max(-topk.MOST, min(topk.MOST, s)), i))
+    assert got == sorted((q, r, i, -s) for q, found in want.items() for r, (s, i) in enumerate(sorted(found)[:10], 1))
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, topk.every(df)).count() == 0
