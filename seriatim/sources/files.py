@@ -274,7 +274,7 @@ def sections(chapters: DataFrame) -> DataFrame:
     """chapter, nth, heading, content from chapters (chapter, text, headings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in html.parts(batches):
             rows = [(c, i, h, s) for c, t, hs in zip(*(batch.column(k).to_pylist() for k in ("chapter", "text", "headings")), strict=True) for i, (h, s) in enumerate(split_sections(t or "", hs or []), 1)]
             yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("chapter", "nth", "heading", "content"))}, schema=pa.schema([("chapter", pa.string()), ("nth", pa.int32()), ("heading", pa.string()), ("content", pa.string())]))
 

@@ -7,6 +7,7 @@ import re
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,15 @@ def test_clean(spark):
     assert rows[3]["html"].endswith("<b>open</b></p>")
 
 
+def test_parts_of_batches():
+    """What is turned to Python objects at once is bounded by bytes and rows, whatever a batch holds; no row is lost."""
+    for rows, size in ((5000, 10_000), (5000, 3), (3, 3 << 20), (0, 1)):
+        batch = pa.RecordBatch.from_pydict({"i": pa.array(range(rows), pa.int64()), "x": pa.array(["x" * size] * rows, pa.string())})
+        found = list(html.parts([batch]))
+        assert [i for b in found for i in b.column("i").to_pylist()] == list(range(rows))
+        assert all(b.num_rows == 1 or (b.nbytes <= html.BYTES_AT_ONCE and b.num_rows <= html.ROWS_AT_ONCE) for b in found)
+
+
 def test_facts(spark):
     df = html.facts(spark.createDataFrame([(PAGE,), (None,), ("<div class='x content'><div>in</div>side</div>out",)], "page string"), "page")
     f = F.col("facts")
