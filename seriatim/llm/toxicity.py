@@ -4,7 +4,12 @@ A word (a run of letters, lower-cased) is embedded as the sum of the hashed embe
 4- and 5-grams.  Filters of several widths run over the words, each filter's maximum over the document is pooled, and
 a logistic output gives the score.  At scoring time filters and embeddings are multiplied out into one table, so a
 window is a sum of table rows.  The score is calibrated so that 0.7 is the cut that does best on a validation part of
-the sample; cuts by language are calibrated in the same way for callers that know a document's language.
+all labelled rows; cuts by language are calibrated in the same way for callers that know a document's language.
+
+All learnable labelled rows are learned from, with their whole texts.  Where they are few, the driver trains on them.
+Where they are more, that gives the first weights only: then every row goes, in each of ROUNDS rounds, through the task
+of its shard, which starts from the weights of all shards so far, and the changes of the shards are averaged by blocks of
+embeddings.  The rows kept for calibration, a fifth, are scored by tasks, and cuts come from exact counts of them.
 
 Inputs of a score are the text alone, whole and however long; a document's windows never reach into another's words, so
 a score doesn't depend on order or partitions.  Defined cases: a null, empty or wordless text gets the score of a
@@ -15,29 +20,42 @@ document gets one score below the cut; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.llm.common import LETTERS, WordTable, flat, held_out, learnable, ngram_ids, slices, small, staged, text_slices, texts, unused
+from seriatim.llm.common import LETTERS, WordTable, flat, held_out, keyed_broadcast, learnable, ngram_ids, slices, small, staged, text_slices, texts, unused
 
 BUCKETS = 1 << 16
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 GRAMS = (4, 5)
-#: Labelled documents of each class in the training sample at most: those with the smallest hashes of their ids.
+#: Labelled documents of each class that the driver trains on at most: those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 2500
 #: Letters of training text a class at most.  Where a class has more, its longest documents give evenly spaced pieces
 #: of themselves, as long as fits; no document is left out.
 SAMPLE_LETTERS = 10_000_000
 PIECES = 64
 EPOCHS = 6
-#: Toxic documents that the part kept for calibration needs; with fewer the whole sample calibrates.
+#: Passes of all labelled rows through their shards, rows of a shard at least, and shards at most (a shard streams its rows).
+ROUNDS = 2
+ROWS_OF_A_SHARD = 2500
+SHARDS = 64
+#: Documents and words of a step, and documents and letters that a shard holds as Python objects at once.
+BATCH = 32
+WORDS_OF_A_BATCH = 100_000
+DOCS_OF_A_CHUNK = 512
+LETTERS_OF_A_CHUNK = 1_000_000
+#: Blocks of embeddings that are averaged apart.
+BLOCKS = 16
+#: Toxic documents that the part kept for calibration needs; with fewer all labelled rows calibrate.
 LEAST_HELD = 20
 PREDICT_AT = 0.7
 CACHE_WORDS = 150_000
@@ -129,17 +147,26 @@ def calibrated(model: Model, z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -30, 30)))
 
 
+def _marked(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, h of all learnable labelled ids; one that is labelled more than once counts as toxic if any of its labels does."""
+    marked = labels.filter(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return marked.filter(F.col("toxic").isin(0, 1)).withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
+
+
+def _labelled(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """h, doc_id, lang, text, toxic of the documents with these ids."""
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    return documents.select("doc_id", lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("h", "doc_id", "lang", "text", "toxic")
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """lang, text, toxic of a bounded number of learnable labelled documents of each class.
+    """lang, text, toxic of a bounded number of learnable labelled documents of each class."""
+    return _sample(documents, _marked(labels), per_class)
 
-    A document labelled more than once counts as toxic if any of its labels does.
-    """
-    marked = labels.filter(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
+
+def _sample(documents: DataFrame, marked: DataFrame, per_class: int) -> DataFrame:
     sides = [marked.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    chosen = staged(sides[0].unionByName(sides[1]), "toxicity-sample")
-    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    return documents.select("doc_id", lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "lang", "text", "toxic")
+    return _labelled(documents, F.broadcast(staged(sides[0].unionByName(sides[1]), "toxicity-sample")))
 
 
 def _caps(lengths: list[tuple[int, int, int]], letters: int) -> dict[int, int | None]:
@@ -166,10 +193,13 @@ def _pieces(cap: int) -> Column:
     return F.when(length <= cap, F.col("text")).otherwise(F.array_join(parts, "\n"))
 
 
-def _gather(sample: DataFrame) -> list[tuple[str | None, list[str], int]]:
+def _lengths(sample: DataFrame) -> list[tuple[int, int, int]]:
+    return [tuple(r) for r in sample.groupBy("toxic", F.length("text")).count().collect()]
+
+
+def _gather(sample: DataFrame, caps: dict[int, int | None] | None = None) -> list[tuple[str | None, list[str], int]]:
     out, same = [], {}
-    lengths = [tuple(r) for r in sample.groupBy("toxic", F.length("text")).count().collect()]
-    for y, cap in _caps(lengths, SAMPLE_LETTERS).items():
+    for y, cap in (caps or _caps(_lengths(sample), SAMPLE_LETTERS)).items():
         if cap is not None:
             sample = sample.withColumn("text", F.when(F.col("toxic") == y, _pieces(cap)).otherwise(F.col("text")))
     for r in sample.orderBy("h", "doc_id", F.xxhash64("text")).toLocalIterator():
@@ -185,38 +215,47 @@ def _summed(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cells[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
-def train(rows: list[tuple[str | None, list[str], int]], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Adam on weighted log loss; every fifth document is kept for calibration, if that gives enough toxic ones."""
-    rng = np.random.default_rng(seed)
-    width = sum(WIDTHS) * FILTERS
-    kept = [i % 5 == 4 for i in range(len(rows))]
-    fit_rows = [r for r, k in zip(rows, kept, strict=True) if not k]
-    if not any(y for _, _, y in fit_rows) or all(y for _, _, y in fit_rows):
-        prior = float(np.mean([y for _, _, y in rows])) if rows else 0.0
-        return Model(np.zeros((BUCKETS, width), np.float32), np.zeros(len(WIDTHS) * FILTERS), np.zeros(len(WIDTHS) * FILTERS), float(np.log((prior * 0.5 + 1e-3) / (1 - prior * 0.5))))
+def _numbered(documents: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each document's words as numbers from 1, the n-grams of all words in a row, and where each word's start."""
     words = WordTable()
-    numbered = [np.fromiter(map(words.__getitem__, w), np.int64, len(w)) + 1 for _, w, _ in fit_rows]
+    numbered = [np.fromiter(map(words.__getitem__, w), np.int64, len(w)) + 1 for w in documents]
     vocabulary = list(words)
     parts = [ngram_ids(vocabulary[part], GRAMS, BUCKETS, whole=True) for part in slices(len(vocabulary), WORDS_AT_ONCE)]
     ids = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i, _ in parts)])
     starts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(e) for _, e in parts)]))]).astype(np.int64)
-    share = 1 / np.sqrt(np.maximum(np.diff(starts), 1))
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    filt = rng.normal(0, 0.3, (DIM, width)).astype(np.float32)
-    bias, weight, out_bias = np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), np.float32(0)
-    y = np.array([r[2] for r in fit_rows], np.float32)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
-    params = {"emb": emb, "filt": filt, "bias": bias, "weight": weight}
-    first = {k: np.zeros_like(v) for k, v in params.items()}
-    second = {k: np.zeros_like(v) for k, v in params.items()}
-    owner_filter = np.concatenate([np.tile(np.arange(k * FILTERS, (k + 1) * FILTERS), w) for k, w in enumerate(WIDTHS)])  # of each column
-    offset = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])
-    step, size = 0, 32
-    pieces = max(epochs, -(-240 * size // max(len(fit_rows), 1)))
-    for _ in range(min(pieces, 40)):
-        order = rng.permutation(len(fit_rows))
-        for lo in range(0, len(order), size):
-            pick = order[lo : lo + size]
+    return numbered, ids, starts
+
+
+def _balance(y: np.ndarray, toxic_share: float) -> np.ndarray:
+    """Weights by which both classes count as much."""
+    return np.where(y == 1, 0.5 / max(toxic_share, 1e-6), 0.5 / max(1 - toxic_share, 1e-6)).astype(np.float32)
+
+
+class Network:
+    """Weights in training, and what their steps are sized by (Adam; embeddings by the sum of squares)."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        width, pooled = sum(WIDTHS) * FILTERS, len(WIDTHS) * FILTERS
+        self.emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.params = {"filt": rng.normal(0, 0.3, (DIM, width)).astype(np.float32), "bias": np.zeros(pooled, np.float32), "weight": rng.normal(0, 0.3, pooled).astype(np.float32)}
+        self.out_bias = np.float32(0)
+        self.first = {k: np.zeros_like(v) for k, v in self.params.items()}
+        self.second = {k: np.zeros_like(v) for k, v in self.params.items()}
+        self.squares = np.zeros_like(self.emb)
+        self.step = 0
+
+    def model(self) -> Model:
+        return Model((self.emb @ self.params["filt"]).astype(np.float32), self.params["bias"].astype(np.float64), self.params["weight"].astype(np.float64), float(self.out_bias))
+
+    def fit(self, documents: tuple[list[np.ndarray], np.ndarray, np.ndarray], y: np.ndarray, balance: np.ndarray, picks: Iterator[np.ndarray]) -> None:
+        """A step for each of ``picks``, the places of its documents among all (as of ``_numbered``)."""
+        numbered, ids, starts = documents
+        share = 1 / np.sqrt(np.maximum(np.diff(starts), 1))
+        emb, params, first, second = self.emb, self.params, self.first, self.second
+        filt, bias, weight = params["filt"], params["bias"], params["weight"]
+        owner_filter = np.concatenate([np.tile(np.arange(k * FILTERS, (k + 1) * FILTERS), w) for k, w in enumerate(WIDTHS)])  # of each column
+        offset = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])
+        for pick in picks:
             used, inverse = np.unique(np.concatenate([numbered[i] for i in pick] or [np.zeros(0, np.int64)]), return_inverse=True)
             ends = np.concatenate([[0], np.cumsum([len(numbered[i]) for i in pick])]).astype(np.int64)
             count = np.diff(starts)[used - 1]
@@ -234,7 +273,7 @@ def train(rows: list[tuple[str | None, list[str], int]], epochs: int = EPOCHS, s
                 feats.append(np.maximum.reduceat(z, at_starts, axis=0))
                 arg.append(np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(at_starts, at_ends, strict=True)]))
             pooled = np.maximum(np.concatenate(feats, axis=1) + bias, 0)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ weight + out_bias, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(pooled @ weight + self.out_bias, -30, 30)))
             err = (p - y[pick]) * balance[pick] / len(pick)
             grad = {"weight": pooled.T @ err, "bias": None, "filt": None}
             back = np.outer(err, weight) * (pooled > 0)
@@ -245,24 +284,139 @@ def train(rows: list[tuple[str | None, list[str], int]], epochs: int = EPOCHS, s
             words_hit, sums_hit = _summed(where.ravel(), (g[:, :, None] * filt.T).reshape(-1, DIM))
             into = np.zeros_like(vectors)
             into[words_hit] = sums_hit
-            step += 1
-            rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            self.step += 1
+            rate = 0.01 * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
             for k in ("filt", "bias", "weight"):
                 first[k] += 0.1 * (grad[k] - first[k])
                 second[k] += 0.001 * (grad[k] ** 2 - second[k])
                 params[k] -= rate * first[k] / (np.sqrt(second[k]) + 1e-8)
-            out_bias -= np.float32(0.01) * err.sum()
+            self.out_bias -= np.float32(0.01) * err.sum()
             into[0] = 0
             touched = np.flatnonzero(np.abs(into[1:]).sum(axis=1))
             if len(touched):
                 keep = np.isin(own, touched)
                 g_rows, where = (into[1:] * share[used - 1, None])[own[keep]], grams[keep]
                 cells, g_sum = _summed(where, g_rows)
-                second["emb"][cells] += g_sum**2
-                emb[cells] -= 0.1 * g_sum / (np.sqrt(second["emb"][cells]) + 1e-6)
-    model = Model((emb @ filt).astype(np.float32), bias.astype(np.float64), weight.astype(np.float64), float(out_bias))
+                self.squares[cells] += g_sum**2
+                emb[cells] -= 0.1 * g_sum / (np.sqrt(self.squares[cells]) + 1e-6)
+
+    def dense(self) -> np.ndarray:
+        """All but the embeddings, in a row."""
+        return np.concatenate([[self.step, self.out_bias], *(d[k].ravel() for d in (self.params, self.first, self.second) for k in ("filt", "bias", "weight"))]).astype(np.float64)
+
+    def set_dense(self, row: np.ndarray) -> None:
+        self.step, self.out_bias, at = float(row[0]), np.float32(row[1]), 2
+        for d in (self.params, self.first, self.second):
+            for k in ("filt", "bias", "weight"):
+                d[k][...] = row[at : at + d[k].size].reshape(d[k].shape)
+                at += d[k].size
+
+
+def _learned(rows: list[tuple[str | None, list[str], int]], epochs: int, seed: int) -> Network | None:
+    """A network trained on these rows; None where they aren't of both classes."""
+    y = np.array([r[2] for r in rows], np.float32)
+    if not y.any() or y.all():
+        return None
+    rng = np.random.default_rng(seed)
+    documents, network = _numbered([w for _, w, _ in rows]), Network(rng)
+    balance = _balance(y, y.mean())
+    for _ in range(min(max(epochs, -(-240 * BATCH // len(rows))), 40)):
+        order = rng.permutation(len(rows))
+        network.fit(documents, y, balance, (order[lo : lo + BATCH] for lo in range(0, len(order), BATCH)))
+    return network
+
+
+def _prior(rows: int, toxic: int) -> Model:
+    """Without rows of both classes to learn from: one score for all, below the cut."""
+    prior, width = toxic / rows if rows else 0.0, sum(WIDTHS) * FILTERS
+    return Model(np.zeros((BUCKETS, width), np.float32), np.zeros(len(WIDTHS) * FILTERS), np.zeros(len(WIDTHS) * FILTERS), float(np.log((prior * 0.5 + 1e-3) / (1 - prior * 0.5))))
+
+
+def train(rows: list[tuple[str | None, list[str], int]], epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Adam on weighted log loss; every fifth document is kept for calibration, if that gives enough toxic ones."""
+    kept = [i % 5 == 4 for i in range(len(rows))]
+    network = _learned([r for r, k in zip(rows, kept, strict=True) if not k], epochs, seed)
+    if network is None:
+        return _prior(len(rows), sum(y for _, _, y in rows))
     held = [r for r, k in zip(rows, kept, strict=True) if k]
-    return calibrate(model, held if sum(y for _, _, y in held) >= LEAST_HELD else rows)
+    return calibrate(network.model(), held if sum(y for _, _, y in held) >= LEAST_HELD else rows)
+
+
+def _chunks(rows: Iterator[tuple[str, int]]) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Words and classes of few documents and letters at a time."""
+    words, y, letters = [], [], 0
+    for text, toxic in rows:
+        words.append(words_of(text))
+        y.append(toxic)
+        letters += len(text)
+        if len(y) == DOCS_OF_A_CHUNK or letters >= LETTERS_OF_A_CHUNK:
+            yield words, y
+            words, y, letters = [], [], 0
+    if y:
+        yield words, y
+
+
+def _picks(sizes: list[int]) -> Iterator[np.ndarray]:
+    """Steps in the documents' order, of so many documents and words at most, or one document that has more."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo == BATCH or held + n > WORDS_OF_A_BATCH):
+            yield np.arange(lo, i)
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield np.arange(lo, len(sizes))
+
+
+_CHANGES = "block int, shard int, cells binary, changes binary"
+
+
+def _mean_changes(pieces: pa.Table) -> pa.Table:
+    """A block's mean changes: of an embedding over the shards that moved it, of the rest over all."""
+    block, order = pieces.column("block")[0].as_py(), np.argsort(pieces.column("shard").to_numpy())
+    own = [(np.frombuffer(c.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32 if block >= 0 else np.float64)) for c, v in ((pieces.column("cells")[int(i)], pieces.column("changes")[int(i)]) for i in order)]
+    if block < 0:
+        cells, mean = np.zeros(0, np.int32), np.mean([v for _, v in own], axis=0)
+    else:
+        total, count = np.zeros((BUCKETS // BLOCKS, 2 * DIM)), np.zeros(BUCKETS // BLOCKS)
+        base = block * (BUCKETS // BLOCKS)
+        for c, v in own:
+            total[c - base] += v.reshape(-1, 2 * DIM)
+            count[c - base] += 1
+        at = np.flatnonzero(count)
+        cells, mean = (at + base).astype(np.int32), (total[at] / count[at, None]).astype(np.float32)
+    return pa.table([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([cells.tobytes()]), pa.array([mean.tobytes()])], names=["block", "shard", "cells", "changes"])
+
+
+def _round(network: Network, rows: DataFrame, shards: int, toxic_share: float, number: int) -> None:
+    """Every row goes through the network of its shard once, in an order of its own each round; then ``network`` has the mean of their changes."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (r for b in small(batches, DOCS_OF_A_CHUNK) for r in zip(b.column("shard").to_pylist(), texts(b), b.column("toxic").to_pylist(), strict=True))
+        for shard, own in groupby(found, key=lambda r: r[0]):
+            net = copy.deepcopy(shared.value)
+            for words, y in _chunks((t, y) for _, t, y in own):
+                y = np.array(y, np.float32)
+                net.fit(_numbered(words), y, _balance(y, toxic_share), _picks([len(w) for w in words]))
+            was, size = shared.value, BUCKETS // BLOCKS
+            pieces = [(-1, np.zeros(0, np.int32), net.dense() - was.dense())]
+            moved = np.flatnonzero((net.squares != was.squares).any(axis=1)).astype(np.int32)
+            changes = np.concatenate([net.emb[moved] - was.emb[moved], net.squares[moved] - was.squares[moved]], axis=1)
+            pieces += [(b, moved[moved // size == b], changes[moved // size == b]) for b in range(BLOCKS)]
+            for block, cells, values in pieces:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([shard], pa.int32()), pa.array([cells.tobytes()]), pa.array([values.tobytes()])], names=["block", "shard", "cells", "changes"])
+
+    order = F.xxhash64(F.lit(number), "doc_id")
+    dealt = rows.withColumn("order", order).repartition(shards, "shard").sortWithinPartitions("shard", "order", "doc_id", F.xxhash64("text")).select("shard", "text", "toxic")
+    for r in dealt.mapInArrow(run, _CHANGES).groupBy("block").applyInArrow(_mean_changes, _CHANGES).collect():
+        if r["block"] < 0:
+            network.set_dense(network.dense() + np.frombuffer(r["changes"], np.float64))
+        else:
+            cells, values = np.frombuffer(r["cells"], np.int32), np.frombuffer(r["changes"], np.float32).reshape(-1, 2 * DIM)
+            network.emb[cells] += values[:, :DIM]
+            network.squares[cells] += values[:, DIM:]
+    shared.unpersist()
 
 
 def calibrate(model: Model, rows: list[tuple[str | None, list[str], int]]) -> Model:
@@ -272,9 +426,7 @@ def calibrate(model: Model, rows: list[tuple[str | None, list[str], int]]) -> Mo
     z, y = np.concatenate(z), np.array([r[2] for r in rows])
     cut = _best_cut(z, y)
     above, below = z[y == 1], z[y == 0]
-    spread = max(0.25, float((np.median(above) if len(above) else cut + 1) - (np.median(below) if len(below) else cut - 1)))
-    model.scale = 8 / spread
-    model.shift = float(np.log(PREDICT_AT / (1 - PREDICT_AT)) - model.scale * cut)
+    _scaled(model, cut, float(np.median(above)) if len(above) else None, float(np.median(below)) if len(below) else None)
     langs = np.array([r[0] or "" for r in rows])
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
@@ -283,6 +435,36 @@ def calibrate(model: Model, rows: list[tuple[str | None, list[str], int]]) -> Mo
     return model
 
 
+def _scaled(model: Model, cut: float, above: float | None, below: float | None) -> None:
+    """Scores by the cut and the median of either class."""
+    spread = max(0.25, (cut + 1 if above is None else above) - (cut - 1 if below is None else below))
+    model.scale = 8 / spread
+    model.shift = float(np.log(PREDICT_AT / (1 - PREDICT_AT)) - model.scale * cut)
+
+
+def calibrate_over(model: Model, rows: DataFrame) -> Model:
+    """``calibrate`` over any number of rows (lang, text, toxic): scored by tasks, and their exact counts taken by score, in buckets of scores."""
+    scored = score_column(rows, model, ["lang", "toxic"], "z", raw=True)
+    scored = scored.withColumn("lang", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("lang", F.lit(""))))))  # all, and each language
+    points = staged(scored.groupBy("lang", "z").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).withColumn("k", F.floor(F.col("z") * 16)), "toxicity-scores")
+    before, all_of = Window.partitionBy("lang").orderBy("k"), Window.partitionBy("lang")
+    buckets = points.groupBy("lang", "k").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn"), F.min("z").alias("lo"))
+    buckets = buckets.select("lang", "k", (F.sum("bt").over(before) - F.col("bt")).alias("below_t"), (F.sum("bn").over(before) - F.col("bn")).alias("below_n"), F.lead("lo").over(before).alias("next_lo"), F.sum("bt").over(all_of).alias("all_t"), F.sum("bn").over(all_of).alias("all_n"))
+    order = Window.partitionBy("lang", "k").orderBy("z")
+    d = points.join(F.broadcast(buckets), ["lang", "k"])
+    d = d.select("lang", "z", "t", "n", "all_t", "all_n", (F.sum("t").over(order) + F.col("below_t")).alias("ct"), (F.sum("n").over(order) + F.col("below_n")).alias("cn"), F.coalesce(F.lead("z").over(order), "next_lo").alias("next_z"))
+    clean, all_clean = F.col("cn") - F.col("ct"), F.col("all_n") - F.col("all_t")
+    cut = lambda worth, gap, at: F.struct(worth.alias("worth"), gap.cast("double").alias("gap"), (-at).alias("at"))  # noqa: E731  the least cut wins last
+    after = cut((F.col("all_t") - F.col("ct")) - 2 * (all_clean - clean), F.coalesce(F.col("next_z") - F.col("z"), F.lit(1)), F.coalesce((F.col("z") + F.col("next_z")) / 2, F.col("z") + 1))
+    first = F.when(F.col("cn") == F.col("n"), cut(F.col("all_t") - 2 * all_clean, F.lit(1), F.col("z") - 1))
+    ranked = lambda count, total: (F.min(F.when(count > F.floor((total - 1) / 2), F.col("z"))) + F.min(F.when(count > F.floor(total / 2), F.col("z")))) / 2  # noqa: E731  the median
+    best = d.groupBy("lang").agg(F.max(after).alias("after"), F.max(first).alias("first"), ranked(F.col("ct"), F.col("all_t")).alias("above"), ranked(clean, all_clean).alias("below"), F.first("all_t").alias("t"), F.first("all_n").alias("n"))
+    found = {r["lang"]: r for r in best.select("lang", (-F.greatest("after", "first")["at"]).alias("cut"), "above", "below", "t", "n").collect()}
+    _scaled(model, found[""]["cut"], found[""]["above"], found[""]["below"])
+    model.cuts = {lang: float(calibrated(model, np.array([r["cut"]]))[0]) for lang, r in sorted(found.items()) if lang and min(r["t"], r["n"] - r["t"]) >= 20}
+    return model
+
+
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     """In the middle of the widest of the best gaps between scores: most right answers, where a wrong alarm counts as two misses."""
     order = np.argsort(z)
@@ -296,12 +478,30 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float(edge[best[gap[best].argmax()]])
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    return train(_gather(training_sample(documents, labels, per_class)))
-
-
-def score_column(documents: DataFrame, model: Model, keep: list[str], name: str = "toxicity_score") -> DataFrame:
-    """``keep`` columns of ``documents`` and the score as ``name``."""
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 7) -> Model:
+    """A model of all learnable labelled documents."""
+    marked = staged(_marked(labels), "toxicity-labels")
+    sizes = [r["count"] for r in marked.groupBy("toxic").count().collect()]
+    sample = _sample(documents, marked, per_class)
+    caps = _caps(_lengths(sample), SAMPLE_LETTERS)
+    if max(sizes, default=0) <= per_class and not any(cap is not None for cap in caps.values()):
+        return train(_gather(sample, caps), seed=seed)  # these are all
+    kept = F.pmod(F.xxhash64(F.lit("toxicity-kept"), "doc_id"), F.lit(5)) == 4
+    rows = staged(_labelled(documents, keyed_broadcast(marked, sum(sizes))).withColumn("kept", kept), "toxicity-rows")
+    count = {tuple(r)[:2]: r["n"] for r in rows.groupBy("kept", "toxic").agg(F.count("*").alias("n")).collect()}
+    fit_n, fit_toxic = count.get((False, 0), 0) + count.get((False, 1), 0), count.get((False, 1), 0)
+    network = _learned(_gather(sample.filter(~kept), caps), EPOCHS, seed)
+    if network is None:
+        return _prior(sum(count.values()), fit_toxic + count.get((True, 1), 0))
+    shards = min(SHARDS, -(-fit_n // ROWS_OF_A_SHARD))
+    dealt = rows.filter(~F.col("kept")).withColumn("shard", F.pmod(F.xxhash64(F.lit("toxicity-shard"), "doc_id"), F.lit(shards)).cast("int"))
+    for number in range(ROUNDS):
+        _round(network, dealt, shards, fit_toxic / fit_n, number)
+    return calibrate_over(network.model(), rows.filter("kept") if count.get((True, 1), 0) >= LEAST_HELD else rows)
+
+
+def score_column(documents: DataFrame, model: Model, keep: list[str], name: str = "toxicity_score", raw: bool = False) -> DataFrame:
+    """``keep`` columns of ``documents`` and the score as ``name``, before calibration if ``raw``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     spot = unused("text", documents)
 
@@ -310,7 +510,8 @@ def score_column(documents: DataFrame, model: Model, keep: list[str], name: str
         for batch in small(batches):
             out, all_texts = [], texts(batch, spot)
             for part in text_slices(all_texts, LETTERS_AT_ONCE):
-                out += calibrated(shared.value, scorer.logits([words_of(t) for t in all_texts[part]])).tolist()
+                z = scorer.logits([words_of(t) for t in all_texts[part]])
+                out += (z if raw else calibrated(shared.value, z)).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.float64())], names=[*keep, name])
 
     d = documents.select(*keep, F.col("text").cast("string").alias(spot))

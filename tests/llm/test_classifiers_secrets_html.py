@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 import random
@@ -156,6 +157,42 @@ def test_training_text_that_fits_is_whole(spark):
     assert {y: len(w) for _, w, y in toxicity._gather(sample)} == {r["toxic"]: len(r["text"].split()) for r in sample.collect()}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Signs of toxicity that few of many rows have are known, though the driver trains on few rows only; whatever the partitions."""
+    rng = random.Random(21)
+    signs = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(80)]
+    rows = [(i, f"{prose(rng, 6)} {signs[i // 2 % 80]} {prose(rng, 6)}" if i % 2 else prose(rng, 13), i % 2) for i in range(4800)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, per_class=30)
+    predicted = {r["doc_id"]: r["toxicity_score"] >= toxicity.PREDICT_AT for r in toxicity.score_column(d, model, ["doc_id"]).collect()}
+    own = [(i, y) for i, _, y in rows if held(i)]
+    assert sum(predicted[i] for i, y in own if y) > 0.9 * sum(y for _, y in own)
+    assert sum(predicted[i] for i, y in own if not y) < 0.05 * sum(1 - y for _, y in own)
+    again = toxicity.fit(d.repartition(7), labels.repartition(3), per_class=30)
+    assert np.array_equal(again.table, model.table)
+    assert (again.scale, again.shift, again.cuts) == (model.scale, model.shift, model.cuts)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_cuts_from_counts_are_those_of_the_rows(spark, ties):
+    rng = random.Random(22)
+    words = ["vile", "nasty"] if ties else [f"vile{i}" for i in range(50)]
+    text = lambda y: f"{'' if ties else prose(rng, 5)} {rng.choice(words) if y != (rng.random() < 0.1) else 'plain'}"
+    rows = [(rng.choice(["en", "fr", "", None]), text(i % 2), i % 2) for i in range(500)] + [("de", "vile", 1)] * 5
+    model = toxicity.train([(lang, toxicity.words_of(t), y) for lang, t, y in rows])
+    got = toxicity.calibrate_over(copy.deepcopy(model), spark.createDataFrame(rows, "lang string, text string, toxic int").repartition(5))
+    want = toxicity.calibrate(copy.deepcopy(model), [(lang, toxicity.words_of(t), y) for lang, t, y in rows])
+    scores = toxicity.Scorer(model).logits([toxicity.words_of(t) for _, t, _ in rows])
+    assert set(got.cuts) == set(want.cuts) >= {"en", "fr"}
+    if ties:  # a cut through equal scores, as counts by row allow, is none
+        cut = (math.log(toxicity.PREDICT_AT / (1 - toxicity.PREDICT_AT)) - got.shift) / got.scale
+        assert min(abs(z - cut) for z in scores) > 1e-6
+    else:
+        assert abs(got.scale - want.scale) < 1e-9 and abs(got.shift - want.shift) < 1e-9
+        assert all(abs(got.cuts[x] - want.cuts[x]) < 1e-9 for x in want.cuts)
+
+
 def brute_spans(text):
     out = []
     for kind, pattern, group, least in (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)):
