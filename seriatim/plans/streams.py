@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +66,12 @@ def src15_webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, S.first_events(S.webhook_events(bodies, received=F.col("at")), "email.view", "email.click"), ["message_id"])
 
 
-def _in_files(parts: list[DataFrame], folder: str) -> DataFrame:
-    """A stream that takes the parts one after the other, a file a batch."""
-    spark = parts[0].sparkSession
+def _after_each(parts: list[DataFrame], folder: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over the stream of the parts, started anew after each of them is written (by many tasks, in many files): a part is a batch."""
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(0.01)  # files are taken by their time
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.write.mode("append").parquet(folder)
+        out = run(part.sparkSession.readStream.schema(parts[0].schema).parquet(folder))
+    return out
 
 
 FIRST_DAY, DAYS = "1998-06-01", 12
@@ -95,15 +94,15 @@ _RUNS = sql("blogs subscribers subscriptions", f"""SELECT subscription_id, post_
 
 @query(_RUNS)
 def st03_delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All subscriptions through twelve daily runs as a keyed stream with timers, stopped after five of them and started again: each letter once, as a loop day by day sends them."""
+    """All subscriptions through twelve daily runs as a keyed stream with timers, stopped after their arrival and after five runs, and started again: each letter once, as a loop day by day sends them."""
     t = Tables(spark, sf_dir)
     s = t.subscriptions.filter("is_active and not is_completed").join(t.subscribers.filter("is_confirmed").select(F.col("id").alias("subscriber_id")), "subscriber_id")
     s = s.join(t.blogs.select(F.col("id").alias("blog_id"), F.col("post_count").alias("total_posts")), "blog_id").filter("current_post_index < total_posts")
     kinds = dict(x.split() for x in schedule.CHANGES.split(", "))
     s = s.withColumn("ts", F.lit(FIRST_DAY)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()))
     folder = shared_folder(spark)
-    schedule.deliver_available(_in_files([s, schedule.clock(spark, FIRST_DAY, 5)], f"{folder}/changes"), folder)
-    out = schedule.deliver_available(_in_files([schedule.clock(spark, "1998-06-06", DAYS - 5)], f"{folder}/changes"), folder)
+    parts = [s, schedule.clock(spark, FIRST_DAY, 5), schedule.clock(spark, "1998-06-06", DAYS - 5)]
+    out = _after_each(parts, f"{folder}/changes", lambda changes: schedule.deliver_available(changes, folder))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("sent_at", "next_send_at")})
 
 
@@ -116,6 +115,6 @@ def a10_counts_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang, moved = F.col("lang"), F.lit("moved")
     retagged = d.filter("doc_id % 5 = 1")
     folder = shared_folder(spark)
-    S.counted_available(_in_files([row(d, 1, lang), row(retagged, -1, lang)], f"{folder}/changes"), folder)
     gone = d.filter("doc_id % 7 = 3")
-    return S.counted_available(_in_files([row(retagged, 1, moved), row(gone, -1, F.when(F.col("doc_id") % 5 == 1, moved).otherwise(lang))], f"{folder}/changes"), folder)
+    parts = [row(d, 1, lang), row(retagged, -1, lang), row(retagged, 1, moved), row(gone, -1, F.when(F.col("doc_id") % 5 == 1, moved).otherwise(lang))]
+    return _after_each(parts, f"{folder}/changes", lambda changes: S.counted_available(changes, folder))

@@ -69,6 +69,34 @@ def test_changed_preferences_never_move_the_cursor_back(spark, tmp_path):
     assert [(r["post_index"], r["sent_at"].day) for r in out.orderBy("post_index").collect()] == [(1, 1), (2, 2), (3, 3), (4, 6), (5, 13)]
 
 
+def test_state_is_kept_by_bucket(spark, tmp_path):
+    """Far fewer keys of state than subscriptions, as each costs calls of the state's store; letters are still those of the loop."""
+    rows, folder = subscriptions(1500), str(tmp_path)
+    spark.createDataFrame(rows, schedule.CHANGES).repartition(3).write.parquet(f"{folder}/in")
+    schedule.clock(spark, "2024-03-01", 9).write.mode("append").parquet(f"{folder}/in")
+    table = S.KeyedTable(spark, f"{folder}/letters", schedule.KEYS)
+    with schedule._timers(spark):
+        q = S.run_available(schedule.letters(spark.readStream.schema(schedule.CHANGES).parquet(f"{folder}/in")), f"{folder}/progress", table.insert, "append")
+    assert sorted(map(tuple, table.read(schedule.LETTERS).collect())) == day_by_day(rows, 9)
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] < len(rows)
+
+
+def test_changes_of_one_batch_are_taken_by_their_time(spark, tmp_path):
+    """Of several subscriptions in one bucket, and of one several times."""
+    folder, day = str(tmp_path), lambda n: dt.datetime(2024, 3, n)
+    rows = [(i, day(4), 0, 9, 7, None, 6, "UTC", day(6)) for i in (1, 3)] + [(i, day(1), 0, 9, 1, None, 6, "UTC", day(1)) for i in (1, 2, 3)] + [(3, day(8), 0, 9, 1, None, 6, "UTC", None)]
+    put(spark, f"{folder}/in", spark.createDataFrame(rows, schedule.CHANGES))
+    put(spark, f"{folder}/in", schedule.clock(spark, "2024-03-01", 15))
+    changes = stream(spark, f"{folder}/in")
+    table = S.KeyedTable(spark, f"{folder}/letters", schedule.KEYS)
+    with schedule._timers(spark):
+        S.run_available(schedule.letters(changes, buckets=1), f"{folder}/progress", table.insert, "append")
+    got = {}
+    for r in table.read(schedule.LETTERS).orderBy("post_index").collect():
+        got.setdefault(r["subscription_id"], []).append(r["sent_at"].day)
+    assert got == {1: [1, 2, 3, 6, 13], 2: list(range(1, 10)), 3: [1, 2, 3, 6]}
+
+
 def test_next_times_are_those_of_the_columns(spark):
     rng = random.Random(3)
     rows = []
