@@ -7,6 +7,9 @@ of higher rank than its own, so one ascending pass over the active ranks ends wi
 
 Space-delimited pieces and their ids are remembered within a task, up to ``CACHE_UNITS``.
 
+``Abreast`` finds the same ids in another way, for tasks that meet many new words: those of as many bytes are the
+columns of one table, and each round merges the lowest pair of every column.
+
 Defined cases: a null text counts as empty and has no ids; texts and runs of one character are as long as they are;
 equal texts get equal ids; the strings of the added tokens become their ids; of pairs of one rank the leftmost merge
 first; rows repeat as they came; other columns, whatever their names, are left out; an empty table gives no rows.
@@ -35,6 +38,10 @@ TOKENIZER = "byte_bpe_50k.json"
 CACHE_UNITS = 400_000
 #: Pre-tokens likewise.
 CACHE_WORDS = 250_000
+#: Bits for a place within a word of ``Abreast``; longer words go by the pair index.
+PLACE_BITS = 5
+#: Words that ``Abreast`` merges at once.
+COLUMNS_AT_ONCE = 16_384
 #: Letters of text that one pass over the ranks takes: a pass costs nearly as much for few new words as for many.
 LETTERS_AT_ONCE = 4_000_000
 #: Characters that a pre-token's white space is made of.
@@ -79,6 +86,11 @@ class Vocabulary:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         return np.frombuffer(b"".join(self.id_bytes), np.uint8), starts, lengths
 
+    @cached_property
+    def byte_ranks(self) -> np.ndarray:
+        """Rank of each pair of bytes."""
+        return self.ranks(self.byte_ids[:, None], self.byte_ids[None, :]).astype(np.int32)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or the number of merges where it isn't one."""
         keys = left.astype(np.int64) << 32 | right
@@ -207,6 +219,95 @@ def pretokens(piece: str) -> list[str]:
     return PRETOKEN.findall(piece)
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 a letter, 2 a number, 3 white space, 0 anything else, as PRETOKEN has it."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for m in regex.finditer(rf"(\p{{L}}+)|(\p{{N}}+)|([{SPACE}]+)", "".join(map(chr, range(0x110000)))):
+        kinds[m.start() : m.end()] = m.lastindex
+    return kinds
+
+
+def pretoken_starts(text: str, ends: np.ndarray) -> np.ndarray:
+    """True where a match of PRETOKEN starts in ``text``, each part of it searched on its own; ``ends`` has 0 and the parts' ends."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds = _kinds()[points]
+    border = np.zeros(len(points) + 1, bool)
+    border[ends] = True
+    starts, blank = border[:-1].copy(), kinds == 3
+    starts[1:] |= (kinds[1:] != kinds[:-1]) & ((points[:-1] != ord(" ")) | blank[1:])
+    starts[1:-1] |= blank[:-2] & blank[1:-1] & ~blank[2:] & ~border[2:-1]  # the last of several blanks before something else
+    quotes = np.flatnonzero(starts & (points == ord("'")))
+    for i, end in zip(quotes.tolist(), ends[np.searchsorted(ends, quotes, side="right")].tolist(), strict=True):
+        after = text[i + 1 : min(i + 3, end)]
+        size = 1 if after[:1] in {"s", "t", "m", "d"} else 2 if after in {"re", "ve", "ll"} else 0
+        if size:
+            starts[i + 1] = False
+            if i + 1 + size < end:
+                starts[i + 1 + size] = True
+    return starts
+
+
+class Abreast:
+    """Ids of pieces; all pre-tokens of one length are merged abreast, a pair each in a round."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text, ends = "".join(pieces), np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum([len(p) for p in pieces], out=ends[1:])
+        data = np.frombuffer(text.encode(), np.uint8)
+        at_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        begins = at_byte[:-1][pretoken_starts(text, ends)]
+        symbol, alive = self.v.byte_ids.astype(np.int32)[data], np.zeros(len(data), bool)
+        alive[begins] = True
+        sizes = np.diff(begins, append=len(data))
+        order = np.argsort(sizes, kind="stable")
+        longest = 1 << PLACE_BITS
+        cuts = np.searchsorted(sizes[order], np.arange(2, longest + 2)).tolist()
+        for size, lo, hi in zip(range(2, longest + 1), cuts[:-1], cuts[1:], strict=True):
+            for at in range(lo, hi, COLUMNS_AT_ONCE):
+                self._merge(begins[order[at : min(at + COLUMNS_AT_ONCE, hi)]], size, data, symbol, alive)
+        long = order[cuts[-1] :]
+        if len(long):
+            ids, bounds = encode_pretokens([data[a : a + n].tobytes() for a, n in zip(begins[long].tolist(), sizes[long].tolist(), strict=True)], self.v)
+            place = np.repeat(begins[long] - bounds[:-1], np.diff(bounds)) + np.arange(len(ids))
+            symbol[place], alive[place] = ids, True
+        counts = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(alive, out=counts[1:])
+        return symbol[alive], counts[at_byte[ends]]
+
+    def _merge(self, begins: np.ndarray, size: int, data: np.ndarray, symbol: np.ndarray, alive: np.ndarray) -> None:
+        """Merges the words of ``size`` bytes that start at ``begins``: their ids are in ``symbol`` from there on, where ``alive``."""
+        v, bits = self.v, PLACE_BITS
+        none, mask = len(v.merged_ids) << bits, (1 << bits) - 1
+        place = np.arange(size)[:, None]
+        rows = data[begins + place]
+        ids = symbol[begins + place]
+        keys = v.byte_ranks[rows[:-1], rows[1:]] << bits | place[:-1].astype(np.int32)  # rank and place, so the least is the leftmost of its rank
+        for n in range(size, 0, -1):
+            best = keys[: n - 1].min(axis=0, initial=none)
+            going = best < none
+            if not going.all():
+                done = begins[~going] + place[:n]
+                symbol[done], alive[done] = ids[:n, ~going], True
+                if not going.any():
+                    return
+                begins, best, ids, keys = begins[going], best[going], ids[:n, going], keys[: n - 1, going]
+            at, made, column = best & mask, v.merged_ids[best >> bits], np.arange(len(best))
+            ids[at, column] = made
+            for k in range(1, n - 1):
+                later = at < k
+                np.copyto(ids[k], ids[k + 1], where=later)
+                if k < n - 2:
+                    np.copyto(keys[k], keys[k + 1] - 1, where=later)
+            c = np.flatnonzero(at < n - 2)
+            keys[at[c], c] = v.ranks(made[c], ids[at[c] + 1, c]) << bits | at[c]
+            c = np.flatnonzero(at > 0)
+            keys[at[c] - 1, c] = v.ranks(ids[at[c] - 1, c], made[c]) << bits | at[c] - 1
+
+
 class Gathered:
     """Id lists by number, kept in one row."""
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.llm.bpe import LETTERS_AT_ONCE, Encoder, default_path, vocabulary
+from seriatim.llm.bpe import LETTERS_AT_ONCE, Abreast, Encoder, default_path, vocabulary
 from seriatim.llm.common import small, staged, text_slices, texts, tidy
 
 CAPACITY = 2048
@@ -32,13 +32,18 @@ END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
+def coder(path: str) -> Encoder:
+    """The coder of a task: most of what a corpus's task meets is words that are new to it, and these are merged abreast."""
+    return Encoder(v := vocabulary(path), Abreast(v))
+
+
 def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """A row for each piece: its place in its document, its ids' checksum, and its number among its task's pieces of that length."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy("packing")
-        encoder = Encoder(vocabulary(path))
+        encoder = coder(path)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in small(batches):
             all_texts, doc_ids = texts(batch), batch.column("doc_id").fill_null(0).to_numpy()

@@ -35,6 +35,42 @@ def test_encoding_equals_the_library(library):
         assert bpe.decode(own, v) == library.decode(e.ids, skip_special_tokens=False)
 
 
+def quotes_and_blanks(n: int) -> list[str]:
+    rng = random.Random(3)
+    marks = ["'", "'s", "'re", "'ll", "'d", "'S", "r", "e", "é", "7", " ", "  ", "\n", "\t", "\xa0", "\u3000", ".", "🙂", "中", "x" * 31, "ß" * 17]
+    return ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+
+
+def test_pretokens_of_many_pieces_start_where_the_pattern_matches():
+    parts = [*quotes_and_blanks(20_000), *pieces_of_noise(3000), "'", "'r", "'re", "", " ", "  ", ""]
+    ends = np.cumsum([0, *map(len, parts)])
+    starts = bpe.pretoken_starts("".join(parts), ends)
+    for p, a, b in zip(parts, ends, ends[1:], strict=False):
+        want = np.zeros(len(p), bool)
+        want[[m.start() for m in bpe.PRETOKEN.finditer(p)]] = True
+        assert starts[a:b].tolist() == want.tolist(), p
+    assert not len(bpe.pretoken_starts("", np.array([0])))
+
+
+def test_the_coder_of_packing_equals_the_library(library):
+    texts = [*quotes_and_blanks(5000), *pieces_of_noise(3000), "", "<|endoftext|>", "a" * 1000, "中" * 5000, "ab" * 20_000, "\n" * 30_000 + "x", *("".join(x) for x in zip("ab" * 40, "cd" * 40, strict=True))]
+    texts += [("the" * 20)[:n] for n in range(60)] + [("aaab" * 20)[:n] for n in range(60)]  # lengths about the table's longest
+    encoder = packing.coder(bpe.default_path())
+    for part in (texts, texts[::-1], []):  # learned, then remembered
+        ids, bounds = encoder.encode(part)
+        for i, (t, e) in enumerate(zip(part, library.encode_batch(part, add_special_tokens=False), strict=True)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids, t
+
+
+def test_new_words_cost_packing_no_pass_for_each_rank(monkeypatch):
+    """Steps grow with the length of words, not with the thousands of ranks that many new words meet."""
+    rng, calls, ranks = random.Random(4), [], bpe.Vocabulary.ranks
+    monkeypatch.setattr(bpe.Vocabulary, "ranks", lambda self, left, right: calls.append(1) or ranks(self, left, right))
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 16))) for _ in range(30_000))
+    packing.coder(bpe.default_path()).encode([text])
+    assert len(calls) <= 2 * sum(range(20)) + 1  # two a round, a round less than a word has bytes
+
+
 def test_decoding_broken_bytes(library):
     rng, v = random.Random(2), bpe.vocabulary(bpe.default_path())
     for _ in range(300):
