@@ -546,6 +546,38 @@ def test_bare_credentials_among_the_given_documents(spark):
     assert learned >= 0.95 * len(bare) > 30
 
 
+def test_formats_background_and_cut_of_more_runs_than_the_driver_takes(spark, monkeypatch):
+    """States come from a few credentials; likelihoods, background and cut are those of all, whole ones, counted one by one."""
+    monkeypatch.setattr(secrets, "SAMPLE_RUNS", 30)
+    monkeypatch.setattr(secrets, "SAMPLE_OTHERS", 50)
+    rng = random.Random(25)
+    keys = sorted({"".join(rng.choice("ABCDEF") for _ in range(4)) + "".join(rng.choice("0123GHK") for _ in range(rng.choice([8, 8, 8, 150, 700]))) for _ in range(120)})
+    words = sorted({"".join(rng.choice(["the", "ing", "and", "tion", "er", "stone"]) for _ in range(rng.randint(3, 8))) for _ in range(600)} | {"8G" * 450, "wide" * 200})
+    rows = [(i, f"token={k}") for i, k in enumerate(keys)] + [(None if i % 7 == 0 else 1000 + i, f"{w} {rng.choice(words)}") for i, w in enumerate(words)]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    hashed = spark.createDataFrame([(k.encode(),) for k in keys], "run binary").select("run", (F.pmod(F.xxhash64(F.lit("secrets-kept"), F.lit("assign"), "run"), F.lit(5)) == 0).alias("kept"))
+    kept = {bytes(r["run"]) for r in hashed.collect() if r["kept"]}
+    learned = [k.encode() for k in keys if k.encode() not in kept]
+    assert min(len(kept), len(learned)) > 10
+    first = secrets.learn([k[: secrets.RUN_LETTERS + 1] for k in sorted(learned, key=lambda k: (zlib.crc32(k), k))[:30]])
+    chars, last = np.zeros((len(first.end), secrets.K)), np.zeros(len(first.end))
+    for k in learned:
+        state = 0
+        for c in map(secrets._LETTERS.index, k):
+            chars[state, c] += 1
+            state = first.moves[state][secrets._BRANCH[c]]
+        last[state] += 1
+    automaton = secrets.Automaton.counted(chars, last, first.moves)
+    codes, ends = secrets.coded([w.encode() for w in words])
+    want = secrets.Model({"assign": automaton}, secrets.Background.of(codes, ends, np.ones(len(words))), 0.0)
+    secrets._separate(want, codes, ends)
+    assert list(model.automata) == ["assign"]
+    got = model.automata["assign"]
+    assert np.allclose(got.chars, automaton.chars) and np.allclose(got.end, automaton.end) and (got.moves == first.moves).all()
+    assert np.allclose(model.background.pairs, want.background.pairs, atol=1e-4) and np.allclose(model.background.classes, want.background.classes, atol=1e-4)
+    assert math.isclose(model.cut, max(0.0, secrets._tenth(want, sorted(kept)) / 2), rel_tol=1e-4)
+
+
 def test_branches_tell_classes_apart():
     rng = random.Random(22)
     keys = ["".join(rng.choice("ABCDEFGH") for _ in range(4)) + "".join(rng.choice("0123456789") for _ in range(6)) for _ in range(200)]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,22 @@ def test_packing(stages, spark):
     run = corpus_pipeline.run(spark, SF)
     assert run.columns == after.columns
     assert run.count() == after.count()
+
+
+def test_secret_formats_come_from_all_documents(spark):
+    """Credentials under a name, and bare ones, stand in the last 1,000 of 21,000 documents by hash only."""
+    rng = random.Random(24)
+    key = lambda: "".join(rng.choice("ABCDEFGHJKMN") for _ in range(4)) + "".join(rng.choice("0123456789ABCDEFGHJK") for _ in range(20)) + "".join(rng.choice("qxz") for _ in range(3))
+    word = lambda: "".join(rng.choice(["the", "ing", "and", "tion", "er", "stone", "light", "re"]) for _ in range(rng.randint(3, 6)))
+    ids = [r[0] for r in spark.range(21_000).orderBy(F.xxhash64(F.lit("secrets"), "id"), "id").collect()]
+    texts, bare = {i: f"{word()} {word()} {word()}" for i in ids}, {}
+    for n, i in enumerate(ids[-1000:]):
+        if n % 3 == 0:
+            texts[i] += f"\napi_key: {key()}"
+        elif n % 10 == 1:
+            bare[i] = key()
+            texts[i] += f"\nsee {bare[i]} there"
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    after = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, d, SF).collect()}
+    assert sum(bare[i] not in after[i] for i in bare) >= 0.95 * len(bare) > 50
+    assert all(after[i] == t for i, t in texts.items() if i not in bare and "api_key" not in t)
